@@ -1,24 +1,45 @@
-"""Reliable checkpoints for the iterative operators."""
+"""Reliable cuts of lineage for the iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the session's own setting, or a fresh temporary one where none is set (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder: the session's ``spark.checkpoint.dir``, or a fresh temporary one where none is set (tests)."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskframe-checkpoint-")
-    sc.setCheckpointDir(folder)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="maskframe-checkpoint-")
+        sc.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage replaced by files in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Cuts:
+    """Tables written to the shared folder in place of lineage.
+
+    A written table rather than ``checkpoint()``: a checkpoint keeps the estimated size of its plan, and
+    sizes of joins multiply, so that after a dozen rounds planning alone takes minutes. A table has its true
+    size, which also lets small rounds join by broadcast under the session's own threshold.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{checkpoint_dir(spark)}/maskframe-{uuid.uuid4().hex}", []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a table just written."""
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: DataFrame | None = None) -> None:
+        """Delete the tables but those that ``keep`` reads."""
+        kept = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
+        for path in self.paths:
+            if not any(k.endswith(path.removeprefix("file://").removeprefix("file:")) for k in kept):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
