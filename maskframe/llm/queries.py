@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskframe.llm import mojibake
+from maskframe.llm import mojibake, splits
 from maskframe.sources.tables import table
 
 TEXT_FIELDS = ["notes", "reviewer"]
@@ -18,5 +19,31 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return p2_restored(spark, base).select("review_id", "field_name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored}
-SQL: dict[str, str] = {}
+KEYS = ["char_id", "sample_index"]
+SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return splits.torn_rows(table(spark, base, "hardset_review"), "review_id", KEYS, "split")
+
+
+def p3_assign(spark: SparkSession, base: str) -> DataFrame:
+    sets = splits.related_sets(table(spark, base, "hardset_review"), "review_id", KEYS)
+    return splits.assign_splits(sets, "review_id", SHARES)
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign}
+
+_NUM = r"CASE WHEN regexp_full_match(translate(trim({c}), '０１２３４５６７８９．', '0123456789.'), '[0-9]+(\.0*)?') THEN CAST(CAST(translate(trim({c}), '０１２３４５６７８９．', '0123456789.') AS DECIMAL(38, 2)) AS BIGINT) END"
+SQL: dict[str, str] = {
+    "p3_found": f"""
+WITH RECURSIVE v AS (
+  SELECT review_id, 'c' || {_NUM.format(c="char_id")} AS a, 's' || {_NUM.format(c="sample_index")} AS b, nullif(lower(trim(split)), '') AS s FROM hardset_review
+), e AS (SELECT DISTINCT a AS x, b AS y FROM v WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT DISTINCT b, a FROM v WHERE a IS NOT NULL AND b IS NOT NULL),
+lab(x, c) USING KEY (x) AS (
+  SELECT x, min(least(x, y)) FROM e GROUP BY x
+  UNION
+  SELECT e.x, min(l.c) FROM e JOIN lab l ON l.x = e.y JOIN recurring.lab r ON r.x = e.x GROUP BY e.x HAVING min(l.c) < min(r.c)
+), rows_ AS (SELECT review_id, s, coalesce(lab.c, v.a, v.b) AS c FROM v LEFT JOIN lab ON lab.x = coalesce(v.a, v.b) WHERE coalesce(v.a, v.b) IS NOT NULL)
+SELECT review_id FROM rows_ WHERE c IN (SELECT c FROM rows_ GROUP BY c HAVING count(DISTINCT s) > 1)""",
+}
