@@ -23,7 +23,6 @@ DEFAULT_RULES: list[list[tuple[str, str, float]]] = [[("prose_share", "<=", 0.5)
 COMMON_CHARS = "的了在是不就也把从到才都还和与用里得这那要再会可因所以而且着被让给对一每只很时上下看有"
 COMMON_WORDS = "the a an of to and in is was that it for on with as at by be this from or but not are were had have its so then one they you i we he she after before what when if no only would could because which who there their my our your"
 MARKER = r"\A\s*(?:[-*+•·◦○●▪■□]\s|[（(]?[0-9]{1,3}[.)、）:：]\s*(?=\D)|[（(]?[a-zA-Z一二三四五六七八九十]{1,2}[.)、）]\s|\[[ xX]?\])"
-PIECES = r"[\r\n]+|(?<=[。！？])|(?<=[^0-9\s][.!?])\s+"
 ENDS = "[.!?。！？…;；:：,，]"
 MARK = "\x01"
 STATS = ["words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_share", "sentence_density", "marker_share", "tabular_share", "repeat_share", "long_token_share", "short_line_share", "prose_share"]
@@ -39,8 +38,9 @@ def _trie(words: list[str]) -> str:
     return "" if not tail else f"(?:{inner})" + ("?+" if "" in heads else "")
 
 
-def _common_pattern() -> str:
-    return f"[{COMMON_CHARS}]|(?<![a-zA-Z])(?i:{_trie(sorted(COMMON_WORDS.split()))})(?![a-zA-Z])"
+def _word_pattern() -> str:
+    words = COMMON_WORDS.split()
+    return f"(?=[a-zA-Z])(?<![a-zA-Z]){_trie(sorted({*words, *(w.capitalize() for w in words)}))}(?![a-zA-Z])"
 
 
 def _sum(pieces: Column, of: Callable[[Column], Column]) -> Column:
@@ -76,37 +76,39 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     from that, so that counting them needs no further pattern.
     """
     d = docs.select(doc_id, F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" ")).alias("_t"))
-    d = d.select("*", F.length("_t").alias("_n"), F.regexp_replace("_t", _common_pattern(), MARK).alias("_m"))
-    cut = F.filter(F.split("_m", PIECES), lambda x: F.length(F.trim(x)) > 0)
-    lines = F.filter(F.split("_m", r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
+    marks = F.regexp_replace(F.translate("_t", COMMON_CHARS, MARK * len(COMMON_CHARS)), _word_pattern(), MARK)
+    d = d.select(doc_id, "_t", F.length("_t").alias("_n"), marks.alias("_m"), F.regexp_replace("_t", r"[a-zA-ZÀ-ɏͰ-ԯ]+", MARK).alias("_w"))
+    d = d.select("*", F.regexp_replace("_w", r"[㐀-鿿぀-ヿ가-힯]+", "").alias("_h"), F.filter(F.split("_m", r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0).alias("_lines"))
+    feature = lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), x.rlike(MARKER).alias("m"), _tabular(x).alias("t"), F.substring(F.rtrim(x), -3, 3).rlike(ENDS).alias("e"))
     d = d.select(
-        doc_id, "_n", cut.alias("_p"),
-        F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.rlike(MARKER).alias("m"), _tabular(x).alias("t"), F.substring(F.rtrim(x), -3, 3).rlike(ENDS).alias("e"))).alias("_l"),
-        _times(F.col("_m"), MARK).alias("_common"),
-        _removed("_t", r"[㐀-鿿぀-ヿ가-힯]+").alias("_han"),
-        _removed("_t", r"[a-zA-ZÀ-ɏͰ-ԯ]+").alias("_letters"),
-        F.length(F.regexp_replace("_t", r"[a-zA-ZÀ-ɏͰ-ԯ]+", MARK)).alias("_words"),
-        _removed("_t", r"[0-9]+").alias("_digits"),
-        _removed("_t", r"\s+").alias("_spaces"),
-        _removed("_t", r"[。！？]|[.!?](?=[\s\"'”’)]|\z)").alias("_ends"),
+        doc_id, "_n", F.transform("_lines", feature).alias("_l"),
+        _times(F.col("_m"), MARK).alias("_common"), _times(F.col("_w"), MARK).alias("_words"),
+        F.length("_w").alias("_wn"), F.length("_h").alias("_hn"),
+        _removed("_h", "[0-9]+").alias("_digits"), _removed("_h", r"[\s\x01]+").alias("_blank"),
         _removed("_t", r"(?<!\S)[\x21-\x7e]{25,}+(?!\S)").alias("_long"),
     )
+    # Sentences of the lines that are neither items nor table rows; each counts once however often it stands there.
+    running = F.concat_ws("\n", F.transform(F.filter("_l", lambda x: ~x["m"] & ~x["t"]), lambda x: x["x"]))
+    for end in ("。", "！", "？"):
+        running = F.replace(running, F.lit(end), F.lit(end + "\n"))
+    for end in (". ", "! ", "? "):
+        running = F.replace(running, F.lit(end), F.lit(end + "\n"))
+    d = d.select("*", F.filter(F.split(running, "\n"), lambda x: F.length(F.trim(x)) > 0).alias("_p"))
     d = d.select("*", F.array_distinct("_p").alias("_d"))
-    # Distinct pieces that read like a sentence: common words, and neither an item nor a table row.
-    prose = _sum(F.col("_d"), lambda x: F.when((F.length(x) >= 6) & (_times(x, MARK) >= 0.05 * F.length(x)) & ~x.rlike(MARKER) & ~_tabular(x), F.length(x)).otherwise(0))
+    prose = _sum(F.col("_d"), lambda x: F.when((F.length(x) >= 6) & (_times(x, MARK) >= 0.05 * F.length(x)), F.length(x)).otherwise(0))
     n, flat = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.aggregate("_l", F.lit(0), lambda acc, x: acc + x["n"]), F.lit(1))
-    alpha = F.col("_words") - (F.col("_n") - F.col("_letters"))
-    units = F.greatest(F.col("_han") + alpha, F.lit(1))
+    letters, han = F.col("_n") - F.col("_wn") + F.col("_words"), F.col("_wn") - F.col("_hn")
+    units = F.greatest(han + F.col("_words"), F.lit(1))
     by = lambda f: F.aggregate("_l", F.lit(0), lambda acc, x: acc + F.when(f(x), x["n"]).otherwise(0))
     return d.select(
         doc_id,
-        (F.col("_han") + alpha).cast("double").alias("words"),
-        (F.col("_letters") / F.greatest(alpha, F.lit(1))).alias("mean_word_length"),
-        ((F.col("_n") - F.col("_han") - F.col("_letters") - F.col("_digits") - F.col("_spaces")) / n).alias("symbol_ratio"),
+        (han + F.col("_words")).cast("double").alias("words"),
+        (letters / F.greatest("_words", F.lit(1))).alias("mean_word_length"),
+        ((F.col("_hn") - F.col("_digits") - F.col("_blank")) / n).alias("symbol_ratio"),
         (F.col("_digits") / n).alias("digit_ratio"),
         (F.size(F.filter("_l", lambda x: x["e"])) / F.greatest(F.size("_l"), F.lit(1))).alias("end_punctuation"),
         (F.col("_common") / units).alias("common_share"),
-        (F.col("_ends") / units).alias("sentence_density"),
+        (F.size("_p") / units).alias("sentence_density"),
         (by(lambda x: x["m"]) / flat).alias("marker_share"),
         (by(lambda x: x["t"]) / flat).alias("tabular_share"),
         (1 - _sum(F.col("_d"), F.length) / F.greatest(_sum(F.col("_p"), F.length), F.lit(1))).alias("repeat_share"),
@@ -196,19 +198,24 @@ def rules_sql(rules: list[Rule], then: str = "true", otherwise: str = "false") -
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-def learn(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", kind: str = "kind", prose: str = "prose") -> list[Rule]:
-    """Rules for what is not prose, from at most ``MAX_LABELLED`` labelled rows with statistics."""
-    some = labels.where(F.col(kind).isNotNull()).select(doc_id, (F.lower(F.trim(kind)) != prose).alias("_y"))
-    if some.count() > MAX_LABELLED:
-        some = some.orderBy(F.xxhash64(doc_id)).limit(MAX_LABELLED)
-    rows = stats.join(some, doc_id).orderBy(doc_id, "_y").select(*STATS, "_y").toPandas()
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str = "kind", prose: str = "prose") -> list[Rule]:
+    """Rules for what is not prose, from at most ``MAX_LABELLED`` labelled documents."""
+    some = labels.where(F.col(kind).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, (F.lower(F.trim(kind)) != prose).alias("_y"))
+    some = some.orderBy(F.xxhash64(doc_id), "_y").limit(MAX_LABELLED)
+    # The limit bounds the broadcast: the labels travel to the documents, whose texts are not shuffled.
+    found = docs.select(doc_id, text).join(F.broadcast(some), doc_id)
+    stats = statistics(found.select(F.struct(doc_id, "_y").alias("_k"), text), "_k", text)
+    rows = stats.select("_k.*", *STATS).toPandas().sort_values([doc_id, "_y"], kind="stable")
     return induce(rows[STATS].to_numpy(float).reshape(-1, len(STATS)), rows["_y"].to_numpy(bool))
 
 
 def not_prose(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` of every document that the learned rules take for other matter than prose."""
-    labelled = docs.join(labels.select(doc_id).distinct(), doc_id, "left_semi")
-    rules = learn(statistics(labelled, doc_id, text), labels, doc_id)
+    """``doc_id`` of every document that the learned rules take for other matter than prose.
+
+    Labels without a document are left out; of several labels of a document each counts. Empty texts are
+    other matter under the default rules.
+    """
+    rules = learn(docs, labels, doc_id, text)
     stats = statistics(docs, doc_id, text)
     # One-element explode: the statistics are computed once a row, below the CASE that filters on them.
     rows = stats.select(doc_id, F.explode(F.array(F.struct(*STATS))).alias("_s")).select(doc_id, "_s.*")

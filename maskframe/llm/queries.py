@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import leaks, mojibake, splits
+from maskframe.llm import leaks, mojibake, quality, splits
 from maskframe.sources.tables import table
 
 TEXT_FIELDS = ["notes", "reviewer"]
@@ -36,7 +36,15 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign, "p6_found": p6_found}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return quality.not_prose(table(spark, base, "documents"), table(spark, base, "doc_labels"))
+
+
+def p8_statistics(spark: SparkSession, base: str) -> DataFrame:
+    return quality.statistics(table(spark, base, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign, "p6_found": p6_found, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 _NUM = r"CASE WHEN regexp_full_match(translate(trim({c}), '０１２３４５６７８９．', '0123456789.'), '[0-9]+(\.0*)?') THEN CAST(CAST(translate(trim({c}), '０１２３４５６７８９．', '0123456789.') AS DECIMAL(38, 2)) AS BIGINT) END"
 SQL: dict[str, str] = {
