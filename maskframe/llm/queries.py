@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import leaks, mojibake, quality, splits
+from maskframe.llm import leaks, mixing, mojibake, quality, splits, varied
 from maskframe.sources.tables import table
 
 TEXT_FIELDS = ["notes", "reviewer"]
@@ -44,7 +44,28 @@ def p8_statistics(spark: SparkSession, base: str) -> DataFrame:
     return quality.statistics(table(spark, base, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign, "p6_found": p6_found, "p8_found": p8_found, "p8_statistics": p8_statistics}
+FLAGS = ["difficulty_crossing", "difficulty_adhesion", "difficulty_endpoint", "difficulty_line_width", "difficulty_background", "difficulty_style"]
+REVIEW_SET = 2000
+
+
+def p5_subset(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "hardset_review")
+    content = [c for c in rows.columns if c not in ("review_id", "ingested_at")]
+    return varied.varied_subset(rows, "review_id", "char_id", FLAGS, REVIEW_SET, content).select("review_id", "char_id", *FLAGS, "pick_rank")
+
+
+def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mixture(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(p7_mixture(spark, base), table(spark, base, "mix_targets"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign, "p5_subset": p5_subset,
+    "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics,
+}
 
 _NUM = r"CASE WHEN regexp_full_match(translate(trim({c}), '０１２３４５６７８９．', '0123456789.'), '[0-9]+(\.0*)?') THEN CAST(CAST(translate(trim({c}), '０１２３４５６７８９．', '0123456789.') AS DECIMAL(38, 2)) AS BIGINT) END"
 SQL: dict[str, str] = {
