@@ -109,7 +109,8 @@ def systematic_sample(rows: DataFrame, order: list[Column], m: int) -> DataFrame
     if m <= 0 or m >= n:
         return ranked.drop("_rn")
     step = F.lit((n - 1) / (m - 1) if m > 1 else 0.0)
-    at = rows.sparkSession.range(m).select((F.floor(F.col("id") * step) + 1).cast("bigint").alias("_rn")).distinct()
+    place = F.when(F.col("id") == m - 1, n - 1 if m > 1 else 0).otherwise(F.floor(F.col("id") * step))
+    at = rows.sparkSession.range(m).select((place + 1).cast("bigint").alias("_rn")).distinct()
     return ranked.join(at, "_rn", "left_semi").drop("_rn")
 
 

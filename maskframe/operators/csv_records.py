@@ -53,12 +53,14 @@ def classify(raw: DataFrame) -> DataFrame:
     ``reason`` is null for a valid record, else the first failing check: no header, quoting, field count,
     then ``sample_id``, ``keep`` and ``difficulty_crossing`` where the header has them. ``fields`` maps column
     to text for records of the right shape, ``corrupt_text`` keeps the raw text of failing ones. A null record
-    is an empty one; a null ``line_no`` is no header; repeated rows are judged each for itself.
+    is an empty one; a null ``line_no`` is no header; repeated rows are judged each for itself. Other columns of
+    ``raw`` are kept, unless they are named like a result.
     """
     heads = headers(raw)
     widest = heads.agg(F.max(F.size("_names"))).first()[0] or 1
     schema = ", ".join(f"c{i} STRING" for i in range(widest)) + ", _corrupt STRING"
-    body = raw.where(~F.col("line_no").eqNullSafe(1)).join(heads, "file_name", "left")
+    out = [c for c in raw.columns if c not in ("reason", "corrupt_text", "fields")]
+    body = raw.where(~F.col("line_no").eqNullSafe(1)).select(F.struct(*out).alias("_row"), "file_name", "record_text").join(heads, "file_name", "left")
     body = body.withColumn("_text", bare(F.col("record_text"))).withColumn("_outline", outline(F.col("_text")))
     body = body.withColumn("_read", F.from_csv("_text", schema, OPTIONS))
     shaped = ~F.contains(F.col("_outline"), F.lit('"')) & (width(F.col("_outline")) == F.size("_names"))
@@ -73,12 +75,11 @@ def classify(raw: DataFrame) -> DataFrame:
     for name, (pattern, why) in RULES.items():
         reason = reason.when(~cell(name).rlike(pattern), why)
     body = body.withColumn("reason", reason)
-    keep = [c for c in raw.columns if c != "reason"]
     wanted = {n: cell(n) for n in ("sample_id", "char_id", "sample_index", "keep", *FLAGS, *TEXTS)}
     corrupt = F.when(F.col("reason").isNotNull(), F.coalesce(F.col("_read._corrupt"), F.col("record_text")))
     judged = F.struct("reason", corrupt.alias("corrupt_text"), F.struct(*[v.alias(n) for n, v in wanted.items()]).alias("fields"))
     # One-element explode: filters on the verdict stay above it, so the regular expressions run once a record.
-    return body.select(*keep, F.explode(F.array(judged)).alias("_judged")).select(*keep, "_judged.*")
+    return body.select("_row", F.explode(F.array(judged)).alias("_judged")).select("_row.*", "_judged.*")
 
 
 def valid_rows(classified: DataFrame) -> DataFrame:

@@ -38,15 +38,15 @@ def translate(pixels: DataFrame, dy: Column | int, dx: Column | int, height: int
 
 
 def overlap(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """[J9, U3] ``both``, ``only_a``, ``only_b`` for each mask, by one aggregation over the union."""
+    """[J9, U3] ``shared``, ``only_a``, ``only_b`` for each mask, by one aggregation over the union."""
     u = a.select(*by, "y", "x", F.lit(1).alias("k")).unionByName(b.select(*by, "y", "x", F.lit(2).alias("k"))).groupBy(*by, "y", "x").agg(F.bit_or("k").alias("k"))
-    return u.groupBy(*by).agg(F.count_if(F.col("k") == 3).alias("both"), F.count_if(F.col("k") == 1).alias("only_a"), F.count_if(F.col("k") == 2).alias("only_b"))
+    return u.groupBy(*by).agg(F.count_if(F.col("k") == 3).alias("shared"), F.count_if(F.col("k") == 1).alias("only_a"), F.count_if(F.col("k") == 2).alias("only_b"))
 
 
 def pair_scores(o: DataFrame) -> DataFrame:
     """[A11, A12] Dice and IoU of two masks; two empty ones agree."""
-    both, rest = F.col("both"), F.col("only_a") + F.col("only_b")
-    return o.select("*", pair_ratio(2 * both, 2 * both + rest).alias("dice"), pair_ratio(both, both + rest).alias("iou"))
+    shared, rest = F.col("shared"), F.col("only_a") + F.col("only_b")
+    return o.select("*", pair_ratio(2 * shared, 2 * shared + rest).alias("dice"), pair_ratio(shared, shared + rest).alias("iou"))
 
 
 def tolerant_counts(pred: DataFrame, target: DataFrame, by: list[str], radius: int, height: int, width: int) -> DataFrame:
@@ -87,8 +87,8 @@ def align_by_centroid(user: DataFrame, reference: DataFrame, by: list[str], heig
     cand = cand.select(*by, "ink", (F.col("by_") + F.col("oy")).alias("dy"), (F.col("bx") + F.col("ox")).alias("dx"), ((F.col("oy") + wiggle) * (2 * wiggle + 1) + F.col("ox") + wiggle).alias("idx"))
     moved = clip(reference.select(*by, "y", "x").join(cand, by).select(*by, "ink", "dy", "dx", "idx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")), height, width)
     hit = moved.join(user.select(*by, "y", "x").distinct().withColumn("u", F.lit(1)), [*by, "y", "x"], "left")
-    s = hit.groupBy(*by, "ink", "dy", "dx", "idx").agg(F.count("u").alias("both"), F.count("*").alias("moved"))
-    iou = F.col("both") / (F.col("ink") + F.col("moved") - F.col("both"))
+    s = hit.groupBy(*by, "ink", "dy", "dx", "idx").agg(F.count("u").alias("shared"), F.count("*").alias("moved"))
+    iou = F.col("shared") / (F.col("ink") + F.col("moved") - F.col("shared"))
     best = s.withColumn("iou", iou).groupBy(*by).agg(F.max_by(F.struct("dy", "dx", "iou"), F.struct("iou", -F.col("idx"))).alias("b"))
     return best.select(*by, "b.dy", "b.dx", F.round("b.iou", 9).alias("iou"))
 

@@ -29,8 +29,8 @@ def scores(counts: DataFrame, places: int = 9) -> DataFrame:
     return counts.select("*", r(ratio(2 * tp, 2 * tp + fp + fn)).alias("dice"), r(ratio(tp, tp + fp + fn)).alias("iou"), r(ratio(tp, tp + fp)).alias("precision"), r(ratio(tp, tp + fn)).alias("recall"))
 
 
-def calibrate(rows: DataFrame, channel: str, p: str, target: str, lo: float = 0.10, hi: float = 0.90, steps: int = 17) -> DataFrame:
-    """[A8, J12] Threshold of best Dice for each channel, the first of equals.
+def calibrate_counts(rows: DataFrame, channel: str, p: str, target: str, count: str, lo: float = 0.10, hi: float = 0.90, steps: int = 17) -> DataFrame:
+    """[A8, J12] Threshold of best Dice for each channel, the first of equals, over counted rows.
 
     Probabilities are bucketed once; counts at a threshold are sums from its bucket upwards, so rows never
     meet the grid of thresholds.
@@ -39,7 +39,7 @@ def calibrate(rows: DataFrame, channel: str, p: str, target: str, lo: float = 0.
     bucket = F.lit(0)
     for i, t in enumerate(grid):
         bucket = F.when(F.col(p) >= F.lit(t), i + 1).otherwise(bucket)
-    hist = rows.groupBy(channel, bucket.alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col(target)).alias("pos"))
+    hist = rows.groupBy(channel, bucket.alias("b")).agg(F.sum(count).alias("n"), F.sum(F.when(F.col(target), F.col(count)).otherwise(0)).alias("pos"))
     per = hist.groupBy(channel).agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("n", "pos")))).alias("h"), F.sum("pos").alias("all_pos"))  # at most steps + 1 entries
     at = per.select(channel, "h", "all_pos", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"))
     up = lambda f: F.aggregate(F.sequence("k", F.lit(steps)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.coalesce(F.try_element_at("h", i)[f], F.lit(0)))
@@ -50,6 +50,11 @@ def calibrate(rows: DataFrame, channel: str, p: str, target: str, lo: float = 0.
     return best.select(channel, F.round(threshold, 6).alias("threshold"), F.round("b.dice", 9).alias("dice"))
 
 
+def calibrate(rows: DataFrame, channel: str, p: str, target: str, lo: float = 0.10, hi: float = 0.90, steps: int = 17) -> DataFrame:
+    """[A8] As :func:`calibrate_counts`, over single rows."""
+    return calibrate_counts(rows.withColumn("_one", F.lit(1).cast("bigint")), channel, p, target, "_one", lo, hi, steps)
+
+
 def class_balance(rows: DataFrame, channel: str, most: float = 50.0) -> DataFrame:
     """[A9] Weight of the positives of each class against all other rows, clipped to [1, ``most``]."""
     per = rows.groupBy(channel).agg(F.count("*").alias("positives"))
