@@ -21,7 +21,8 @@ def last_rank(cells: DataFrame, size: int) -> int:
     up, down = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     h = hist.select("n", F.coalesce(F.sum(F.col("n") * F.col("c")).over(up), F.lit(0)).alias("below"), F.sum("c").over(down).alias("open"))
     need = F.ceil((F.lit(size) - F.col("below")) / F.col("open"))
-    got = h.agg(F.min(F.when(F.col("below") + F.col("n") * F.col("open") >= size, need)).alias("r"), F.max("n").alias("top")).first()
+    enough = F.when(F.col("below") + F.col("n") * F.col("open") >= size, F.col("n"))
+    got = h.agg(F.min_by(need, enough).alias("r"), F.max("n").alias("top")).first()
     return max(1, int(got.r if got.r is not None else got.top or 1))
 
 
@@ -31,7 +32,7 @@ def varied_subset(rows: DataFrame, row_id: str, leading: str, flags: list[str],
     ``leading`` is read as a whole number however written, ``flags`` as trimmed text; null and blank are a
     value of their own. Rows equal in ``content`` are copies: only the one with the least id is ranked before
     the distinct ones run out. Ties are broken by a hash of the id, so the same rows always give the same
-    subset. Columns of ``rows`` come out unchanged.
+    subset. Columns of ``rows`` come out unchanged, but for one already named ``pick_rank``. Ids must be unique.
     """
     content = content or [c for c in rows.columns if c != row_id]
     lead = F.coalesce(number_key(F.col(leading)), F.lit(""))
@@ -51,4 +52,4 @@ def varied_subset(rows: DataFrame, row_id: str, leading: str, flags: list[str],
     # The bound on the rank reaches below the shuffle: tasks keep their best ranks of each cell only.
     ranked = ranked.withColumn("pick_rank", F.row_number().over(within)).where(F.col("pick_rank") <= upto)
     picked = ranked.join(turns, ["_lead", "_combo"]).orderBy("pick_rank", "_turn", at, "_lead", "_combo").limit(size)
-    return rows.join(picked.select(row_id, "pick_rank"), row_id)
+    return rows.drop("pick_rank").join(picked.select(row_id, "pick_rank"), row_id)
