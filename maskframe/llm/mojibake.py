@@ -35,8 +35,9 @@ HIGH_PAIR = re.compile("[" + "".join(sorted({bytes([b]).decode(c, "ignore") for
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 LOST = "�"
 #: Least gain in log likelihood of a span that is accepted: by single-byte and by double-byte code page, and
-#: for GBK in a double-byte page, where structure proves nothing, the least gain a character.
-MIN_GAIN, MIN_GAIN_DOUBLE, MIN_GAIN_CHAR = 3.0, 5.0, 2.5
+#: for GBK in a double-byte page, where structure proves nothing, the least gain a character; and of one GBK
+#: pair alone in a single-byte page.
+MIN_GAIN, MIN_GAIN_DOUBLE, MIN_GAIN_CHAR, MIN_GAIN_PAIR = 3.0, 4.0, 2.5, 8.0
 MAX_LEVELS = 3
 
 
@@ -66,11 +67,14 @@ def _prior(ch: str) -> float:
         return 1.0
     if 0xE000 <= o <= 0xF8FF or o >= 0xF0000 or 0x80 <= o < 0xA0 or not ch.isprintable():
         return 0.001
-    try:
-        b = ch.encode("gb2312")
-        return 0.5 if b[0] <= 0xD7 else 0.1
-    except UnicodeEncodeError:
-        return 0.3 if 0xC0 <= o < 0x250 or 0x400 <= o < 0x460 or 0x3040 <= o < 0x3100 else 0.02
+    if o < 0x250 or 0x400 <= o < 0x460 or 0x2010 <= o <= 0x2040 or 0x3000 <= o < 0x3100:
+        return 0.3
+    for codec, first, last in (("gb2312", 0xB0, 0xD7), ("euc_kr", 0xB0, 0xC8), ("big5", 0xA4, 0xC6)):
+        try:
+            return 0.5 if first <= ch.encode(codec)[0] <= last else 0.1
+        except UnicodeEncodeError:
+            continue
+    return 0.02
 
 
 class Likelihood:
@@ -135,34 +139,48 @@ def spans(text: str, codec: str, target: str, automaton: re.Pattern, logp: Likel
     return found
 
 
-def _sure(target: str, codec: str, span: tuple) -> bool:
-    """Whether structure and likelihood together rule out chance."""
-    gain, i, j = span[:3]
-    if codec in SINGLE_BYTE:
-        return gain >= MIN_GAIN and (target == "utf-8" or j - i >= 4)
-    return gain >= MIN_GAIN_DOUBLE and (target == "utf-8" or (j - i >= 2 and gain >= MIN_GAIN_CHAR * (j - i)))
+def _sure(text: str, target: str, codec: str, got: list[tuple], logp: Likelihood) -> bool:
+    """Whether structure and likelihood of one of the spans, or of several short ones, rule out chance."""
+    short = 0
+    for gain, i, j, good in got:
+        if codec in SINGLE_BYTE:
+            # One character may come from a chance pair: then it has to be one that texts do have.
+            known = len(good) > 1 or logp.counts.get(good, 0) > 0 or _prior(good) >= 0.3
+            if known and gain >= MIN_GAIN and (target == "utf-8" or j - i >= 4 or (gain >= MIN_GAIN_PAIR and good in logp.counts)):
+                return True
+        elif j - i >= 2:
+            if gain >= MIN_GAIN_DOUBLE and (target == "utf-8" or gain >= MIN_GAIN_CHAR * (j - i)):
+                return True
+        elif (i == 0 or text[i - 1].isascii()) and (j == len(text) or text[j].isascii()) and len(text) > 1 and gain >= MIN_GAIN_DOUBLE:
+            # A lone double-byte character counts among Latin text only, and for GBK not alone.
+            short += 1
+            if target == "utf-8" or short >= 2:
+                return True
+    return False
 
 
 def undo(text: str, logp: Likelihood) -> tuple[str, str] | None:
     """(text with one level of wrong decoding undone, "true encoding via code page"), or None."""
-    best: tuple[float, list, str] | None = None
+    found: list[tuple] = []
     single = HIGH_PAIR.search(text) is not None
     for target, automaton, codecs in TARGETS:
         for codec in codecs:
             if codec in SINGLE_BYTE and not single:
                 continue
             got = spans(text, codec, target, automaton, logp)
-            if any(_sure(target, codec, g) for g in got):
-                gain = sum(g[0] for g in got)
-                if best is None or gain > best[0]:
-                    best = (gain, got, f"{target} via {codec}")
-    if best is None:
+            if _sure(text, target, codec, got, logp):
+                strict = target == "utf-8" and codec in SINGLE_BYTE
+                found.append((sum(g[0] for g in got), sum(g[2] - g[1] for g in got), strict, got, f"{target} via {codec}"))
+    if not found:
         return None
+    best = max(found, key=lambda f: f[0])
+    # UTF-8 in single bytes has the strictest structure: where it explains as much, it goes first.
+    best = max((f for f in found if f[2] and f[1] >= best[1]), key=lambda f: f[0], default=best)
     out, at = [], 0
-    for _, i, j, good in best[1]:
+    for _, i, j, good in best[3]:
         out += [text[at:i], good]
         at = j
-    return "".join([*out, text[at:]]), best[2]
+    return "".join([*out, text[at:]]), best[4]
 
 
 def repair(text: str | None, logp: Likelihood) -> tuple[str | None, str] | None:
