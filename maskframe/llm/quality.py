@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 20_000
 #: With fewer labelled rows of either side the default list applies.
 MIN_LABELLED = 5
+#: Least precision (with Laplace's correction) of an accepted rule on held-out rows, and least part of their
+#: positive rows it covers: rules that only explain wrong labels end the induction.
+MIN_PRECISION, MIN_COVER = 0.8, 0.02
 DEFAULT_RULES: list[list[tuple[str, str, float]]] = [[("prose_share", "<=", 0.5)]]
 
 COMMON_CHARS = "的了在是不就也把从到才都还和与用里得这那要再会可因所以而且着被让给对一每只很时上下看有"
@@ -25,7 +28,8 @@ COMMON_WORDS = "the a an of to and in is was that it for on with as at by be thi
 MARKER = r"\A\s*(?:[-*+•·◦○●▪■□]\s|[（(]?[0-9]{1,3}[.)、）:：]\s*(?=\D)|[（(]?[a-zA-Z一二三四五六七八九十]{1,2}[.)、）]\s|\[[ xX]?\])"
 ENDS = "[.!?。！？…;；:：,，]"
 MARK = "\x01"
-STATS = ["words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_share", "sentence_density", "marker_share", "tabular_share", "repeat_share", "long_token_share", "short_line_share", "prose_share"]
+#: In the order in which equally good conditions are tried.
+STATS = ["prose_share", "common_share", "repeat_share", "tabular_share", "marker_share", "symbol_ratio", "digit_ratio", "long_token_share", "short_line_share", "end_punctuation", "sentence_density", "mean_word_length", "words"]
 
 
 def _trie(words: list[str]) -> str:
@@ -40,7 +44,8 @@ def _trie(words: list[str]) -> str:
 
 def _word_pattern() -> str:
     words = COMMON_WORDS.split()
-    return f"(?=[a-zA-Z])(?<![a-zA-Z]){_trie(sorted({*words, *(w.capitalize() for w in words)}))}(?![a-zA-Z])"
+    spelt = {f(w) for w in words for f in (str, str.capitalize, str.upper)}
+    return f"(?=[a-zA-Z])(?<![a-zA-Z0-9]){_trie(sorted(spelt))}(?![a-zA-Z0-9])"
 
 
 def _sum(pieces: Column, of: Callable[[Column], Column]) -> Column:
@@ -176,7 +181,7 @@ def induce(x: np.ndarray, y: np.ndarray, names: list[str] = STATS, seed: int = 0
     """Ordered rules for ``y`` by incremental reduced-error pruning; two thirds grow, one third prunes."""
     if min(y.sum(), (~y).sum()) < MIN_LABELLED:
         return [list(r) for r in DEFAULT_RULES]
-    rng, rules = np.random.default_rng(seed), []
+    rng, rules, most = np.random.default_rng(seed), [], None
     left = np.ones(len(x), bool)
     for _ in range(12):
         at = {c: rng.permutation(np.flatnonzero(left & (y == c))) for c in (True, False)}
@@ -184,11 +189,18 @@ def induce(x: np.ndarray, y: np.ndarray, names: list[str] = STATS, seed: int = 0
             break
         grow = np.concatenate([i[: (2 * len(i) + 2) // 3] for i in at.values()])
         keep = np.concatenate([i[(2 * len(i) + 2) // 3 :] for i in at.values()])
+        most = most or int(y[keep].sum())
         rule, worth, p = _prune(_grow(x[grow], y[grow], names), x[keep], y[keep], names)
-        if not rule or worth < 0.5 or p < 1:
+        covered = round(2 * p / (1 + worth)) if p else 0
+        if not rule or (p + 1) / (covered + 2) < MIN_PRECISION or p < MIN_COVER * most:
             break
+        hit = _covers(rule, x, names)
+        for k in range(len(rule) - 1, 0, -1):  # later conditions that change nothing, the last one first
+            fewer = rule[:k] + rule[k + 1 :]
+            if (_covers(fewer, x, names) == hit).all():
+                rule = fewer
         rules.append(rule)
-        left &= ~_covers(rule, x, names)
+        left &= ~hit
     return rules or [list(r) for r in DEFAULT_RULES]
 
 
