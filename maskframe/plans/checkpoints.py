@@ -36,10 +36,9 @@ class Cuts:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, keep: DataFrame | None = None) -> None:
-        """Delete the tables but those that ``keep`` reads."""
-        kept = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
-        for path in self.paths:
-            if not any(k.endswith(path.removeprefix("file://").removeprefix("file:")) for k in kept):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop_earlier(self) -> None:
+        """Delete all tables but the last one written."""
+        for path in self.paths[:-1]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = self.paths[-1:]
