@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -80,7 +81,9 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     as often as they came in. Common words are first replaced by one mark each; lines and sentences are cut
     from that, so that counting them needs no further pattern.
     """
-    d = docs.select(doc_id, F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" ")).alias("_t"))
+    wide = "".join(chr(a + i) for a in (0xFF21, 0xFF41) for i in range(26))  # full-width letters
+    t = F.translate(F.coalesce(F.col(text), F.lit("")), wide + MARK, ascii_uppercase + ascii_lowercase + " ")
+    d = docs.select(doc_id, t.alias("_t"))
     marks = F.regexp_replace(F.translate("_t", COMMON_CHARS, MARK * len(COMMON_CHARS)), _word_pattern(), MARK)
     d = d.select(doc_id, "_t", F.length("_t").alias("_n"), marks.alias("_m"), F.regexp_replace("_t", r"[a-zA-ZÀ-ɏͰ-ԯ]+", MARK).alias("_w"))
     d = d.select("*", F.regexp_replace("_w", r"[㐀-鿿぀-ヿ가-힯]+", "").alias("_h"), F.filter(F.split("_m", r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0).alias("_lines"))

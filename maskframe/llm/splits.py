@@ -73,7 +73,7 @@ def components(pairs: DataFrame, first: str, second: str) -> DataFrame:
         later = labels.toDF("p", "component")
         named = step.join(later, "p", "left").select(F.col("t").alias("vertex"), F.coalesce("component", "p").alias("component"))
         labels = cut(labels.unionByName(named))  # sizes fall geometrically with the round, so all cuts together are linear
-    cuts.drop(keep=labels)
+    cuts.drop_earlier()
     roots = labels.select(F.col("component").alias("vertex"), "component").distinct()
     return labels.unionByName(roots)
 
