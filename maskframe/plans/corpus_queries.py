@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -406,10 +407,15 @@ def streaming_meter(spark: SparkSession, base: str) -> DataFrame:
     from maskframe.streaming.meter import windowed_confusion
 
     batch = table(spark, base, "events")
-    folder = tempfile.mkdtemp(prefix="meter-", dir=None) if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else f"{checkpoint_dir(spark)}/meter-{spark.sparkContext.applicationId}-{id(batch)}"
+    folder = tempfile.mkdtemp(prefix="meter-", dir=None) if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else f"{checkpoint_dir(spark)}/meter-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(batch.schema).parquet(f"{base.rstrip('/')}/events.parquet*")
     hot: Column = F.col("value") > 50
     out = windowed_confusion(stream, "ts", ["event_type"], hot, F.col("user_id") % 2 == 0)
-    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+    def keep(windows: DataFrame, _: int) -> None:
+        windows.write.mode("overwrite").parquet(f"{folder}/out")
+
+    # Complete mode: windows the watermark has not passed are emitted too, and no row is too late. The last state replaces earlier ones.
+    q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
