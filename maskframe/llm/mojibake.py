@@ -5,7 +5,8 @@ bytes as what they were. A byte-structure automaton (a regular expression over b
 automaton) finds the maximal well-formed multibyte spans of UTF-8 or of GBK in those bytes; only such spans,
 cut to whole characters, are decoded. Structure alone is weak evidence for double-byte code pages, so a span
 must also become more likely text: its characters before and after are compared by their frequency in the
-whole column set, a table of at most one row for each code point.
+whole column set, a table of at most one row for each code point. Copies of a garbled value must not make its
+own wrong characters likely, so a value is judged as if it stood there once, and by counts over distinct values.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskframe.plans.checkpoints import Cuts
+
 #: Code pages a text may have been read in by mistake; cp1252 stands for Latin-1 too (its gaps pass through).
 SINGLE_BYTE = ["cp1252", "mac_roman", "cp1251", "cp437", "cp850", "koi8_r", "cp1250"]
 DOUBLE_BYTE = ["gb18030", "cp932", "cp949", "cp950"]
@@ -39,6 +42,8 @@ LOST = "�"
 #: pair alone in a single-byte page.
 MIN_GAIN, MIN_GAIN_DOUBLE, MIN_GAIN_CHAR, MIN_GAIN_PAIR = 3.0, 4.0, 2.5, 8.0
 MAX_LEVELS = 3
+CHINESE = re.compile("[\x00-\x7f\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]*")
+STRICT = {f"utf-8 via {c}" for c in SINGLE_BYTE}
 
 
 @lru_cache(maxsize=None)
@@ -77,11 +82,29 @@ def _prior(ch: str) -> float:
     return 0.02
 
 
+class _Less:
+    """Counts without ``times`` those of one text."""
+
+    def __init__(self, counts: dict[str, int], text: str, times: int):
+        self.counts, self.own, self.times = counts, Counter(text), times
+
+    def get(self, ch: str, default: int = 0) -> int:
+        return max(self.counts.get(ch, default) - self.times * self.own.get(ch, 0), 0)
+
+    def __contains__(self, ch: str) -> bool:
+        return self.get(ch) > 0
+
+
 class Likelihood:
     """Log probability of single characters, from counts and a small prior."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.total, self.known = counts, math.log(sum(counts.values()) + 1000.0), {}
+    def __init__(self, counts: dict[str, int], size: int | None = None):
+        self.counts, self.size, self.known = counts, sum(counts.values()) if size is None else size, {}
+        self.total = math.log(max(self.size, 0) + 1000.0)
+
+    def without(self, text: str, times: int) -> Likelihood:
+        """The same without so many copies of ``text``."""
+        return Likelihood(_Less(self.counts, text, times), self.size - times * len(text)) if times > 0 else self
 
     def __call__(self, ch: str) -> float:
         p = self.known.get(ch)
@@ -212,19 +235,49 @@ def repair(text: str | None, logp: Likelihood) -> tuple[str | None, str] | None:
     return (now if now != text else None), ", ".join(how)
 
 
-def char_counts(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Occurrences of each character in all values of ``fields``: at most one row for each code point of Unicode."""
+def _whole(text: str, restored: str | None, how: str) -> bool:
+    """Whether a reading explains more than stray characters: none beyond ASCII stays, all of them become Chinese, or UTF-8 came out of single bytes."""
+    if restored is None:
+        return False
+    return not {c for c in text if not c.isascii()} & set(restored) or CHINESE.fullmatch(restored) is not None or set(how.split(", ")) <= STRICT
+
+
+def judge(text: str, n: int, every: Likelihood, distinct: Likelihood) -> tuple[str | None, str] | None:
+    """As :func:`repair`, for a value that stands in the table ``n`` times.
+
+    ``every`` counts characters over all rows, ``distinct`` over distinct values. Judged as if it stood there once,
+    or by distinct values, a value copied often looks rarer than its reading even if it is in order, so these views
+    alone are believed only where the reading is whole.
+    """
+    once = repair(text, every.without(text, n - 1))
+    if once is not None and (n == 1 or _whole(text, *once)):
+        return once
+    sure = repair(text, every) if n > 1 else None
+    if sure is not None:
+        return once or sure
+    sure = repair(text, distinct)
+    return sure if sure is not None and _whole(text, *sure) else None
+
+
+def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``text``, ``n``: each distinct value of ``fields`` but null and empty ones, and how often it stands there."""
+    return df.select(F.explode(F.array(*fields)).alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
+
+
+def char_counts(values: DataFrame) -> DataFrame:
+    """Occurrences of each character in all values (``n``) and in distinct ones (``k``): at most one row for each code point of Unicode."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter[str] = Counter()
+        distinct: Counter[str] = Counter()
         for b in batches:
-            for f in fields:
-                for text, n in b[f].value_counts().items():
-                    for ch, k in Counter(text).items():
-                        total[ch] += n * k
-        yield pd.DataFrame({"cp": [ord(c) for c in total], "n": list(total.values())})
+            for text, n in zip(b["text"], b["n"]):
+                for ch, k in Counter(text).items():
+                    total[ch] += int(n) * k
+                    distinct[ch] += k
+        yield pd.DataFrame({"cp": [ord(c) for c in total], "n": list(total.values()), "k": [distinct[c] for c in total]})
 
-    return df.select(*fields).mapInPandas(count, "cp int, n bigint").groupBy("cp").agg(F.sum("n").alias("n"))
+    return values.mapInPandas(count, "cp int, n bigint, k bigint").groupBy("cp").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
 def find_garbled(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
@@ -234,28 +287,20 @@ def find_garbled(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     nulls, empty texts and an empty table give no rows. Texts are read whole.
     """
     spark = df.sparkSession
-    rows = char_counts(df, fields).collect()  # bounded by the code points of Unicode
-    shared = spark.sparkContext.broadcast({chr(r.cp): r.n for r in rows})
+    values = Cuts(spark).cut(value_counts(df, fields))
+    rows = char_counts(values).collect()  # bounded by the code points of Unicode
+    shared = spark.sparkContext.broadcast(({chr(r.cp): r.n for r in rows}, {chr(r.cp): r.k for r in rows}))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logp = Likelihood(shared.value)
-        seen: dict[str, tuple | None] = {}
+        every, distinct = map(Likelihood, shared.value)
         for b in batches:
-            out = []
-            for f in fields:
-                for rid, text in zip(b["_rid"], b[f]):
-                    if text and not text.isascii():
-                        if text not in seen:
-                            if len(seen) > 100_000:
-                                seen.clear()
-                            seen[text] = repair(text, logp)
-                        if seen[text] is not None:
-                            out.append((rid, f, text, *seen[text]))
-            yield pd.DataFrame(out, columns=["rid", "field_name", "original", "restored", "how"])
-
-    # Only values with a character beyond ASCII leave the JVM.
-    some = [F.when(F.col(f).rlike(r"[^\x00-\x7F]"), F.col(f)).alias(f) for f in fields]
-    any_ = " OR ".join(f"`{f}` IS NOT NULL" for f in fields)
-    kind = df.schema[row_id].dataType.simpleString()
-    out = df.select(F.col(row_id).alias("_rid"), *some).where(any_).mapInPandas(find, f"rid {kind}, field_name string, original string, restored string, how string")
-    return out.withColumnRenamed("rid", row_id)
+            got = [(text, judge(text, int(n), every, distinct)) for text, n in zip(b["text"], b["n"])]
+            yield pd.DataFrame([(text, *g) for text, g in got if g is not None], columns=["original", "restored", "how"])
+
+    # Only values with a character beyond ASCII leave the JVM, each once, and are spread anew: judging is the larger part of the work.
+    beyond = r"[^\x00-\x7F]"
+    some = values.where(F.col("text").rlike(beyond)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text")
+    garbled = some.mapInPandas(find, "original string, restored string, how string")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(beyond), F.col(f)).alias("original")) for f in fields]))
+    rows_ = df.select(F.col(row_id).alias("_rid"), each.alias("_v")).select("_rid", "_v.*").where("original IS NOT NULL")
+    return rows_.join(garbled, "original").select(F.col("_rid").alias(row_id), "field_name", "original", "restored", "how")

@@ -63,3 +63,32 @@ def test_table(spark):
     got = Counter((r.review_id, r.field_name, r.restored) for r in M.find_garbled(df, "review_id", ["notes", "reviewer"]).collect())
     assert got == {(2, "notes", "复核员青竹"): 6, (3, "reviewer", "naïf07"): 3}
     assert M.find_garbled(df.limit(0), "review_id", ["notes", "reviewer"]).collect() == []
+
+
+NAMES = ["质检三组", "复核员青竹", "夜班乙组", "标注甲", "晨读班", "Jürgen_b", "señal3", "qa01"]
+
+
+@pytest.mark.parametrize("text, true, read", [("标注甲", "gbk", "cp949"), ("夜班乙组", "gbk", "big5"), ("Jürgen_b", "utf-8", "cp1252"), ("标注甲", "gbk", "latin-1"), ("质检三组", "utf-8", "latin-1")])
+def test_garbled_value_on_a_third_of_the_rows(spark, text, true, read):
+    garbled = text.encode(true).decode(read)
+    rows = [(i, f"{CORRECT[i % len(CORRECT)]} {i % 50}", garbled if i % 3 == 0 else NAMES[i % len(NAMES)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "review_id long, notes string, reviewer string")
+    got = {(r.review_id, r.field_name, r.restored) for r in M.find_garbled(df, "review_id", ["notes", "reviewer"]).collect()}
+    assert got == {(i, "reviewer", text) for i in range(0, 3000, 3)}
+
+
+@pytest.mark.parametrize("text, chance", [("①②两处交叉，③处断开 → 重拍", "ㄧㄨ两处交叉，ㄩ处断开 ℃ 重拍"), ("штрих тонкий, проверить", "轻芹琴清ихонкйпвет")])
+def test_correct_value_copied_often_is_left_alone(text, chance):
+    every = M.Likelihood(Counter(text * 700) + Counter(chance * 3000))
+    assert M.repair(text, every.without(text, 699)) is not None  # alone it would pass for garbled
+    assert M.judge(text, 700, every, M.Likelihood(Counter(text) + Counter(chance * 500))) is None
+
+
+def test_garbled_part_and_values_that_share_characters():
+    good = Counter("".join(CORRECT * 500))
+    half = "横竖交叉多，" + "中段偏重".encode("gbk").decode("cp949")
+    names = [t.encode().decode("cp1252") for t in ("Jürgen_b", "größer schreiben, über")]
+    every = M.Likelihood(good + Counter(half * 5000) + Counter(names[0] * 5000) + Counter(names[1]))
+    distinct = M.Likelihood(Counter("".join(CORRECT * 5)) + Counter(half + names[0] + names[1]))
+    assert M.judge(half, 5000, every, distinct)[0] == "横竖交叉多，中段偏重"
+    assert [M.judge(t, n, every, distinct)[0] for t, n in zip(names, (5000, 1))] == ["Jürgen_b", "größer schreiben, über"]
