@@ -162,7 +162,12 @@ def mixture(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, total:
     cells = cells.join(top, FEATURES).select(*FEATURES, "tokens", "source", F.transform(names, lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0))).alias("p"), F.coalesce(F.try_element_at(caps, F.col("source")), F.lit(0.0)).alias("cap"))
     cells = cuts.cut(cells.where("cap > 0"))
     rate, _ = fit(cells, domains, total)
-    rates = cells.select(*FEATURES, "source", F.round(rate, 3).alias("rate"))  # cells of one source that differ by less are one group
+    rates = cells.select(*FEATURES, "source", "tokens", rate.alias("rate")).where("rate > 0 AND tokens > 0").withColumn("_near", F.round(F.log("rate") * 1000).cast("int"))
+    # Cells of one source whose rates differ by about a thousandth are one group, at the rate that keeps their tokens.
+    near = ["source", "_near"]
+    mean = F.sum(F.col("rate") * F.col("tokens")) / F.sum("tokens")
+    means = rates.groupBy(*near).agg(F.greatest(F.least(mean, F.max("rate")), F.min("rate")).alias("rate"))
+    rates = cuts.cut(rates.drop("rate").join(means, near).select(*FEATURES, "source", "rate"))  # written, as a sum's last digits change from run to run and the rate is a key
     used = counted.where("tokens > 0").join(rates, FEATURES).withColumn("_g", F.struct("source", "rate"))
     used = used.select("doc_id", "source", "tokens", "rate", F.xxhash64("doc_id").alias("_h")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
     # Documents of one source and rate in hash order: those before the cut get one repeat more than the rest.

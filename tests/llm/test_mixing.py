@@ -47,3 +47,15 @@ def test_token_counts_match_the_vocabulary(spark):
     rows = [("横竖交叉多", ), ("plain words", ), ("", ), (None, ), ("x" * 50_000, )]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(X.token_count()("t")).collect()]
     assert got == [len(enc.encode_ordinary(t[0])) if t[0] else 0 for t in rows]
+
+
+@pytest.mark.parametrize("wanted", [12, 44])
+def test_dominant_source_against_one_document(spark, wanted):
+    words = "some words about the brush and the ink "
+    n = len(X._encoder(X.VOCABULARY).encode_ordinary(words))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", f"'{words}' AS text", "'en' AS lang", "'web' AS source", "CAST(NULL AS STRING) AS style_id", "'clash' AS tokens")
+    long = spark.createDataFrame([(50_000, words * wanted, "zh", "diary", None, "clash")], DOCS)
+    t = spark.createDataFrame([("web", 0.5, 1), ("diary", 0.5, 1)], TARGETS)
+    shares = {r.source: r for r in X.shares(X.mixture(docs.unionByName(long), t), t).collect()}
+    assert shares["diary"].docs == 1 and abs(shares["diary"].tokens_used - wanted * n) <= wanted
+    assert abs(shares["web"].tokens_used - shares["diary"].tokens_used) <= n and shares["web"].most_repeats == 1
