@@ -62,8 +62,9 @@ def classify(raw: DataFrame) -> DataFrame:
     out = [c for c in raw.columns if c not in ("reason", "corrupt_text", "fields")]
     body = raw.where(~F.col("line_no").eqNullSafe(1)).select(F.struct(*out).alias("_row"), "file_name", "record_text").join(heads, "file_name", "left")
     body = body.withColumn("_text", bare(F.col("record_text"))).withColumn("_outline", outline(F.col("_text")))
-    body = body.withColumn("_read", F.from_csv("_text", schema, OPTIONS))
     shaped = ~F.contains(F.col("_outline"), F.lit('"')) & (width(F.col("_outline")) == F.size("_names"))
+    # Only records of the right shape are parsed: beyond maxColumns the reader throws in spite of PERMISSIVE.
+    body = body.withColumn("_read", F.from_csv(F.when(shaped, F.col("_text")), schema, OPTIONS | {"maxColumns": str(max(widest + 1, 20_480))}))
     cells = F.slice(F.array(*[F.coalesce(F.col(f"_read.c{i}"), F.lit("")) for i in range(widest)]), F.lit(1), F.size("_names"))
     body = body.withColumn("_cells", F.when(shaped, cells))
 

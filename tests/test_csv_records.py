@@ -73,3 +73,15 @@ def test_whole_number(spark):
     rows = [(x,) for x in ["7", " 007 ", "7.0", "７", "7.5", "", None, "x", "9" * 30]]
     got = [r[0] for r in spark.createDataFrame(rows, "v string").select(whole_number(F.col("v"))).collect()]
     assert got == [7, 7, 7, 7, None, None, None, None, None]
+
+
+def test_more_separators_than_the_reader_takes(spark):
+    many = "," * 30_000
+    cases = [(f"1/2,1,yes,1,{many}", C.BAD_COUNT), (f'1/2,1,yes,1,"{many}', C.BAD_QUOTING), (f'1/2,1,yes,1,"{many}"', None), ("1/2,1,yes,1,fine", None), (f"1/2,1,yes,1,{many}\r", C.BAD_COUNT)]
+    df = classify(spark, [c for c, _ in cases])
+    got = {r.raw_id: (r.reason, r.corrupt_text) for r in df.collect()}
+    assert [got[i + 1] for i in range(len(cases))] == [(why, text if why else None) for text, why in cases]
+    assert [r.notes for r in C.valid_rows(df).orderBy("raw_id").collect()] == [many, "fine"]
+    rows = [(1, "a", 2, many), (2, "b", 1, "notes"), (3, "b", 2, "x")]
+    other = C.classify(spark.createDataFrame(rows, "raw_id long, file_name string, line_no int, record_text string"))
+    assert {r.raw_id: r.reason for r in other.collect()} == {1: C.NO_HEADER, 3: None}
