@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskframe.functions.text import blank_to_null, truthy
-from maskframe.plans.ranking import global_row_number
+from maskframe.plans.checkpoints import Cuts
+from maskframe.plans.ranking import global_row_number, number_rows
 
 
 def usable(manifest: DataFrame) -> DataFrame:
@@ -102,16 +103,23 @@ def round_robin_template(rows: DataFrame, by: str, order: str, row_id: str, limi
     return r.orderBy("rn", by).limit(limit)
 
 
-def systematic_sample(rows: DataFrame, order: list[Column], m: int) -> DataFrame:
-    """[O5] ``m`` rows at evenly spaced positions, truncated; all rows for ``m <= 0`` or ``m >= n``."""
-    ranked = global_row_number(rows, order, "_rn")
-    n = ranked.count()
+def systematic_sample(rows: DataFrame, order: list[str], m: int) -> DataFrame:
+    """[O5] ``m`` rows at evenly spaced positions, truncated; all rows for ``m <= 0`` or ``m >= n``.
+
+    ``order`` are columns that name a row together. Only they are ranked and written; the ``m`` keys found are
+    joined back, so the rows themselves are not shuffled. Null keys sort first and are matched as equal.
+    """
+    cuts = Cuts(rows.sparkSession)
+    ranked, n = number_rows(rows.select(*order), [F.col(c) for c in order], "_rn", cuts)
     if m <= 0 or m >= n:
-        return ranked.drop("_rn")
+        return rows
     step = F.lit((n - 1) / (m - 1) if m > 1 else 0.0)
     place = F.when(F.col("id") == m - 1, n - 1 if m > 1 else 0).otherwise(F.floor(F.col("id") * step))
     at = rows.sparkSession.range(m).select((place + 1).cast("bigint").alias("_rn")).distinct()
-    return ranked.join(at, "_rn", "left_semi").drop("_rn")
+    picked = cuts.cut(ranked.join(at, "_rn", "left_semi").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]))
+    cuts.drop_earlier()
+    same = [rows[c].eqNullSafe(picked[f"_k{i}"]) for i, c in enumerate(order)]
+    return rows.join(picked, same, "left_semi")
 
 
 def repeated(rows: DataFrame, key: str, order: str) -> DataFrame:

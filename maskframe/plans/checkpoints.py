@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder: the session's ``spark.checkpoint.dir``, or a fresh temporary one where none is set (tests)."""
+    """Shared folder: the session's ``spark.checkpoint.dir``.
+
+    A temporary folder of this machine is taken only where none is set and the session is local (tests); a
+    cluster without the setting is an error, since executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="maskframe-checkpoint-")
         sc.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 class Cuts:
@@ -24,21 +31,48 @@ class Cuts:
     A written table rather than ``checkpoint()``: a checkpoint keeps the estimated size of its plan, and
     sizes of joins multiply, so that after a dozen rounds planning alone takes minutes. A table has its true
     size, which also lets small rounds join by broadcast under the session's own threshold.
+
+    A lazy result reads the last tables, so those stay until the program ends, and are deleted then.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{checkpoint_dir(spark)}/maskframe-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.paths, self.made = spark, f"{checkpoint_dir(spark)}/maskframe-{uuid.uuid4().hex}", [], 0
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, conf
+        atexit.register(self._at_exit)
+
+    def path(self) -> str:
+        """A new path below the operator's own folder."""
+        self.made += 1
+        return f"{self.root}/{self.made}"
 
     def cut(self, df: DataFrame) -> DataFrame:
         """The same rows, read from a table just written."""
-        path = f"{self.root}/{len(self.paths)}"
+        path = self.path()
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        p = self._path(path)
+        p.getFileSystem(self._conf).delete(p, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the named tables, results of :meth:`cut`; nothing may read them any more."""
+        for t in tables:
+            for f in {f.rpartition("/")[0] for f in t.inputFiles()}:
+                if f.split("/")[-2:] in [p.split("/")[-2:] for p in self.paths]:
+                    self._delete(f)
+                    self.paths = [p for p in self.paths if p.split("/")[-2:] != f.split("/")[-2:]]
+
     def drop_earlier(self) -> None:
         """Delete all tables but the last one written."""
         for path in self.paths[:-1]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
         self.paths = self.paths[-1:]
+
+    def _at_exit(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the session's process may be gone; nothing is left to tell
+            pass

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +139,7 @@ def class_balance(spark: SparkSession, base: str) -> DataFrame:
 @query("""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, o_totalprice FROM r WHERE i IN (SELECT CASE WHEN k = 99 THEN (SELECT max(n) FROM r) - 1 ELSE CAST(floor(k * (((SELECT max(n) FROM r) - 1) / 99.0::DOUBLE)) AS BIGINT) END FROM range(100) t(k))""")
 def systematic_sample(spark: SparkSession, base: str) -> DataFrame:
-    return C.systematic_sample(table(spark, base, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_orderkey")], 100)
+    return C.systematic_sample(table(spark, base, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100)
 
 
 def _parts(spark: SparkSession, base: str, width: int = WIDTH) -> DataFrame:
@@ -214,11 +211,11 @@ lab(channel, x, c) USING KEY (channel, x) AS (
   SELECT channel, x, min(y) FROM e GROUP BY channel, x
   UNION
   SELECT e.channel, e.x, min(l.c) FROM e JOIN lab l ON l.channel = e.channel AND l.x = e.y JOIN recurring.lab r ON r.channel = e.channel AND r.x = e.x GROUP BY e.channel, e.x HAVING min(l.c) < min(r.c)
-), k AS (SELECT v.channel, count(*) AS area, avg(v.x) AS cx, avg(v.y) AS cy, min(v.x) AS "left", min(v.y) AS top, max(v.x) + 1 AS "right", max(v.y) + 1 AS bottom FROM v JOIN lab ON lab.channel = v.channel AND lab.x = v.id GROUP BY v.channel, lab.c)
+), k AS (SELECT v.channel, count(*) AS area, avg(v.x) AS cx, avg(v.y) AS cy, min(v.x) AS "left", min(v.y) AS top, max(v.x) + 1 AS "right", max(v.y) + 1 AS bottom, arg_min(v.x, v.id) AS first_x FROM v JOIN lab ON lab.channel = v.channel AND lab.x = v.id GROUP BY v.channel, lab.c)
 """
 
 
-@query(_COMPONENTS + """SELECT channel || '_' || lpad(row_number() OVER (PARTITION BY channel ORDER BY top, "left", bottom, "right")::VARCHAR, 3, '0') AS region_id, channel, area, round(cx, 6) AS cx, round(cy, 6) AS cy, "left", top, "right", bottom FROM k WHERE area >= 8""")
+@query(_COMPONENTS + """SELECT channel || '_' || lpad(row_number() OVER (PARTITION BY channel ORDER BY top, "left", first_x)::VARCHAR, 3, '0') AS region_id, channel, area, round(cx, 6) AS cx, round(cy, 6) AS cy, "left", top, "right", bottom FROM k WHERE area >= 8""")
 def components_regions(spark: SparkSession, base: str) -> DataFrame:
     c = B.components(_parts(spark, base), ["channel"], HEIGHT, WIDTH, 8)
     return B.number_regions(c, "channel").select("region_id", "channel", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "left", "top", "right", "bottom")
@@ -403,11 +400,11 @@ def best_epoch(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def streaming_meter(spark: SparkSession, base: str) -> DataFrame:
     """The confusion meter as a stream over the events, run to its end."""
-    from maskframe.plans.checkpoints import checkpoint_dir
+    from maskframe.plans.checkpoints import Cuts
     from maskframe.streaming.meter import windowed_confusion
 
     batch = table(spark, base, "events")
-    folder = tempfile.mkdtemp(prefix="meter-", dir=None) if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else f"{checkpoint_dir(spark)}/meter-{uuid.uuid4().hex}"
+    folder = Cuts(spark).root
     stream = spark.readStream.schema(batch.schema).parquet(f"{base.rstrip('/')}/events.parquet*")
     hot: Column = F.col("value") > 50
     out = windowed_confusion(stream, "ts", ["event_type"], hot, F.col("user_id") % 2 == 0)

@@ -43,8 +43,8 @@ def test_merge_reviews(spark):
 
 def test_systematic_sample(spark):
     df = spark.range(10).withColumnRenamed("id", "v")
-    assert sorted(r.v for r in C.systematic_sample(df, [F.col("v")], 4).collect()) == [0, 3, 6, 9]
-    assert C.systematic_sample(df, [F.col("v")], 0).count() == 10 and C.systematic_sample(df, [F.col("v")], 1).first().v == 0
+    assert sorted(r.v for r in C.systematic_sample(df, ["v"], 4).collect()) == [0, 3, 6, 9]
+    assert C.systematic_sample(df, ["v"], 0).count() == 10 and C.systematic_sample(df, ["v"], 1).first().v == 0
 
 
 def test_findings(spark):
