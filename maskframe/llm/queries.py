@@ -54,12 +54,16 @@ def p5_subset(spark: SparkSession, base: str) -> DataFrame:
     return varied.varied_subset(rows, "review_id", "char_id", FLAGS, REVIEW_SET, content).select("review_id", "char_id", *FLAGS, "pick_rank")
 
 
-def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
+def _mixed(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mixture(table(spark, base, "documents"), table(spark, base, "mix_targets"))
 
 
+def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return _mixed(spark, base).select("doc_id", "source", "tokens", "repeats")
+
+
 def p7_shares(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.shares(p7_mixture(spark, base), table(spark, base, "mix_targets"))
+    return mixing.shares(_mixed(spark, base), table(spark, base, "mix_targets"))
 
 
 QUERIES = {
