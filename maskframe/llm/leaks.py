@@ -1,30 +1,34 @@
 """Evaluation passages inside training documents.
 
-A passage of ``LETTERS`` normalised letters with isolated slips has at most ``BUDGET`` of them, so of any
-``BUDGET + 1`` pieces it is cut into one is exact (pigeonhole). Every window of an item counts as a passage;
-cutting each into ``BUDGET + 1`` equal pieces makes all the item's runs of ``PIECE`` letters pieces. Exact piece
-hits are found in one pass over each document by an automaton over all pieces. Around a hit the item's windows
-are compared with the document by Myers' bit-parallel distance; what is within the budget is then checked
-exactly: slips of one letter with at least ``APART`` right letters between them.
-
-The items are a stated, small query set and go to every task; documents stay where they are, without a
-shuffle, and whole.
+A passage of ``LETTERS`` normalised letters with slips at least ``APART`` right letters apart has at most
+``BUDGET`` of them, so of any ``BUDGET + 1`` pieces it is cut into one is exact (pigeonhole). Every window of an
+item counts as a passage; cutting each into ``BUDGET + 1`` equal pieces makes all the item's runs of ``PIECE``
+letters pieces. Exact piece hits are found in one pass over each document by an automaton over all pieces.
+Each window of the item through a hit is compared with the document by Myers' bit-parallel distance. A window
+within the budget is a passage if its edits, as many as the distance says, can be isolated slips; a slip that
+could stand at several places of a repeated letter is taken where the run from the hit ends.
+
+The items are a stated, small query set and go to every task, in groups of bounded size; documents stay where
+they are, without a shuffle, and whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-LETTERS, APART, BUDGET = 45, 12, 3
+LETTERS, APART = 45, 12
+#: Most slips within a passage that begins and ends with right letters.
+BUDGET = (LETTERS - 2 + APART) // (APART + 1)
 PIECE = LETTERS // (BUDGET + 1)
-#: Bound on the items' letters; the automaton of the pieces is built once for each Python worker.
-MAX_ITEM_LETTERS = 5_000_000
+#: Characters of the items searched for at once; more items are searched in further groups, each a pass over the documents.
+GROUP_LETTERS = 500_000
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -88,20 +92,22 @@ def _run(a: str, i: int, b: str, j: int, step: int) -> int:
     return _run_right(a, i, b, j) if step > 0 else _run_left(a, i, b, j)
 
 
-def _beyond(item: str, doc: str, i: int, j: int, step: int, need: int) -> int:
-    """Most item letters reached across the slip at (i, j), the end of a run, in one direction.
+def _slips(item: str, doc: str, i: int, j: int, step: int, need: int, most: int) -> int | None:
+    """Fewest slips that reach ``need`` more item letters in one direction from (i, j), the end of a run; None if ``most`` do not suffice.
 
-    Runs between two slips have ``APART`` letters; the last may be shorter. Stops once ``need`` are reached.
+    Runs between two slips have ``APART`` letters; the last may be shorter.
     """
-    best = 0
-    for di, dj in SLIPS:
+    if need <= 0:
+        return 0
+    best = None
+    for di, dj in SLIPS if most > 0 else ():
         a, b = i + step * di, j + step * dj
         run = _run(item, a, doc, b, step)
-        if run:
-            got = di + run
-            if got < need and run >= APART:
-                got += _beyond(item, doc, a + step * run, b + step * run, step, need - got)
-            best = max(best, got)
+        if not run:
+            continue
+        more = 0 if di + run >= need else _slips(item, doc, a + step * run, b + step * run, step, need - di - run, most - 1) if run >= APART else None
+        if more is not None and (best is None or more + 1 < best):
+            best, most = more + 1, more
     return best
 
 
@@ -110,24 +116,22 @@ def holds_passage(item: str, doc: str, i: int, j: int) -> bool:
     left = _run_left(item, i, doc, j)
     i, j = i - left, j - left  # the start of the exact run the hit lies in
     run = _run_right(item, i, doc, j)
-    if run >= LETTERS:
-        return True
     if run < APART:  # every passage has a longer run than this, and that one is a hit too
         return False
     # One side has to bring half of what lacks, or a run that may stand between two slips.
     least = min(APART, (LETTERS - run + 1) // 2 - 1)
     ends = ((i + run, j + run, 1), (i, j, -1))
-    if not any(_run(item, a + s * di, doc, b + s * dj, s) >= least for a, b, s in ends for di, dj in SLIPS):
-        return False
-    # Myers' distance of the windows through this run, a piece apart, with that much more budget.
-    window = doc[max(0, j - LETTERS) : j + run + LETTERS]
-    first, last = max(0, i + run - LETTERS), min(i, len(item) - LETTERS)
-    if not any(myers(item[s : s + LETTERS], window) <= BUDGET + PIECE for s in dict.fromkeys([*range(first, last + 1, PIECE), last])):
+    if run < LETTERS and not any(_run(item, a + s * di, doc, b + s * dj, s) >= least for a, b, s in ends for di, dj in SLIPS):
         return False
-    total = run
-    for a, b, s in ends:
-        total += _beyond(item, doc, a, b, s, LETTERS)
-    return total >= LETTERS
+    for s in range(max(0, i + run - LETTERS), min(i, len(item) - LETTERS) + 1) if run < LETTERS else (i,):
+        before, after = i - s, max(0, s + LETTERS - i - run)
+        edits = myers(item[s : s + LETTERS], doc[max(0, j - before - BUDGET) : j + LETTERS - before + BUDGET])
+        if edits > BUDGET:
+            continue
+        right = _slips(item, doc, i + run, j + run, 1, after, edits)
+        if right is not None and _slips(item, doc, i, j, -1, before, edits - right) is not None:
+            return True
+    return False
 
 
 class Pieces:
@@ -168,25 +172,42 @@ class Pieces:
         return sorted({self.items[n][0] for n in found})
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``item_id``: one row for each document and each item it holds a passage of.
+#: The automaton of the group a worker is busy with, built once in each worker.
+_BUILT: dict[str, Pieces] = {}
+
+
+def _pieces(key: str, shared) -> Pieces:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Pieces(shared.value)
+    return _BUILT[key]
 
-    Items are gathered under ``MAX_ITEM_LETTERS``; beyond it the call fails rather than dropping any. Null and
-    short texts hold nothing; items shorter than a passage are in no document; repeated documents come out
-    for each row, repeated items once.
-    """
-    spark = documents.sparkSession
-    rows = items.select(item_id, text).dropna().distinct().collect()  # the stated query set, bounded below
-    if sum(len(r[1]) for r in rows) > MAX_ITEM_LETTERS:
-        raise ValueError(f"items hold more than {MAX_ITEM_LETTERS} characters; search them in parts")
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+
+def _search(documents: DataFrame, items: list[tuple], kinds: tuple[str, str]) -> DataFrame:
+    key, shared = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(shared.value)
+        pieces = _pieces(key, shared)
         for b in batches:
             out = [(d, i) for d, t in zip(b["d"], b["t"]) for i in pieces.leaks(t)]
             yield pd.DataFrame(out, columns=["d", "i"])
 
+    return documents.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", group_letters: int = GROUP_LETTERS) -> DataFrame:
+    """``doc_id``, ``item_id``: one row for each document and each item it holds a passage of.
+
+    Items of more than ``group_letters`` characters in all are searched in groups by the hash of their id. Null
+    and short texts hold nothing; items shorter than a passage are in no document; repeated documents come out
+    for each row, repeated items once; other columns do not matter.
+    """
+    some = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).dropna().distinct()
+    groups = -(-int(some.agg(F.sum(F.length("t"))).first()[0] or 0) // group_letters) or 1
     kinds = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    found = documents.select(documents[doc_id].alias("d"), documents[text].alias("t")).mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}")
+    docs, found = documents.select(documents[doc_id].alias("d"), documents[text].alias("t")), None
+    for g in range(groups):
+        rows = some.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).collect()  # a group of the stated query set
+        part = _search(docs, [(r.i, r.t) for r in rows], kinds)
+        found = part if found is None else found.unionByName(part)
     return found.toDF(doc_id, item_id)

@@ -69,3 +69,60 @@ def test_table(spark):
     got = sorted((r.doc_id, r.item_id) for r in K.find_leaks(docs, items).collect())
     assert got == [(1, 7), (1, 7), (1, 10)]
     assert K.find_leaks(docs.limit(0), items).collect() == [] and K.find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_four_slips_in_one_passage():
+    p = ITEM[50:95]
+    assert K.BUDGET == 4 and holds(wrong(p, 3, 16, 29, 42))
+    assert not holds(wrong(p, 3, 15, 28, 41))
+
+
+def test_distance_decides(monkeypatch):
+    p = wrong(ITEM[50:95], 20)
+    assert holds(p)
+    monkeypatch.setattr(K, "myers", lambda a, b: 0)
+    assert not holds(p) and holds(ITEM[50:95])
+    monkeypatch.setattr(K, "myers", lambda a, b: K.BUDGET + 1)
+    assert not holds(ITEM[50:95])
+
+
+def brute(item, doc):
+    """Every window and every alignment of it with slips ``APART`` apart, by plain recursion."""
+
+    def go(i, j, end, since, slips):
+        if i == end:
+            return since > 0
+        ok = i < len(item) and j < len(doc) and item[i] == doc[j] and go(i + 1, j + 1, end, since + 1, slips)
+        if ok or (slips and since < K.APART) or not since:
+            return ok
+        return any(i + di <= end and go(i + di, j + dj, end, 0, slips + 1) for di, dj in K.SLIPS)
+
+    return any(go(s, j, s + K.LETTERS, 0, 0) for s in range(len(item) - K.LETTERS + 1) for j in range(len(doc)))
+
+
+def test_random_damage_against_brute_force():
+    rng = random.Random(11)
+    item = "ab"
+    while len(item) < 150:  # without double letters, so that a missing one has one place only
+        item += rng.choice([c for c in string.ascii_lowercase if c != item[-1]])
+    pieces, agree = K.Pieces([(1, item)]), 0
+    for _ in range(150):
+        at = rng.randint(0, 85)
+        p, k = list(item[at : at + rng.randint(44, 60)]), 0
+        while k < len(p):
+            k += rng.choice([11, 12, 13, 14, 25, 40])
+            if k < len(p):
+                p[k : k + 1] = rng.choice(([], ["0"], [p[k], "0"]))
+        text = "".join(p)
+        want = brute(item, text + "X" * 3)
+        agree += want
+        assert (pieces.leaks(NOISE[0] + text + NOISE[1]) == [1]) == want, text
+    assert 20 < agree < 140
+
+
+def test_groups_of_items(spark):
+    docs = spark.createDataFrame([(1, ITEM), (2, ITEM[::-1]), (3, "y" * 100)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM[:100]), (8, ITEM[100:]), (9, ITEM[::-1])], "item_id long, text string")
+    want = {(1, 7), (1, 8), (2, 9)}
+    for letters in (50, 150, 10_000):
+        assert {tuple(r) for r in K.find_leaks(docs, items, group_letters=letters).collect()} == want
