@@ -33,3 +33,20 @@ def test_copies_come_last_nulls_ties_and_empty(spark):
     got = {r.review_id for r in V.varied_subset(frame(spark, rows), "review_id", "char_id", ["a", "b"], 4, ["char_id", "a", "b", "note"]).collect()}
     assert got == {0, 50, 51, 52}
     assert V.varied_subset(frame(spark, []), "review_id", "char_id", ["a", "b"], 4).collect() == []
+
+
+def test_every_combination_before_further_characters(spark):
+    rows = [(i, str(i), str(i % 3), str(i % 5 if i % 50 == 0 else 0), f"n{i}") for i in range(600)]
+    combos = {(a, b) for _, _, a, b, _ in rows}
+    assert len(combos) > 10
+    got = V.varied_subset(frame(spark, rows), "review_id", "char_id", ["a", "b"], 30, ["char_id", "a", "b", "note"]).collect()
+    assert {(r.a, r.b) for r in got} == combos and len({r.char_id for r in got}) == 30
+
+
+def test_copies_only_after_all_distinct_records(spark):
+    rows = [(i, "1", "0", "0", f"n{i // 2}") for i in range(40)] + [(100 + i, str(i + 10), "1", "0", "one") for i in range(10)]
+    cols = ["char_id", "a", "b", "note"]
+    got = V.varied_subset(frame(spark, rows), "review_id", "char_id", ["a", "b"], 30, cols).collect()
+    assert len({(r.char_id, r.note) for r in got}) == 30
+    more = V.varied_subset(frame(spark, rows), "review_id", "char_id", ["a", "b"], 33, cols).collect()
+    assert len({(r.char_id, r.note) for r in more}) == 30 and len(more) == 33 and max(r.pick_rank for r in more) == 23
