@@ -8,6 +8,7 @@ on statistics, and exported as one SQL CASE expression that is applied natively
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
@@ -17,18 +18,37 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that rules are learned from, at most; of more, those with the least hash are taken.
 MAX_LABELLED = 20_000
-#: With fewer labelled rows of either side the default list applies.
-MIN_LABELLED = 5
-#: Least precision (with Laplace's correction) of an accepted rule on held-out rows, and least part of their
-#: positive rows it covers: rules that only explain wrong labels end the induction.
+#: A rule is grown to at most so many conditions, a list to at most so many rules.
+MAX_CONDITIONS, MAX_RULES = 6, 12
+#: An accepted rule is right for most held-out rows it covers, has at least this precision (with Laplace's
+#: correction) on all labelled rows not covered before, and covers at least this part of the positive ones:
+#: rules that only explain wrong labels end the induction.
 MIN_PRECISION, MIN_COVER = 0.8, 0.02
+#: Random divisions into growing and pruning rows; the list with the fewest errors on all labelled rows is taken.
+DIVISIONS = 5
+#: Applies, with a warning and marked in :func:`rule_report`, where labels support no rule at all.
 DEFAULT_RULES: list[list[tuple[str, str, float]]] = [[("prose_share", "<=", 0.5)]]
 
-COMMON_CHARS = "的了在是不就也把从到才都还和与用里得这那要再会可因所以而且着被让给对一每只很时上下看有"
-COMMON_WORDS = "the a an of to and in is was that it for on with as at by be this from or but not are were had have its so then one they you i we he she after before what when if no only would could because which who there their my our your"
+#: Characters and words that hold sentences together, by language; own choice, not fitted.
+COMMON_CHARS = (
+    "的了在是不就也把从到才都还和与用里得这那要再会可因所以而且着被让给对一每只很时上下看有"
+    "のはがをにでとてたしるれもへやかならです"
+    "은는을를의에로와과도고다"
+)
+COMMON_WORDS = (
+    "the a an of to and in is was that it for on with as at by be this from or but not are were had have its so then one they you i we he she after before what when if no only would could because which who there their my our your "
+    "der die das und ist nicht ein eine zu den mit von auf für sich auch es im dem wird "
+    "le la les des et est un une dans pour que qui pas sur avec ce il au du ne "
+    "el los las y es una por con para no se del al lo como más su "
+    "il di che è non per con sono della del una si come anche "
+    "o os as e é um uma do da em não por com para se na no que "
+    "het een van en niet dat zijn op te met voor ook "
+    "и в не на что с по как это к но из у за от для"
+)
 MARKER = r"\A\s*(?:[-*+•·◦○●▪■□]\s|[（(]?[0-9]{1,3}[.)、）:：]\s*(?=\D)|[（(]?[a-zA-Z一二三四五六七八九十]{1,2}[.)、）]\s|\[[ xX]?\])"
 ENDS = "[.!?。！？…;；:：,，]"
 MARK = "\x01"
+LETTER = "a-zA-ZÀ-ɏЀ-ӿ"
 #: In the order in which equally good conditions are tried.
 STATS = ["prose_share", "common_share", "repeat_share", "tabular_share", "marker_share", "symbol_ratio", "digit_ratio", "long_token_share", "short_line_share", "end_punctuation", "sentence_density", "mean_word_length", "words"]
 
@@ -44,9 +64,8 @@ def _trie(words: list[str]) -> str:
 
 
 def _word_pattern() -> str:
-    words = COMMON_WORDS.split()
-    spelt = {f(w) for w in words for f in (str, str.capitalize, str.upper)}
-    return f"(?=[a-zA-Z])(?<![a-zA-Z0-9]){_trie(sorted(spelt))}(?![a-zA-Z0-9])"
+    spelt = {f(w) for w in COMMON_WORDS.split() for f in (str, str.capitalize, str.upper)}
+    return f"(?=[{LETTER}])(?<![0-9{LETTER}]){_trie(sorted(spelt))}(?![0-9{LETTER}])"
 
 
 def _sum(pieces: Column, of: Callable[[Column], Column]) -> Column:
@@ -141,7 +160,7 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rule:
     """Add the condition of greatest information gain until no negative row is covered."""
     rule: Rule = []
     inside = np.ones(len(x), bool)
-    while len(rule) < 6 and (~y[inside]).any():
+    while len(rule) < MAX_CONDITIONS and (~y[inside]).any():
         p0, n0 = y[inside].sum(), (~y[inside]).sum()
         if not p0:
             break
@@ -180,31 +199,51 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[
     return best
 
 
-def induce(x: np.ndarray, y: np.ndarray, names: list[str] = STATS, seed: int = 0) -> list[Rule]:
-    """Ordered rules for ``y`` by incremental reduced-error pruning; two thirds grow, one third prunes."""
-    if min(y.sum(), (~y).sum()) < MIN_LABELLED:
-        return [list(r) for r in DEFAULT_RULES]
-    rng, rules, most = np.random.default_rng(seed), [], None
+def _one_list(x: np.ndarray, y: np.ndarray, names: list[str], rng: np.random.Generator) -> list[Rule]:
+    """Incremental reduced-error pruning under one series of random divisions: two thirds grow, one third prunes."""
+    rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    for _ in range(12):
+    while len(rules) < MAX_RULES:
         at = {c: rng.permutation(np.flatnonzero(left & (y == c))) for c in (True, False)}
-        if len(at[True]) < 3:
+        if min(map(len, at.values())) < 3:
             break
         grow = np.concatenate([i[: (2 * len(i) + 2) // 3] for i in at.values()])
         keep = np.concatenate([i[(2 * len(i) + 2) // 3 :] for i in at.values()])
-        most = most or int(y[keep].sum())
-        rule, worth, p = _prune(_grow(x[grow], y[grow], names), x[keep], y[keep], names)
-        covered = round(2 * p / (1 + worth)) if p else 0
-        if not rule or (p + 1) / (covered + 2) < MIN_PRECISION or p < MIN_COVER * most:
-            break
+        rule, worth, _ = _prune(_grow(x[grow], y[grow], names), x[keep], y[keep], names)
         hit = _covers(rule, x, names)
+        p, n = int(y[hit & left].sum()), int((~y[hit & left]).sum())
+        if not rule or worth <= 0 or (p + 1) / (p + n + 2) < MIN_PRECISION or p < max(3, MIN_COVER * y.sum()):
+            break
         for k in range(len(rule) - 1, 0, -1):  # later conditions that change nothing, the last one first
             fewer = rule[:k] + rule[k + 1 :]
             if (_covers(fewer, x, names) == hit).all():
                 rule = fewer
         rules.append(rule)
         left &= ~hit
-    return rules or [list(r) for r in DEFAULT_RULES]
+    return rules
+
+
+def covered(rules: list[Rule], x: np.ndarray, names: list[str] = STATS) -> np.ndarray:
+    """Rows that any of the rules covers."""
+    hit = np.zeros(len(x), bool)
+    for r in rules:
+        hit |= _covers(r, x, names)
+    return hit
+
+
+def induce(x: np.ndarray, y: np.ndarray, names: list[str] = STATS, seed: int = 0) -> list[Rule]:
+    """Ordered rules for ``y``; of ``DIVISIONS`` lists the one with the fewest errors, then conditions. No rule where labels support none."""
+    lists = [_one_list(x, y, names, np.random.default_rng([seed, k])) for k in range(DIVISIONS)]
+    return min(lists, key=lambda rules: (int((covered(rules, x, names) != y).sum()), sum(map(len, rules))))
+
+
+def held_out_f1(x: np.ndarray, y: np.ndarray, names: list[str] = STATS, folds: int = 5, seed: int = 0) -> float | None:
+    """F1 of lists induced without a fold on that fold, over all folds; None without a positive row."""
+    fold, guess = np.random.default_rng(seed).permutation(len(x)) % folds, np.zeros(len(x), bool)
+    for k in range(folds):
+        guess[fold == k] = covered(induce(x[fold != k], y[fold != k], names, seed), x[fold == k], names)
+    both = int((guess & y).sum())
+    return 2 * both / int(guess.sum() + y.sum()) if y.any() else None
 
 
 def rules_sql(rules: list[Rule], then: str = "true", otherwise: str = "false") -> str:
@@ -213,15 +252,35 @@ def rules_sql(rules: list[Rule], then: str = "true", otherwise: str = "false") -
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str = "kind", prose: str = "prose") -> list[Rule]:
-    """Rules for what is not prose, from at most ``MAX_LABELLED`` labelled documents."""
+def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, kind: str = "kind", prose: str = "prose") -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and sides (other matter or not) of at most ``MAX_LABELLED`` labelled documents."""
     some = labels.where(F.col(kind).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, (F.lower(F.trim(kind)) != prose).alias("_y"))
     some = some.orderBy(F.xxhash64(doc_id), "_y").limit(MAX_LABELLED)
     # The limit bounds the broadcast: the labels travel to the documents, whose texts are not shuffled.
     found = docs.select(doc_id, text).join(F.broadcast(some), doc_id)
     stats = statistics(found.select(F.struct(doc_id, "_y").alias("_k"), text), "_k", text)
     rows = stats.select("_k.*", *STATS).toPandas().sort_values([doc_id, "_y"], kind="stable")
-    return induce(rows[STATS].to_numpy(float).reshape(-1, len(STATS)), rows["_y"].to_numpy(bool))
+    return rows[STATS].to_numpy(float).reshape(-1, len(STATS)), rows["_y"].to_numpy(bool)
+
+
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[Rule], bool]:
+    """Rules for what is not prose, and whether the labels gave them; the default ones, with a warning, where they support none."""
+    rules = induce(*labelled_statistics(docs, labels, doc_id, text))
+    if not rules:
+        warnings.warn("the labels support no rule; the default rule is applied", stacklevel=2)
+    return rules or [list(r) for r in DEFAULT_RULES], bool(rules)
+
+
+def rule_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each rule: ``place``, ``rule``, ``origin`` (learned or default), labelled rows ``covered``, ``precision`` on them, and the list's ``held_out_f1``."""
+    x, y = labelled_statistics(docs, labels, doc_id, text)
+    rules = induce(x, y)
+    origin, f1, rows, left = "learned" if rules else "default", held_out_f1(x, y), [], np.ones(len(x), bool)
+    for k, r in enumerate(rules or DEFAULT_RULES, 1):
+        hit = _covers(r, x, STATS) & left
+        rows.append((k, " AND ".join(f"{f} {op} {v:.6g}" for f, op, v in r), origin, int(hit.sum()), round(float(y[hit].mean()), 6) if hit.any() else None, None if f1 is None else round(f1, 6)))
+        left &= ~hit
+    return docs.sparkSession.createDataFrame(rows, "place int, rule string, origin string, covered bigint, precision double, held_out_f1 double")
 
 
 def not_prose(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +289,7 @@ def not_prose(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     Labels without a document are left out; of several labels of a document each counts. Empty texts are
     other matter under the default rules.
     """
-    rules = learn(docs, labels, doc_id, text)
+    rules, _ = learn(docs, labels, doc_id, text)
     stats = statistics(docs, doc_id, text)
     # One-element explode: the statistics are computed once a row, below the CASE that filters on them.
     rows = stats.select(doc_id, F.explode(F.array(F.struct(*STATS))).alias("_s")).select(doc_id, "_s.*")

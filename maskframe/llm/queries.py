@@ -44,6 +44,10 @@ def p8_statistics(spark: SparkSession, base: str) -> DataFrame:
     return quality.statistics(table(spark, base, "documents"))
 
 
+def p8_rules(spark: SparkSession, base: str) -> DataFrame:
+    return quality.rule_report(table(spark, base, "documents"), table(spark, base, "doc_labels"))
+
+
 FLAGS = ["difficulty_crossing", "difficulty_adhesion", "difficulty_endpoint", "difficulty_line_width", "difficulty_background", "difficulty_style"]
 REVIEW_SET = 2000
 
@@ -68,7 +72,7 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_assign": p3_assign, "p5_subset": p5_subset,
-    "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics,
+    "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_rules": p8_rules,
 }
 
 _NUM = r"CASE WHEN regexp_full_match(translate(trim({c}), '０１２３４５６７８９．', '0123456789.'), '[0-9]+(\.0*)?') THEN CAST(CAST(translate(trim({c}), '０１２３４５６７８９．', '0123456789.') AS DECIMAL(38, 2)) AS BIGINT) END"

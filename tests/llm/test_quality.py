@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from maskframe.llm import quality as Q
 
 PROSE = "We tried to change the brush after the second review, and the shape settled at once. It was hard to say why the old one had failed."
@@ -46,7 +47,8 @@ def test_rules_are_found_and_exported():
         hit |= Q._covers(r, x, Q.STATS)
     assert (hit == y).mean() > 0.95
     assert Q.rules_sql(rules).startswith("CASE WHEN ")
-    assert Q.induce(x[:4], y[:4]) == Q.DEFAULT_RULES
+    assert len(rules) >= 2 and Q.held_out_f1(x, noisy) > 0.9
+    assert Q.induce(x[:4], y[:4]) == [] and Q.held_out_f1(x[:0], y[:0]) is None
 
 
 def test_held_out_accuracy_and_tables(spark):
@@ -56,4 +58,24 @@ def test_held_out_accuracy_and_tables(spark):
     labels = spark.createDataFrame([(i, k) for i, _, k in rows if i % 2] + [(99999, "list"), (1, None)], "doc_id long, kind string")
     got = {r.doc_id for r in Q.not_prose(docs, labels).collect()}
     assert sum((i in got) == (k != "prose") for i, _, k in rows) / len(rows) > 0.97
-    assert Q.not_prose(docs, labels.limit(0)).count() > 0 and Q.not_prose(docs.limit(0), labels).count() == 0
+    report = Q.rule_report(docs, labels).collect()
+    assert {r.origin for r in report} == {"learned"} and report[0].held_out_f1 > 0.9
+    with pytest.warns(UserWarning, match="no rule"):
+        assert Q.not_prose(docs, labels.limit(0)).count() > 0
+    assert [r.origin for r in Q.rule_report(docs, labels.limit(0)).collect()] == ["default"]
+    assert Q.not_prose(docs.limit(0), labels).count() == 0
+
+
+OTHER_LANGUAGES = [
+    "Der Pinsel wird mit der Hand geführt und nicht mit dem Arm. Es ist schwer, eine Linie zu ziehen, die sich nicht verliert.",
+    "Le pinceau est tenu par la main et ne touche pas le papier. Il y a une ligne qui se perd dans les marges du texte.",
+    "El pincel se lleva con la mano y no con el brazo. Es una línea que se pierde en los márgenes del papel.",
+    "Кисть держат в руке, и линия не должна теряться на бумаге. Это трудно, но к этому можно привыкнуть.",
+    "筆は手で持ち、腕で動かすのではない。線が紙の端で消えることもある。",
+    "붓은 손으로 잡고 팔로 움직이지 않는다. 선이 종이의 끝에서 사라지는 것은 어렵다.",
+]
+
+
+def test_prose_of_other_languages(spark):
+    got = stats(spark, OTHER_LANGUAGES)
+    assert [t for i, t in enumerate(OTHER_LANGUAGES) if got[i].prose_share < 0.7] == []

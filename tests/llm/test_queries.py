@@ -8,7 +8,7 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_restored", "p3_found", "p3_assign", "p5_subset", "p6_found", "p7_mixture", "p7_shares", "p8_found", "p8_statistics"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_restored", "p3_found", "p3_assign", "p5_subset", "p6_found", "p7_mixture", "p7_shares", "p8_found", "p8_statistics", "p8_rules"])
 def test_query_runs(spark, name):
     df = entry.queries()[name](spark, SMALL)
     assert len(set(df.columns)) == len(df.columns)
