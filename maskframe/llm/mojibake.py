@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from maskframe.plans.checkpoints import Cuts
 
 #: Code pages a text may have been read in by mistake; cp1252 stands for Latin-1 too (its gaps pass through).
-SINGLE_BYTE = ["cp1252", "mac_roman", "cp1251", "cp437", "cp850", "koi8_r", "cp1250"]
+SINGLE_BYTE = ["cp1252", "mac_roman", "cp1251", "cp437", "cp850", "koi8_r", "cp1250", "cp866"]
 DOUBLE_BYTE = ["gb18030", "cp932", "cp949", "cp950"]
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 GBK = re.compile(rb"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x81-\xfe][0-9][\x81-\xfe][0-9])+")
@@ -35,6 +35,8 @@ TARGETS = [
 ]
 #: Two neighbours that single-byte code pages have beyond ASCII; without them none of those pages can hold a span.
 HIGH_PAIR = re.compile("[" + "".join(sorted({bytes([b]).decode(c, "ignore") for c in SINGLE_BYTE for b in range(128, 256)} | {chr(x) for x in range(128, 160)})).replace("]", r"\]").replace("\\", r"\\") + "]{2}")
+#: What UTF-8 read in cp866 holds and Russian text does not.
+BOX = re.compile("[\u2500-\u259f]")
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 LOST = "�"
 #: Least gain in log likelihood of a span that is accepted: by single-byte and by double-byte code page, and
@@ -43,6 +45,10 @@ LOST = "�"
 MIN_GAIN, MIN_GAIN_DOUBLE, MIN_GAIN_CHAR, MIN_GAIN_PAIR = 3.0, 4.0, 2.5, 8.0
 MAX_LEVELS = 3
 CHINESE = re.compile("[\x00-\x7f\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]*")
+#: Other encodings that the bytes of a GBK reading may belong to as well: double-byte ones, and single-byte ones of other scripts.
+RIVALS, RIVAL_LETTERS = ["cp949", "euc_jp", "cp932", "cp950"], ["cp1251", "koi8_r", "cp1253"]
+#: Least part of a reading's new characters that other values hold, for it to be believed against a rival.
+FAMILIAR = 0.75
 STRICT = {f"utf-8 via {c}" for c in SINGLE_BYTE}
 
 
@@ -188,7 +194,7 @@ def undo(text: str, logp: Likelihood) -> tuple[str, str] | None:
     single = HIGH_PAIR.search(text) is not None
     for target, automaton, codecs in TARGETS:
         for codec in codecs:
-            if codec in SINGLE_BYTE and not single:
+            if codec in SINGLE_BYTE and not single or codec == "cp866" and not BOX.search(text):
                 continue
             got = spans(text, codec, target, automaton, logp)
             if _sure(text, target, codec, got, logp):
@@ -217,8 +223,8 @@ def repair(text: str | None, logp: Likelihood) -> tuple[str | None, str] | None:
     now, how = text, []
     for _ in range(MAX_LEVELS):
         step = undo(now, logp)
-        if step is None:
-            break
+        if step is None or (how and LOST in now and step[1].startswith("gb18030")):
+            break  # what a lost byte leaves of a sequence is no GBK text
         if LOST in step[0] and step[0].count(LOST) > now.count(LOST):
             how.append("lost")
             break
@@ -259,6 +265,51 @@ def judge(text: str, n: int, every: Likelihood, distinct: Likelihood) -> tuple[s
     return sure if sure is not None and _whole(text, *sure) else None
 
 
+def _familiar(chars: list[str], logp: Likelihood) -> float:
+    new = [c for c in chars if not c.isascii()]
+    return sum(logp.counts.get(c, 0) > 0 for c in new) / len(new) if new else 0.0
+
+
+def _letters(text: str) -> bool:
+    """Whether a single-byte reading looks like words: letters, mostly small ones, and everyday signs."""
+    letters = [c for c in text if c.isalpha()]
+    signs = [c for c in text if not c.isalpha() and not c.isascii()]
+    return len(letters) >= 3 and not signs and sum(c.islower() for c in letters) >= 0.6 * len(letters)
+
+
+def settle(text: str, restored: str | None, how: str, logp: Likelihood) -> tuple[str | None, str]:
+    """The restored text, or None where GBK is only one of the encodings its bytes may have been.
+
+    The structure of GBK fits the bytes of most double-byte encodings. A reading by GBK whose new characters are
+    mostly unknown to all other values gives way to a rival whose characters are known, and to no text at all if
+    there are only unknown rivals.
+    """
+    if restored is None or "gb18030" not in how or _familiar([c for c in restored if c not in set(text)], logp) >= FAMILIAR:
+        return restored, how
+    if "," in how:
+        return None, f"{how}, uncertain"
+    codec, rivals = how.split(" via ")[1], []
+    found = spans(text, codec, "gb18030", GBK, logp)
+    for rival in RIVALS:
+        try:
+            out, at = [], 0
+            for _, i, j, _ in found:
+                out += [text[at:i], b"".join(to_bytes(c, codec) for c in text[i:j]).decode(rival)]
+                at = j
+            rivals.append((_familiar([c for x in out[1::2] for c in x], logp), rival, "".join([*out, text[at:]])))
+        except UnicodeDecodeError:
+            continue
+    parts = [to_bytes(c, codec) for c in text]  # a single-byte rival has to explain the whole text
+    for rival in RIVAL_LETTERS if all(len(p) == 1 for p in parts) else ():
+        read = b"".join(parts).decode(rival, "replace")
+        if LOST not in read and _letters(read):
+            rivals.append((_familiar(list(read), logp), rival, read))
+    if not rivals:
+        return restored, how
+    best = max(rivals, key=lambda r: r[0])
+    return (best[2], f"{best[1]} via {codec}") if best[0] >= FAMILIAR else (None, f"{how}, uncertain")
+
+
 def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     """``text``, ``n``: each distinct value of ``fields`` but null and empty ones, and how often it stands there."""
     return df.select(F.explode(F.array(*fields)).alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
@@ -283,7 +334,7 @@ def char_counts(values: DataFrame) -> DataFrame:
 def find_garbled(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     """One row for each garbled value: ``row_id``, ``field_name``, ``original``, ``restored``, ``how``.
 
-    ``restored`` is null where nothing can be recovered. Repeated rows come out as often as they came in;
+    ``restored`` is null where nothing can be recovered or several readings are as good. Repeated rows come out as often as they came in;
     nulls, empty texts and an empty table give no rows. Texts are read whole.
     """
     spark = df.sparkSession
@@ -295,7 +346,7 @@ def find_garbled(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
         every, distinct = map(Likelihood, shared.value)
         for b in batches:
             got = [(text, judge(text, int(n), every, distinct)) for text, n in zip(b["text"], b["n"])]
-            yield pd.DataFrame([(text, *g) for text, g in got if g is not None], columns=["original", "restored", "how"])
+            yield pd.DataFrame([(text, *settle(text, *g, every)) for text, g in got if g is not None], columns=["original", "restored", "how"])
 
     # Only values with a character beyond ASCII leave the JVM, each once, and are spread anew: judging is the larger part of the work.
     beyond = r"[^\x00-\x7F]"

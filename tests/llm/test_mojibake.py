@@ -92,3 +92,32 @@ def test_garbled_part_and_values_that_share_characters():
     distinct = M.Likelihood(Counter("".join(CORRECT * 5)) + Counter(half + names[0] + names[1]))
     assert M.judge(half, 5000, every, distinct)[0] == "横竖交叉多，中段偏重"
     assert [M.judge(t, n, every, distinct)[0] for t, n in zip(names, (5000, 1))] == ["Jürgen_b", "größer schreiben, über"]
+
+
+FOREIGN = ["획이 얇다", "가로획 다시 확인", "払いが短い。再確認", "失いが多い", "штрих тонкий, проверить", "кисть слишком сухая"]
+READ_WRONG = [("euc_kr", "latin-1"), ("euc_jp", "latin-1"), ("shift_jis", "latin-1"), ("cp1251", "latin-1"), ("utf-8", "cp866"), ("euc_kr", "gb18030"), ("shift_jis", "gb18030")]
+
+
+@pytest.mark.parametrize("true, read", READ_WRONG)
+def test_other_encodings_are_restored_or_left_open(true, read):
+    """In a Chinese column, text of other languages read wrongly comes back right or not at all, never as other text."""
+    every = M.Likelihood(Counter("".join(CORRECT * 50)))
+    tried = 0
+    for text in FOREIGN:
+        try:
+            garbled = text.encode(true).decode(read)
+        except UnicodeError:
+            continue
+        got = M.judge(garbled, 1, every, every)
+        if got is not None:
+            restored, how = M.settle(garbled, *got, every)
+            assert restored in (None, text), (text, garbled, restored, how)
+            tried += 1
+    assert tried or read == "gb18030"
+
+
+def test_known_rival_is_taken():
+    counts = M.Likelihood(Counter("획이 얇다 가로획 다시 확인 세로획도 확인" * 50))
+    garbled = "가로획 다시 확인".encode("euc_kr").decode("latin-1")
+    got = M.judge(garbled, 1, counts, counts)
+    assert M.settle(garbled, *got, counts)[0] == "가로획 다시 확인"
