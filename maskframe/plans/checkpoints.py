@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -53,6 +54,12 @@ class Cuts:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """As :meth:`cut`, with the number of rows (those that are ``what``), observed as they are written."""
+        seen = Observation()
+        done = self.cut(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")))
+        return done, seen.get["n"]
+
     def _delete(self, path: str) -> None:
         p = self._path(path)
         p.getFileSystem(self._conf).delete(p, True)
