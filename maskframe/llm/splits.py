@@ -34,6 +34,38 @@ def number_key(c: Column) -> Column:
     return F.when(n != "", F.regexp_replace(F.regexp_replace(n, r"\A(-?)0+(?=[0-9])", "$1"), r"\A-0\z", "0"))
 
 
+def _coded(rows: DataFrame, keys: list[str], cuts: Cuts, *more: Column) -> DataFrame:
+    """``_a``, ``_b`` and ``more``, written once: the two keys as exact whole numbers, ``2 * key + side``.
+
+    A key that is too long for that is numbered among its like above all coded ones; its text is kept by join.
+    """
+    least, most = -(2**60), 2**60
+    longs = F.lit(None).cast("string")
+    coded, texts = [], []
+    for side, k in enumerate(keys):
+        n = F.col(k).try_cast("bigint")  # the common spelling needs no pattern
+        slow = F.when(n.isNull(), number_key(F.col(k)))
+        n = F.coalesce(n, slow.try_cast("bigint"))
+        fits = n.between(least, most)
+        coded.append(F.when(fits, n * 2 + side).alias(("_a", "_b")[side]))
+        texts.append(F.when(F.coalesce(fits, F.lit(False)), longs).otherwise(F.coalesce(slow, n.cast("string"))).alias(f"_t{side}"))
+    v = cuts.cut(rows.select(*more, *coded, *texts))
+    if v.where("_t0 IS NOT NULL OR _t1 IS NOT NULL").isEmpty():
+        return v.drop("_t0", "_t1")
+    for side, c in enumerate(("_a", "_b")):
+        names = v.select(F.col(f"_t{side}").alias("_t")).where("_t IS NOT NULL").distinct()
+        names = cuts.cut(names.select("_t", ((F.monotonically_increasing_id() + F.lit(2**61)) * 2 + side).alias("_n")))
+        v = v.join(names.withColumnRenamed("_t", f"_t{side}"), f"_t{side}", "left").withColumn(c, F.coalesce(c, "_n")).drop("_n", f"_t{side}")
+    return cuts.cut(v)
+
+
+def _moves(edges: DataFrame, k: int) -> DataFrame:
+    """``t``, ``p``: each tail of round ``k`` that has heads among its neighbours, and the least of them."""
+    head = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.where(~head("u") & head("v")).groupBy(F.col("u").alias("t")).agg(F.min("v").alias("p"))
+
+
 def _contract(edges: DataFrame, moves: DataFrame) -> DataFrame:
     """Edges with moved end points renamed; loops and repeats are gone. ``u < v``."""
     mu, mv = moves.toDF("u", "_pu"), moves.toDF("v", "_pv")
@@ -44,22 +76,27 @@ def _contract(edges: DataFrame, moves: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, first: str, second: str) -> DataFrame:
     """``vertex``, ``component`` for every vertex that shares an edge with another one.
 
-    ``pairs`` holds rows with two vertex names; rows where either is null make no edge. A vertex without
+    ``pairs`` holds rows with two vertices; rows where either is null make no edge. A vertex without
     edges has no row: it is its own component. The component's name is one of its vertices.
     """
     e = pairs.select(F.col(first).alias("h"), F.col(second).alias("t")).where("h IS NOT NULL AND t IS NOT NULL AND h <> t").distinct()
     cuts = Cuts(pairs.sparkSession)
     cut = cuts.cut
     e = cut(e)
-    moves = [cut(e.groupBy("t").agg(F.min("h").alias("p")))]
-    edges = cut(e.join(moves[0], "t").where("h <> p").select(F.least("h", "p").alias("u"), F.greatest("h", "p").alias("v")).distinct())
+
+    def round_(edges: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Moves and contracted edges, written by one job; and the number of those edges."""
+        left = _contract(edges, m).select(F.lit(1).alias("k"), F.col("u").alias("x"), F.col("v").alias("y"))
+        both, n = cuts.counted(m.select(F.lit(0).alias("k"), F.col("t").alias("x"), F.col("p").alias("y")).unionByName(left), F.col("k") == 1)
+        return both.where("k = 0").select(F.col("x").alias("t"), F.col("y").alias("p")), both.where("k = 1").select(F.col("x").alias("u"), F.col("y").alias("v")), n
+
+    first_moves, edges, n = round_(e.toDF("u", "v"), e.groupBy("t").agg(F.min("h").alias("p")))
+    moves = [first_moves]
     for k in range(1, MAX_ROUNDS):
-        if edges.isEmpty():
+        if not n:
             break
-        heads = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0  # noqa: B023, E731
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        moves.append(cut(both.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("p")).toDF("t", "p")))
-        edges = cut(_contract(edges, moves[-1]))
+        done, edges, n = round_(edges, _moves(edges, k))
+        moves.append(done)
     else:
         raise RuntimeError("contraction did not end")
     # Later rounds hold few vertices: their moves, each vertex moving once, are followed by pointer doubling.
@@ -79,33 +116,34 @@ def components(pairs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def related_sets(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
-    """``row_id``, ``anchor`` (a vertex of the row) and ``component`` for each row; two keys, numbers as text.
+    """``row_id``, ``component`` for each row; two keys, whole numbers however written.
 
-    A row without any key is a set of its own and named by its id. Repeated ids come out as often as they
-    came in.
+    A component is named by the code of one of its keys. A row without any key is a set of its own and named by
+    its id. Repeated ids come out as often as they came in; an empty table gives no rows.
     """
-    a, b = (F.concat(F.lit(f"{i}:"), number_key(F.col(k))) for i, k in enumerate(keys))
-    v = rows.select(row_id, a.alias("_a"), b.alias("_b"))
+    cuts = Cuts(rows.sparkSession)
+    v = _coded(rows, keys, cuts, F.col(row_id))
     found = components(v, "_a", "_b")
-    v = v.select(row_id, F.coalesce("_a", "_b", F.concat(F.lit("row:"), F.col(row_id).cast("string"))).alias("anchor"))
-    return v.join(found, v.anchor == found.vertex, "left").select(row_id, "anchor", F.coalesce("component", "anchor").alias("component"))
+    v = v.select(row_id, F.coalesce("_a", "_b").alias("anchor"))
+    name = F.coalesce(F.coalesce("component", "anchor").cast("string"), F.concat(F.lit("row:"), F.col(row_id).cast("string")))
+    return v.join(found, v.anchor == found.vertex, "left").select(row_id, name.alias("component"))
 
 
 def torn_rows(rows: DataFrame, row_id: str, keys: list[str], split: str) -> DataFrame:
     """``row_id`` of every row of each related set whose split takes more than one value.
 
     Split names compare trimmed and without case; blank ones are no value. Splits are first brought down to
-    one row for each anchor, so a common key never meets in one task.
+    one row for each anchor and name, so a common key never meets in one task.
     """
-    a, b = (F.concat(F.lit(f"{i}:"), number_key(F.col(k))) for i, k in enumerate(keys))
-    v = rows.select(row_id, a.alias("_a"), b.alias("_b"), F.lower(blank_to_null(F.col(split))).alias("_s"))
-    v = v.where("_a IS NOT NULL OR _b IS NOT NULL")
+    cuts = Cuts(rows.sparkSession)
+    v = _coded(rows, keys, cuts, F.col(row_id), F.lower(blank_to_null(F.col(split))).alias("_s")).where("_a IS NOT NULL OR _b IS NOT NULL")
     found = components(v, "_a", "_b")
     v = v.withColumn("anchor", F.coalesce("_a", "_b"))
-    seen = v.groupBy("anchor").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
-    seen = seen.join(found, seen.anchor == found.vertex, "left").select("anchor", F.coalesce("component", "anchor").alias("component"), "lo", "hi")
-    torn = seen.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("component")
-    return v.join(seen.join(torn, "component").select("anchor"), "anchor", "left_semi").select(row_id)
+    seen = v.groupBy("anchor", "_s").agg(F.count("*").alias("_n"))
+    seen = seen.join(found, seen.anchor == found.vertex, "left").select("anchor", F.coalesce("component", "anchor").alias("component"), "_s")
+    torn = seen.where("_s IS NOT NULL").groupBy("component", "_s").agg(F.count("*").alias("_n")).groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1")
+    anchors = seen.join(torn, "component", "left_semi").select("anchor").distinct()
+    return v.join(anchors, "anchor", "left_semi").select(row_id)
 
 
 def assign_splits(sets: DataFrame, row_id: str, shares: dict[str, float], seed: int = 0) -> DataFrame:

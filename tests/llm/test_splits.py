@@ -87,3 +87,14 @@ def test_number_key(spark):
     rows = [("7",), (" ７.0 ",), ("007",), ("-0",), ("1" * 40,), ("7.5",), ("",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "v string").select(S.number_key(F.col("v"))).collect()]
     assert got == ["7", "7", "7", "0", "1" * 40, None, None, None]
+
+
+def test_keys_of_any_spelling_and_length(spark):
+    big, bigger = "9" * 30, "1" + "0" * 40
+    rows = [(1, "7", "a", "train", None), (2, " 007.0", "x", "val", None), (3, "７", big, "train", None), (4, "8", "0" * 5 + big, "test", None), (5, bigger, "5", "val", None), (6, bigger, "6", "val", None), (7, "7.5", None, "val", None), (8, str(2**62), "61", "train", None), (9, "+" + str(2**62), "62", "test", None)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], SCHEMA)
+    sets = {}
+    for r in S.related_sets(df, "review_id", ["char_id", "sample_index"]).collect():
+        sets.setdefault(r.component, set()).add(r.review_id)
+    assert sorted(map(sorted, sets.values())) == [[1, 2, 3, 4], [5, 6], [7], [8, 9]]
+    assert sorted(r.review_id for r in S.torn_rows(df, "review_id", ["char_id", "sample_index"], "split").collect()) == [1, 2, 3, 4, 8, 9]
