@@ -3,11 +3,14 @@
 A parent is present on half-open integer intervals (a plain integer key ``k`` is ``[k, k + 1)``; a dated
 record is its life in microseconds under its text key). Intervals are compressed to contiguous runs; each
 reference is matched as of its own integer to the preceding run start and is an orphan when it lies beyond
-that run's end.
+that run's end. Parents and references of a key meet in one sorted pass: runs grow while it goes, and every
+reference sees the run that started last.
 
-Everything is grouped by (key, block), a block being ``block`` consecutive integers, so that no task ever
-holds a whole key. What reaches into a block from earlier ones is one number, the furthest end so far.
-Groups with more than ``salt_rows`` references are spread over salts, with the group's runs repeated for each.
+A key may hold a large part of all rows. Rows are counted by hash buckets of their keys (not at all where all
+rows together are few), and keys of heavy buckets go another way to the same result: they are grouped by (key,
+block), a block being ``block`` consecutive integers. What reaches into a block from earlier ones is one number,
+the furthest end so far. Groups with more than ``salt_rows`` references are spread over salts, with the group's
+runs repeated for each, so that no task ever holds a whole heavy key.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql.window import Window
 FOREVER = 2**63 - 1
 #: About 25 days in microseconds.
 DATED_BLOCK = 2**41
+#: Hash buckets in which rows are counted, and the rows a bucket has to exceed, besides four times the mean, to be heavy.
+BUCKETS, HEAVY_ROWS = 65536, 1_000_000
 
 
 def compress_runs(parents: DataFrame, by: list[str], start: str = "start", end: str = "end", block: int = DATED_BLOCK) -> DataFrame:
@@ -39,7 +44,7 @@ def compress_runs(parents: DataFrame, by: list[str], start: str = "start", end:
     return p.groupBy(*by, "block", "_run").agg(F.min("_s").alias("run_start"), F.max("_e").alias("run_end")).drop("_run")
 
 
-def orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, salt_rows: int = 1_000_000) -> DataFrame:
+def heavy_orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, salt_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``refs`` whose key is in no run at the integer ``at``.
 
     ``runs`` comes from :func:`compress_runs` with the same ``by`` and ``block``; ``row`` is any expression
@@ -71,13 +76,54 @@ def orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row: Colum
     return settled.unionByName(late).select(*cols)
 
 
-def orphan_integers(children: DataFrame, parents: DataFrame, key: str, parent_key: str, block: int = 2**20, salt_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``children`` whose integer ``key`` is not among ``parents``; sorted keys become contiguous runs."""
-    one = F.lit(0).alias("_g")
-    p = parents.select(one, F.col(parent_key).cast("bigint").alias("_k")).where("_k IS NOT NULL")
-    runs = compress_runs(p.withColumn("_k1", F.col("_k") + 1), ["_g"], "_k", "_k1", block)
-    c = children.where(F.col(key).isNotNull()).withColumn("_g", F.lit(0))
-    return orphans(c, runs, ["_g"], key, F.monotonically_increasing_id(), block, salt_rows).drop("_g")
+def _light_orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str) -> DataFrame:
+    """As :func:`heavy_orphans`, in one exchange and one sort: parents and references of a key in the order of time."""
+    cols, none = refs.columns, F.lit(None).cast("bigint")
+    r = refs.dropna(subset=by).select(*by, F.coalesce(F.col(at).cast("bigint"), F.lit(FOREVER - 1)).alias("_at"), F.lit(1).alias("_kind"), none.alias("_end"), F.struct(*cols).alias("_row"))
+    p = lives.select(*by, F.col("start").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.coalesce(F.col("end").cast("bigint"), F.lit(FOREVER)).alias("_end"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    p = p.where(F.col("_at") < F.col("_end")).dropna(subset=by)
+    w = Window.partitionBy(*by).orderBy("_at", "_kind", F.col("_end").desc())
+    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    u = r.unionByName(p).withColumn("_reach", reach)
+    # A parent beyond the reach of all before starts a run; the run's end is the reach of its members.
+    starts = F.when((F.col("_kind") == 0) & (F.col("_reach").isNull() | (F.col("_at") > F.col("_reach"))), F.col("_at"))
+    u = u.withColumn("_start", F.last(starts, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return u.where((F.col("_kind") == 1) & (F.col("_start").isNull() | (F.col("_reach") <= F.col("_at")))).select("_row.*").select(*cols)
+
+
+def orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, heavy_rows: int = HEAVY_ROWS, salt_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``refs`` whose key is not present at the integer ``at``.
+
+    ``lives`` has ``by``, ``start`` and ``end``: half-open intervals, a null end means without end, a null start or
+    key and an empty interval are no parent. ``row`` is any expression that spreads the rows of one key.
+    References with a null key are blank and never orphans. A null ``at`` is compared with the state after all
+    changes. Rows come out with their columns unchanged, as often as they came in; without parents every reference
+    is an orphan; repeated parents change nothing.
+    """
+    if refs.count() + lives.count() <= heavy_rows:  # row counts of the files: no key can be heavy
+        return _light_orphans(refs, lives, by, at)
+    bucket = F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
+    sizes = refs.select(bucket.alias("_b")).unionByName(lives.select(bucket.alias("_b"))).groupBy("_b").agg(F.count("*").alias("n"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("mean"))))  # one row
+    heavy = [r[0] for r in sizes.where(F.col("n") > heavy_rows + 4 * F.col("mean")).select("_b").collect()]  # at most BUCKETS, in fact as many as there are heavy keys
+    if not heavy:
+        return _light_orphans(refs, lives, by, at)
+    is_heavy = F.coalesce(bucket.isin(heavy), F.lit(False))
+    light = _light_orphans(refs.where(~is_heavy), lives.where(~is_heavy), by, at)
+    return light.unionByName(heavy_orphans(refs.where(is_heavy), compress_runs(lives.where(is_heavy), by, block=block), by, at, row, block, salt_rows))
+
+
+def orphan_integers(children: DataFrame, parents: DataFrame, key: str, parent_key: str, block: int = 2**20) -> DataFrame:
+    """Rows of ``children`` whose integer ``key`` is not among ``parents``; sorted keys become contiguous runs.
+
+    Keys are grouped by blocks of consecutive integers, which no key's interval crosses, and come down to one row
+    for each key first, so that a key's copies do not meet in one task. Null keys are blank, and no parents.
+    """
+    group = lambda c: F.floor(F.col(c).cast("bigint") / F.lit(block)).cast("bigint").alias("_g")
+    p = parents.where(F.col(parent_key).isNotNull()).select(group(parent_key), F.col(parent_key).cast("bigint").alias("start")).distinct().withColumn("end", F.col("start") + 1)
+    keys = children.where(F.col(key).isNotNull()).select(group(key), F.col(key).cast("bigint").alias("_key")).distinct()
+    lost = orphans(keys, p, ["_g"], "_key", F.col("_key"), block).select("_key")
+    return children.join(lost, children[key].cast("bigint") == F.col("_key"), "left_semi")
 
 
 def orphan_report(refs: DataFrame, found: DataFrame, period: Column) -> DataFrame:

@@ -26,7 +26,7 @@ def reference_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFra
 
     def refs(df: DataFrame, rel: int, name: str, field: str, k: Column, at: str) -> DataFrame:
         when = F.lit(0).cast("bigint") if rel == 3 else micros(at)
-        return df.select(F.lit(name).alias("table_name"), "row_id", F.lit(field).alias("field_name"), F.date_format(F.col(at), "yyyy-MM").alias("month"), F.lit(rel).alias("rel"), k.alias("key"), when.alias("at")).where("key IS NOT NULL")
+        return df.select(F.lit(name).alias("table_name"), "row_id", F.lit(field).alias("field_name"), F.date_format(F.col(at), "yyyy-MM").alias("month"), F.lit(rel).alias("rel"), k.alias("key"), when.alias("at"))
 
     def parents(df: DataFrame, rel: int, k: Column, start: Column, end: Column) -> DataFrame:
         return df.select(F.lit(rel).alias("rel"), k.alias("key"), start.alias("start"), end.alias("end"))
@@ -49,8 +49,7 @@ def reference_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFra
 
 def dangling(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     references, lives = reference_tables(spark, base)
-    runs = O.compress_runs(lives, ["rel", "key"])
-    return references, O.orphans(references, runs, ["rel", "key"], "at", F.col("row_id"))
+    return references, O.orphans(references, lives, ["rel", "key"], "at", F.col("row_id"))
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -59,7 +58,12 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
     references, found = dangling(spark, base)
-    return O.orphan_report(references, found, F.col("month")).withColumnRenamed("period", "month")
+    return O.orphan_report(references.where("key IS NOT NULL"), found, F.col("month")).withColumnRenamed("period", "month")
+
+
+def unused_parts(spark: SparkSession, base: str) -> DataFrame:
+    """Integer keys: parts that no line item refers to."""
+    return O.orphan_integers(table(spark, base, "part").select("p_partkey", "p_name"), table(spark, base, "lineitem"), "p_partkey", "l_partkey")
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
@@ -75,7 +79,7 @@ def p4_valid(spark: SparkSession, base: str) -> DataFrame:
     return C.valid_rows(C.classify(table(spark, base, "hardset_review_raw"))).select("raw_id", "file_name", "sample_id", "char_id", "sample_index", *C.FLAGS, "keep", "split")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_valid": p4_valid}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "unused_parts": unused_parts, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_valid": p4_valid}
 
 _STRIP = r"regexp_replace({c}, '^[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 _KEY = lambda c: "nullif(" + _STRIP.format(c=c) + ", '')"
@@ -125,6 +129,7 @@ SQL = {
 FROM (SELECT table_name, field_name, strftime(ref_at, '%Y-%m') AS month, count(*) AS refs FROM refs WHERE k IS NOT NULL GROUP BY ALL) r
 LEFT JOIN (SELECT table_name, field_name, strftime(ref_at, '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY ALL) f
 ON r.table_name = f.table_name AND r.field_name = f.field_name AND r.month IS NOT DISTINCT FROM f.month""",
+    "unused_parts": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)",
     "p4_found": _P4 + "SELECT raw_id FROM judged WHERE reason IS NOT NULL",
     "p4_reasons": _P4 + "SELECT reason, count(*) AS records FROM judged WHERE reason IS NOT NULL GROUP BY reason",
 }

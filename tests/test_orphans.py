@@ -10,10 +10,15 @@ LIVES = "k string, start long, end long, extra string"
 def run(spark, refs, lives, block=8, salt_rows=3):
     r = spark.createDataFrame([(*x, "b", "r") for x in refs], REFS)
     p = spark.createDataFrame([(*x, "e") for x in lives], LIVES)
-    runs = O.compress_runs(p, ["k"], block=block)
-    found = O.orphans(r, runs, ["k"], "t", F.col("id"), block=block, salt_rows=salt_rows)
-    assert found.columns == r.columns  # clashing names come out unchanged
-    return sorted((x.id, x.k, x.t) for x in found.collect())
+    both = []
+    for heavy in (0, 1_000_000):  # every key of a filled bucket by blocks and salts; all in one pass
+        found = O.orphans(r, p, ["k"], "t", F.col("id"), block, heavy, salt_rows)
+        assert found.columns == r.columns  # clashing names come out unchanged
+        both.append(sorted((x.id, x.k, x.t) for x in found.collect()))
+    assert both[0] == both[1]
+    whole = O.heavy_orphans(r, O.compress_runs(p, ["k"], block=block), ["k"], "t", F.col("id"), block, salt_rows)
+    assert sorted((x.id, x.k, x.t) for x in whole.collect()) == both[0]
+    return both[0]
 
 
 def brute(refs, lives):
@@ -34,6 +39,14 @@ def test_random_against_brute_force(spark):
     assert run(spark, refs, lives) == brute(refs, lives)
 
 
+def test_heavy_key_beside_light_ones(spark):
+    refs = [(i, "hot" if i % 2 else f"k{i % 90}", i % 50) for i in range(600)]
+    lives = [("hot", 3 * i, 3 * i + 2) for i in range(20)] + [(f"k{i}", 0, i) for i in range(0, 90, 4)]
+    r, p = spark.createDataFrame([(*x, "b", "r") for x in refs], REFS), spark.createDataFrame([(*x, "e") for x in lives], LIVES)
+    got = O.orphans(r, p, ["k"], "t", F.col("id"), 8, 100, 30)
+    assert sorted((x.id, x.k, x.t) for x in got.collect()) == brute(refs, lives)
+
+
 def test_nulls_bounds_and_touching_runs(spark):
     lives = [("a", 0, 5), ("a", 5, 10), ("a", 0, 5), (None, 0, 9), ("b", None, 9), ("c", 3, 3), ("d", 100, None)]
     refs = [(1, "a", 0), (2, "a", 9), (3, "a", 10), (4, "a", -1), (5, None, 0), (6, "b", 1), (7, "c", 3), (8, "d", None), (9, "a", None), (10, "d", 10**15)]
