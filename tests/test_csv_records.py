@@ -85,3 +85,25 @@ def test_more_separators_than_the_reader_takes(spark):
     rows = [(1, "a", 2, many), (2, "b", 1, "notes"), (3, "b", 2, "x")]
     other = C.classify(spark.createDataFrame(rows, "raw_id long, file_name string, line_no int, record_text string"))
     assert {r.raw_id: r.reason for r in other.collect()} == {1: C.NO_HEADER, 3: None}
+
+
+def test_no_sign_in_the_text_is_special(spark):
+    cases = [
+        ("1/2,1,yes,1,a\x01b", None, "a\x01b"), ("1/2,1,\x02,1,fine", "invalid_keep", None), ("1/2,1,yes,1,\x02", None, "\x02"), ("\x001/2,1,yes,1,x", "invalid_sample_id", None),
+        ('1/2,1,yes,1,"a\x01,""b"""', None, 'a\x01,"b"'), ('1/2,1,yes,1,"a\x01', C.BAD_QUOTING, None), ("1/2,1,yes,1,a\nb", None, "a\nb"), ("1/2,1\x01,yes", C.BAD_COUNT, None), ("1/2,1,yes,1,a\\", None, "a\\"), ("#1/2,1,yes,1,", "invalid_sample_id", None),
+    ]
+    df = classify(spark, [c for c, _, _ in cases])
+    got = {r.raw_id: (r.reason, r.fields.notes if r.reason is None else None) for r in df.collect()}
+    assert [(c, *got[i + 1]) for i, (c, _, _) in enumerate(cases)] == cases
+
+
+def test_the_reader_marks_wrong_shapes(spark):
+    df = classify(spark, ["1/2,1,yes,1,x", "1/2,1,yes", "1/2,1,yes,1,a,b", '1/2,1,yes,1,"open', '1/2,1,yes,1,a"b', "1/2,1\x01,yes"])
+    assert [(r.marked, r.reason) for r in df.orderBy("raw_id").collect()][:3] == [(False, None), (True, C.BAD_COUNT), (True, C.BAD_COUNT)]
+    assert [r.marked for r in df.orderBy("raw_id").collect()][5] is None
+
+
+def test_narrow_and_wide_headers_together(spark):
+    rows = [(1, "a", 1, "keep"), (2, "a", 2, ""), (3, "a", 3, "yes"), (4, "a", 4, "yes,no"), (5, "a", 5, '"y""s"'), (6, "b", 1, HEAD), (7, "b", 2, "1/2,1,yes,1,"), (8, "b", 3, "1/2,1,yes,1")]
+    got = {r.raw_id: r.reason for r in C.classify(spark.createDataFrame(rows, "raw_id long, file_name string, line_no int, record_text string")).collect()}
+    assert got == {2: None, 3: None, 4: C.BAD_COUNT, 5: "invalid_keep", 7: None, 8: C.BAD_COUNT}
