@@ -26,6 +26,11 @@ def group_key(*columns: str) -> Column:
     return F.coalesce(*[blank_to_null(F.col(c).cast("string")) for c in columns], F.lit(""))
 
 
+def audit_group_key() -> Column:
+    """[P8] Writer, source, sample index, sample id: the first that is not empty, as it stands."""
+    return F.coalesce(*[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in ("writer_id", "source_id", "sample_index", "sample_id")], F.lit(""))
+
+
 def stable_key(v: Column) -> Column:
     """[P9] Whole numbers by value, other text by the first 8 hex digits of its SHA-1."""
     return F.coalesce(v.try_cast("bigint"), F.conv(F.substring(F.sha1(v), 1, 8), 16, 10).cast("bigint"))
@@ -132,23 +137,49 @@ def repeated(rows: DataFrame, key: str, order: str) -> DataFrame:
     return k.join(first, "_key").where(F.col(order) > F.col("_first")).select(order, key)
 
 
-def merge_reviews(base: DataFrame, reviews: DataFrame, fields: list[str], signals: list[str]) -> DataFrame:
+def canonical_sample_id() -> Column:
+    """A sample id of the form ``digits/digits``, else rebuilt from ``char_id`` and ``sample_index``; null where that fails too."""
+    sid, c, i = (F.coalesce(blank_to_null(F.col(n).cast("string")), F.lit("")) for n in ("sample_id", "char_id", "sample_index"))
+    return F.when(sid.rlike(r"\A[0-9]+/[0-9]+\z"), sid).when(c.rlike(r"\A[0-9]+\z") & i.rlike(r"\A[0-9]+\z"), F.concat_ws("/", c, i))
+
+
+def _touched(reviews: DataFrame, signals: list[str]) -> DataFrame:
+    """[R5] Reviews with any signal filled, under their names ``_id``, ``_c``, ``_i``."""
+    some = F.lit(False)
+    for s in signals:
+        some = some | blank_to_null(F.col(s)).isNotNull()
+    return reviews.where(some).withColumns({"_id": blank_to_null(F.col("sample_id")), "_c": F.coalesce(blank_to_null(F.col("char_id")), F.lit("")), "_i": F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit(""))})
+
+
+def _by_names(base: DataFrame, reviews: DataFrame, signals: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base keys (``_sample``, ``_c``, ``_i``), touched reviews of a known sample, and the others."""
+    b = base.select(F.col("sample_id").alias("_sample"), F.coalesce(blank_to_null(F.col("char_id")), F.lit("")).alias("_c"), F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit("")).alias("_i"))
+    r, ids = _touched(reviews, signals), b.select(F.col("_sample").alias("_id"))
+    return b, r.join(ids, "_id", "left_semi"), r.join(ids, "_id", "left_anti")
+
+
+def unmatched_reviews(base: DataFrame, reviews: DataFrame, signals: list[str]) -> DataFrame:
+    """[J4] Touched reviews that match no base row, neither by sample id nor by (char, index)."""
+    b, _, lost = _by_names(base, reviews, signals)
+    return lost.join(b.select("_c", "_i").distinct(), ["_c", "_i"], "left_anti").select(*reviews.columns)
+
+
+def merge_reviews(base: DataFrame, reviews: DataFrame, fields: list[str], signals: list[str], strict: bool = True) -> DataFrame:
     """[J4, R5] Reviews laid over base rows: by sample id, else by (char, index); the last review wins.
 
     ``base`` has ``sample_id, char_id, sample_index``, unique ids; ``reviews`` those, ``fields`` and ``review_id``.
-    Untouched reviews (no signal filled) are skipped; blank fields of the winning review erase.
+    Untouched reviews (no signal filled) are skipped; blank fields of the winning review erase. Of base rows with
+    the same (char, index) the one of the greatest id stands for all. A touched review that matches nothing
+    raises at once if ``strict``; else it is left out here and comes out of :func:`unmatched_reviews`.
     """
-    touched = F.lit(False)
-    for s in signals:
-        touched = touched | blank_to_null(F.col(s)).isNotNull()
-    r = reviews.where(touched).select(blank_to_null(F.col("sample_id")).alias("_id"), blank_to_null(F.col("char_id")).alias("_c"), blank_to_null(F.col("sample_index")).alias("_i"), "review_id", F.struct(*fields).alias("_f"))
+    if strict and (bad := unmatched_reviews(base, reviews, signals).first()) is not None:
+        raise ValueError(f"cannot match reviewed row sample_id={bad['sample_id']!r}, key={(bad['char_id'], bad['sample_index'])!r}")
+    b, known, lost = _by_names(base, reviews, signals)
     # Reviews come down to one for each name before any join, so a common sample cannot pile up.
-    by_id = r.where("_id IS NOT NULL").groupBy("_id").agg(F.max("review_id").alias("_r1"), F.max_by("_f", "review_id").alias("_f1"))
-    ids = base.select(F.col("sample_id").alias("_id"))
-    lost = r.join(ids, "_id", "left_anti").where("_c IS NOT NULL AND _i IS NOT NULL")
-    by_key = lost.groupBy("_c", "_i").agg(F.max("review_id").alias("_r2"), F.max_by("_f", "review_id").alias("_f2"))
-    b = base.withColumn("_c", F.trim("char_id")).withColumn("_i", F.trim(F.col("sample_index").cast("string")))
-    j = b.join(by_id, b.sample_id == by_id._id, "left").join(by_key, ["_c", "_i"], "left")
-    second = F.coalesce(F.col("_r2"), F.lit(-1)) > F.coalesce(F.col("_r1"), F.lit(-1))
-    won = F.when(second, F.col("_f2")).otherwise(F.col("_f1"))
-    return j.select(*base.columns, F.when(second, F.col("_r2")).otherwise(F.col("_r1")).alias("review_id"), *[won[f].alias(f) for f in fields])
+    last = lambda d, *by: d.groupBy(*by).agg(F.max("review_id").alias("_r"), F.max_by(F.struct(*fields), "review_id").alias("_f"))
+    named = last(known, "_id").withColumnRenamed("_id", "_sample")
+    stands = b.groupBy("_c", "_i").agg(F.max("_sample").alias("_sample"))
+    keyed = last(lost, "_c", "_i").join(stands, ["_c", "_i"]).select("_sample", "_r", "_f")
+    won = named.unionByName(keyed).groupBy("_sample").agg(F.max("_r").alias("_won"), F.max_by("_f", "_r").alias("_f"))
+    j = base.join(won, base["sample_id"] == won["_sample"], "left")
+    return j.select(*[base[c] for c in base.columns if c not in ("review_id", *fields)], F.col("_won").alias("review_id"), *[F.col("_f")[f].alias(f) for f in fields])

@@ -87,9 +87,9 @@ def audit_rows(spark: SparkSession, base: str) -> DataFrame:
     return C.mask_errors(table(spark, base, "manifest"), CHANNELS)
 
 
-@query("""SELECT sample_id, manifest_row_id, char_id FROM manifest QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY manifest_row_id DESC) = 1 AND sample_id IN (SELECT sample_id FROM hardset_review WHERE sample_id IS NOT NULL)""")
+@query("""SELECT sample_id, manifest_row_id, char_id FROM manifest WHERE lower(trim(has_all_masks)) IN ('1', 'true', 'yes', 'y') AND coalesce(errors, '') = '' QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY manifest_row_id DESC) = 1 AND sample_id IN (SELECT sample_id FROM hardset_review WHERE sample_id IS NOT NULL)""")
 def usable_semijoin(spark: SparkSession, base: str) -> DataFrame:
-    m = table(spark, base, "manifest").select("sample_id", "manifest_row_id", "char_id")
+    m = C.usable(table(spark, base, "manifest")).select("sample_id", "manifest_row_id", "char_id")
     return C.present_in_both(m, table(spark, base, "hardset_review").where("sample_id IS NOT NULL"), "sample_id", "manifest_row_id").select("sample_id", "manifest_row_id", "char_id")
 
 
@@ -221,37 +221,10 @@ def components_regions(spark: SparkSession, base: str) -> DataFrame:
     return B.number_regions(c, "channel").select("region_id", "channel", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "left", "top", "right", "bottom")
 
 
-@query(_COMPONENTS + "SELECT area, round(cx, 6) AS x, round(cy, 6) AS y FROM k WHERE channel = 'K' AND area >= 3")
+@query(_COMPONENTS + "SELECT CAST(row_number() OVER (ORDER BY cy, cx) AS INT) AS place, area, round(cx, 6) AS x, round(cy, 6) AS y, 1.0 AS confidence FROM k WHERE channel = 'K' AND area >= 3")
 def components_keypoints(spark: SparkSession, base: str) -> DataFrame:
-    c = B.components(_parts(spark, base).where("channel = 'K'"), ["channel"], HEIGHT, WIDTH, 3)
-    return c.select("area", F.round("cx", 6).alias("x"), F.round("cy", 6).alias("y"))
-
-
-@query(f"""WITH {_PART}, d AS (SELECT coalesce(a.channel, b.channel) AS channel, coalesce(a.y, b.y) AS y, coalesce(a.x, b.x) AS x, CASE WHEN a.y IS NULL THEN 'missing' ELSE 'extra' END AS kind FROM a FULL JOIN b ON a.channel = b.channel AND a.y = b.y AND a.x = b.x WHERE a.y IS NULL OR b.y IS NULL),
-g AS (SELECT channel, CASE WHEN y < 17 THEN 0 WHEN y < 34 THEN 1 ELSE 2 END AS "row", CASE WHEN x < 16 THEN 0 WHEN x < 32 THEN 1 ELSE 2 END AS col, kind, count(*) AS n FROM d GROUP BY ALL)
-SELECT * FROM g ORDER BY n DESC, kind = 'extra', channel, "row", col LIMIT 1""")
-def dominant_difference(spark: SparkSession, base: str) -> DataFrame:
-    a, b = _sides(spark, base)
-    return M.dominant_difference(a, b, "channel", HEIGHT, WIDTH)
-
-
-@query(f"""WITH {_PART}, o AS (SELECT coalesce(a.channel, b.channel) AS channel, count_if(a.y IS NOT NULL AND b.y IS NOT NULL) AS shared, count(*) AS u FROM a FULL JOIN b ON a.channel = b.channel AND a.y = b.y AND a.x = b.x WHERE coalesce(a.channel, b.channel) <> 'K' GROUP BY 1),
-d AS (SELECT (sum(2 * shared / (shared + u)::DOUBLE) + 5 - count(*)) / 5 AS dice FROM o),
-ia AS (SELECT DISTINCT y, x FROM a WHERE channel <> 'K'), ib AS (SELECT DISTINCT y, x FROM b WHERE channel <> 'K'),
-i AS (SELECT count_if(ia.y IS NOT NULL AND ib.y IS NOT NULL) / count(*)::DOUBLE AS iou FROM ia FULL JOIN ib ON ia.y = ib.y AND ia.x = ib.x),
-t AS (SELECT * FROM ({_tolerant_sql(3)}) WHERE channel = 'K'), f AS (SELECT pred_hit / pred::DOUBLE AS pr, target_hit / target::DOUBLE AS re FROM t), f1 AS (SELECT round(2 * pr * re / (pr + re), 15) AS f1 FROM f)
-SELECT round(dice, 9) AS macro_dice, round(iou, 9) AS ink_iou, round(f1, 9) AS keypoint_f1, round(100 * (0.55 * dice + 0.25 * iou + 0.20 * f1), 6) AS score FROM d, i, f1""")
-def composite_score(spark: SparkSession, base: str) -> DataFrame:
-    a, b = _sides(spark, base)
-    return M.composite_score(a, b, "channel", "K", 5, 3, HEIGHT, WIDTH)
-
-
-@query()
-def align_bitmaps(spark: SparkSession, base: str) -> DataFrame:
-    """Scale and turn search (63 candidates) of each channel's two sides; no SQL form."""
-    a, b = (B.rasterize(s, ["channel"], HEIGHT, WIDTH) for s in _sides(spark, base))
-    pairs = a.withColumnRenamed("mask", "user").join(b.select("channel", F.col("mask").alias("reference")), "channel")
-    return B.align_pairs(pairs, "user", "reference", "channel").withColumn("iou", F.round("iou", 9))
+    c = B.keypoints(_parts(spark, base).where("channel = 'K'"), ["channel"], HEIGHT, WIDTH)
+    return c.select("place", "area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "confidence")
 
 
 _DEFECTS = " + ".join(f"CASE WHEN trim({f}) = '1' THEN 1 ELSE 0 END" for f in FLAGS)
@@ -273,37 +246,79 @@ def round_robin_template(spark: SparkSession, base: str) -> DataFrame:
     return C.round_robin_template(m, "char_id", "sample_index", "manifest_row_id", 50).drop("rn")
 
 
-@query(f"""WITH r AS (SELECT review_id, {_TRIM('sample_id')} AS id, {_TRIM('char_id')} AS c, {_TRIM('sample_index')} AS i, keep, priority FROM hardset_review WHERE coalesce({', '.join(_TRIM(f) for f in [*FLAGS, 'keep', 'reviewer'])}) IS NOT NULL),
+_REVIEWS = f"""WITH r AS (SELECT review_id, {_TRIM('sample_id')} AS id, coalesce({_TRIM('char_id')}, '') AS c, coalesce({_TRIM('sample_index')}, '') AS i, keep, priority FROM hardset_review WHERE coalesce({', '.join(_TRIM(f) for f in [*FLAGS, 'keep', 'reviewer'])}) IS NOT NULL),
 b AS (SELECT sample_id, char_id, sample_index FROM manifest WHERE sample_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY manifest_row_id DESC) = 1),
-m AS (SELECT b.sample_id, r.* FROM b JOIN r ON r.id = b.sample_id
-  UNION ALL SELECT b.sample_id, r.* FROM b JOIN r ON trim(b.char_id) = r.c AND CAST(b.sample_index AS VARCHAR) = r.i WHERE r.id IS NULL OR r.id NOT IN (SELECT sample_id FROM b)),
+k AS (SELECT coalesce({_TRIM('char_id')}, '') AS c, coalesce(CAST(sample_index AS VARCHAR), '') AS i, max(sample_id) AS sample_id FROM b GROUP BY 1, 2),
+lost AS (SELECT * FROM r WHERE id IS NULL OR id NOT IN (SELECT sample_id FROM b)),
+m AS (SELECT b.sample_id, r.* FROM b JOIN r ON r.id = b.sample_id UNION ALL SELECT k.sample_id, l.* FROM k JOIN lost l ON l.c = k.c AND l.i = k.i),
 w AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY review_id DESC) = 1)
-SELECT b.*, w.review_id, w.keep, w.priority FROM b LEFT JOIN w USING (sample_id)""")
+"""
+
+
+def _review_sides(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    m = table(spark, base, "manifest").where("sample_id IS NOT NULL").select("sample_id", "char_id", "sample_index", "manifest_row_id")
+    return R.last_by(m, ["sample_id"], "manifest_row_id").select("sample_id", "char_id", "sample_index"), table(spark, base, "hardset_review")
+
+
+@query(_REVIEWS + "SELECT b.*, w.review_id, w.keep, w.priority FROM b LEFT JOIN w USING (sample_id)")
 def review_merge(spark: SparkSession, base: str) -> DataFrame:
-    b = R.last_by(table(spark, base, "manifest").where("sample_id IS NOT NULL").select("sample_id", "char_id", "sample_index", "manifest_row_id"), ["sample_id"], "manifest_row_id").select("sample_id", "char_id", "sample_index")
-    return C.merge_reviews(b, table(spark, base, "hardset_review"), ["keep", "priority"], [*FLAGS, "keep", "reviewer"])
-
-
-_B = lambda c: f"({_TRIM(c)}) IS NULL"
-_RULES = [(c, "is required", _B(c)) for c in R.REQUIRED] + [
-    ("reference_id", "is repeated", "row_id > first_id"),
-    ("style_id", "is not registered", f"NOT {_B('style_id')} AND NOT known"),
-    ("schema_version", "must be 1", "known AND schema_version IS DISTINCT FROM 1"),
-    ("target_char", "must be one character", f"known AND NOT {_B('target_char')} AND length(trim(target_char)) <> 1"),
-    ("is_synthetic", "must be true or false", "known AND lower(trim(coalesce(is_synthetic, ''))) NOT IN ('true', 'false')"),
-    ("review_status", "is unknown", f"known AND NOT {_B('review_status')} AND lower(trim(review_status)) NOT IN ('pending', 'approved', 'rejected')"),
-    ("author_id", "differs from the registry", f"known AND NOT {_B('author_id')} AND trim(author_id) <> reg_author"),
-    ("script_style", "differs from the registry", f"known AND NOT {_B('script_style')} AND trim(script_style) <> reg_script"),
+    """Not every reviewed sample is in the manifest: those reviews come out of ``reviews_unmatched``."""
+    return C.merge_reviews(*_review_sides(spark, base), ["keep", "priority"], [*FLAGS, "keep", "reviewer"], strict=False)
+
+
+@query(_REVIEWS + "SELECT review_id FROM lost WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.c = lost.c AND k.i = lost.i)")
+def reviews_unmatched(spark: SparkSession, base: str) -> DataFrame:
+    return C.unmatched_reviews(*_review_sides(spark, base), [*FLAGS, "keep", "reviewer"]).select("review_id")
+
+
+@query(f"SELECT review_id, CASE WHEN regexp_full_match({_TRIM('sample_id')}, '[0-9]+/[0-9]+') THEN {_TRIM('sample_id')} WHEN regexp_full_match({_TRIM('char_id')}, '[0-9]+') AND regexp_full_match({_TRIM('sample_index')}, '[0-9]+') THEN {_TRIM('char_id')} || '/' || {_TRIM('sample_index')} END AS canonical_id FROM hardset_review")
+def canonical_ids(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "hardset_review").select("review_id", C.canonical_sample_id().alias("canonical_id"))
+
+
+@query("SELECT manifest_row_id, coalesce(nullif(writer_id, ''), nullif(source_id, ''), CAST(sample_index AS VARCHAR), nullif(sample_id, ''), '') AS group_key FROM manifest")
+def audit_keys(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "manifest").select("manifest_row_id", C.audit_group_key().alias("group_key"))
+
+
+_CELL = lambda c: f"coalesce({_TRIM(f'CAST({c} AS VARCHAR)')}, '')"
+_E = lambda c: f"{c} = ''"
+_RULES = [
+    ("reference_id", "'required'", _E("reference_id")),
+    ("reference_id", "'duplicate'", "row_id > first_id"),
+    ("style_id", "'not in registry'", "NOT known"),
+    ("schema_version", "'must be 1'", "known AND schema_version <> '1'"),
+    ("target_char", "'must be one character'", "known AND length(target_char) <> 1"),
+    ("image_path", "'required'", f"known AND {_E('image_path')}"),
+    ("image_path", "'file not found'", f"known AND NOT {_E('image_path')} AND image_path NOT IN (SELECT image_path FROM reference_images WHERE image_path IS NOT NULL)"),
+    ("source_type", "'required'", f"known AND {_E('source_type')}"),
+    ("is_synthetic", "'must be true or false'", "known AND lower(is_synthetic) NOT IN ('true', 'false')"),
+    ("review_status", "'must be pending, approved, or rejected'", "known AND lower(review_status) NOT IN ('pending', 'approved', 'rejected')"),
+    ("author_id", "'must match registry value: ' || reg_author", "known AND reg_author <> '' AND author_id <> reg_author"),
+    ("script_style", "'must match registry value: ' || reg_script", "known AND reg_script <> '' AND script_style <> reg_script"),
+    *[(f, "'required for approved reference'", f"known AND lower(review_status) = 'approved' AND {_E(f)}") for f in R.APPROVED_FIELDS],
+    ("style_id", "'style is not enabled'", "known AND lower(review_status) = 'approved' AND NOT reg_enabled"),
+    ("review_status", "'must be approved'", "known AND lower(review_status) <> 'approved'"),
 ]
+_JUDGED = f"""WITH c AS (SELECT row_id, {', '.join(f'{_CELL(c)} AS {c}' for c in R.MANIFEST_COLUMNS)} FROM reference_manifest_template),
+f AS (SELECT reference_id, min(row_id) AS first_id FROM c WHERE reference_id <> '' GROUP BY 1),
+m AS (SELECT c.*, first_id, s.style_id IS NOT NULL AS known, coalesce(trim(s.author_id), '') AS reg_author, coalesce(trim(s.script_style), '') AS reg_script, coalesce(s.enabled, false) AS reg_enabled FROM c LEFT JOIN f USING (reference_id) LEFT JOIN style_registry s ON s.style_id = c.style_id),
+v AS ({' UNION ALL '.join(f"SELECT row_id, '{f}' AS field, {m} AS message FROM m WHERE {c}" for f, m, c in _RULES)})
+"""
 
 
-@query(
-    f"""WITH f AS (SELECT {_TRIM('reference_id')} AS k, min(row_id) AS first_id FROM reference_manifest_template WHERE {_TRIM('reference_id')} IS NOT NULL GROUP BY 1),
-m AS (SELECT t.*, first_id, s.style_id IS NOT NULL AS known, s.author_id AS reg_author, s.script_style AS reg_script FROM reference_manifest_template t LEFT JOIN f ON f.k = {_TRIM('t.reference_id')} LEFT JOIN style_registry s ON s.style_id = trim(t.style_id)) """
-    + " UNION ALL ".join(f"SELECT row_id, '{f}' AS field, '{m}' AS message FROM m WHERE {c}" for f, m, c in _RULES)
-)
+def _manifest(spark: SparkSession, base: str) -> dict:
+    return {"manifest": table(spark, base, "reference_manifest_template"), "registry": table(spark, base, "style_registry"), "files": table(spark, base, "reference_images"), "require_approved": True}
+
+
+@query(_JUDGED + "SELECT * FROM v")
 def manifest_violations(spark: SparkSession, base: str) -> DataFrame:
-    return R.manifest_violations(table(spark, base, "reference_manifest_template"), table(spark, base, "style_registry"))
+    return R.manifest_violations(**_manifest(spark, base))
+
+
+@query(_JUDGED + "SELECT (SELECT count(*) FROM m) AS num_rows, (SELECT count(*) FROM m WHERE known AND lower(review_status) = 'approved') AS num_approved, '' AS missing_columns, (SELECT count(*) FROM v) AS num_errors, (SELECT count(*) FROM v) = 0 AS valid")
+def manifest_report(spark: SparkSession, base: str) -> DataFrame:
+    return R.manifest_report(**_manifest(spark, base)).withColumn("missing_columns", F.array_join("missing_columns", ","))
 
 
 @query(f"SELECT row_id, reference_id FROM reference_manifest_template WHERE {_TRIM('reference_id')} IS NOT NULL QUALIFY row_id > min(row_id) OVER (PARTITION BY {_TRIM('reference_id')})")
@@ -323,50 +338,6 @@ def reference_lookup(spark: SparkSession, base: str) -> DataFrame:
     return R.lookup(wanted, table(spark, base, "reference_manifest_template"), ["style_id", "target_char"])
 
 
-_OK = "o AS (SELECT DISTINCT trim(style_id) AS style_id, trim(target_char) AS c, count(*) AS n FROM reference_manifest_template WHERE lower(trim(review_status)) = 'approved' GROUP BY 1, 2)"
-
-
-@query(f"WITH {_OK} SELECT s.style_id, s.enabled, CAST(coalesce(sum(n), 0) AS BIGINT) AS \"references\", count(c) AS characters, min(c) AS first_char FROM style_registry s LEFT JOIN o ON o.style_id = s.style_id GROUP BY s.style_id, s.enabled")
-def catalog(spark: SparkSession, base: str) -> DataFrame:
-    return R.catalog(table(spark, base, "style_registry"), table(spark, base, "reference_manifest_template"))
-
-
-@query(f"WITH {_OK} SELECT style_id, array_to_string(list(c ORDER BY c), ',') AS characters FROM o WHERE c IS NOT NULL GROUP BY style_id")
-def catalog_nested(spark: SparkSession, base: str) -> DataFrame:
-    return R.style_characters(table(spark, base, "reference_manifest_template").where("target_char IS NOT NULL")).select("style_id", F.array_join("characters", ",").alias("characters"))
-
-
-def _evidence(spark: SparkSession, base: str) -> DataFrame:
-    """Evidence of each box on a 512 canvas against the centred half-size box; overlap stands for the other measures."""
-    m = table(spark, base, "reference_manifest_template").where("bbox_right > bbox_left AND bbox_bottom > bbox_top")
-    w, h = F.col("bbox_right") - F.col("bbox_left"), F.col("bbox_bottom") - F.col("bbox_top")
-    cx, cy = (F.col("bbox_left") + F.col("bbox_right")) / 2 - 256, (F.col("bbox_top") + F.col("bbox_bottom")) / 2 - 256
-    return m.select("row_id", (F.sqrt(cx * cx + cy * cy) / F.sqrt(F.lit(524288.0))).alias("center_distance"), (F.lit(65536.0) / (w * h)).alias("area_ratio"), F.least(w / F.lit(512.0), F.lit(1.0)).alias("keypoint_f1"), F.least(h / F.lit(512.0), F.lit(1.0)).alias("worst_dice"))
-
-
-def _finding_sql() -> str:
-    values = {"center_offset": "center_distance", "ink_scale": "abs(ln(area_ratio))", "keypoint": "1 - keypoint_f1", "direction": "1 - worst_dice"}
-    parts = []
-    for n, v in values.items():
-        (hi, mid, lo), factor = R.LIMITS[n]
-        parts.append(f"SELECT row_id, '{n}' AS finding_id, CASE WHEN {v} >= {hi}::DOUBLE THEN 'high' WHEN {v} >= {mid}::DOUBLE THEN 'medium' WHEN {v} >= {lo}::DOUBLE THEN 'low' END AS severity, round(({v}) * {factor}::DOUBLE, 9) AS priority FROM ev")
-    return " UNION ALL ".join(parts)
-
-
-@query(f"""WITH ev AS (SELECT row_id, sqrt(cx * cx + cy * cy) / sqrt(524288.0::DOUBLE) AS center_distance, 65536.0::DOUBLE / (w * h) AS area_ratio, least(w / 512.0::DOUBLE, 1.0) AS keypoint_f1, least(h / 512.0::DOUBLE, 1.0) AS worst_dice
-FROM (SELECT row_id, bbox_right - bbox_left AS w, bbox_bottom - bbox_top AS h, (bbox_left + bbox_right) / 2.0::DOUBLE - 256 AS cx, (bbox_top + bbox_bottom) / 2.0::DOUBLE - 256 AS cy FROM reference_manifest_template WHERE bbox_right > bbox_left AND bbox_bottom > bbox_top)),
-f AS ({_finding_sql()}) SELECT row_id, CAST(row_number() OVER w AS INT) AS rank, finding_id, severity, priority FROM f WHERE severity IS NOT NULL
-WINDOW w AS (PARTITION BY row_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, priority DESC, finding_id) QUALIFY row_number() OVER w <= 3""")
-def findings_topk(spark: SparkSession, base: str) -> DataFrame:
-    return R.findings(_evidence(spark, base), "row_id")
-
-
-@query()
-def feedback_documents(spark: SparkSession, base: str) -> DataFrame:
-    """JSON feedback of each row of evidence; the text of the documents has no SQL twin."""
-    return R.feedback_contract(findings_topk(spark, base), "row_id")
-
-
 @query("""WITH g AS (SELECT manifest_row_id, image_width AS w, image_height AS h, least(512.0::DOUBLE / image_width, 512.0::DOUBLE / image_height) AS s FROM manifest WHERE image_width > 0 AND image_height > 0),
 n AS (SELECT manifest_row_id, greatest(CAST(round_even(w * s, 0) AS INT), 1) AS nw, greatest(CAST(round_even(h * s, 0) AS INT), 1) AS nh FROM g)
 SELECT manifest_row_id, nw, nh, CAST(floor((512 - nw) / 2.0) AS INT) AS "left", CAST(floor((512 - nh) / 2.0) AS INT) AS top FROM n""")
@@ -376,12 +347,6 @@ def letterbox_geometry(spark: SparkSession, base: str) -> DataFrame:
     return m.select("manifest_row_id", nw.alias("nw"), nh.alias("nh"), left.alias("left"), top.alias("top"))
 
 
-@query("SELECT vec_id, i, round((CAST(v AS DOUBLE) - 0.485) / 0.229, 6) AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
-def normalize_vector(spark: SparkSession, base: str) -> DataFrame:
-    e = table(spark, base, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return e.select("vec_id", "i", F.round((F.col("v").cast("double") - F.lit(0.485)) / F.lit(0.229), 6).alias("value"))
-
-
 @query("SELECT substr(sha256(text), 1, 12) AS content_name, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_hash(spark: SparkSession, base: str) -> DataFrame:
     d = table(spark, base, "documents").where("text IS NOT NULL").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("content_name"))

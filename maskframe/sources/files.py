@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -76,6 +76,14 @@ def image_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def png_is_rgb(content: Column) -> Column:
+    """[R10] ``WIDTHxHEIGHT`` of a PNG of eight-bit RGB, from its header in SQL; null for anything else."""
+    head = F.hex(F.substring(content, 1, 26))
+    number = lambda at: F.conv(F.substring(head, at, 8), 16, 10)
+    good = (F.substring(head, 1, 16) == "89504E470D0A1A0A") & (F.substring(head, 25, 8) == "49484452") & (F.substring(head, 49, 4) == "0802")
+    return F.when(good, F.concat_ws("x", number(33), number(41)))
+
+
 def npy_shape(content: bytes) -> tuple[int, ...] | None:
     """[S6] Shape from an NPY header; None where there is none."""
     try:

@@ -5,6 +5,7 @@ import pytest
 from maskframe.operators import bitmap as B
 from maskframe.operators import masks as M
 from maskframe.operators import metrics as T
+from maskframe.operators import scoring as S
 from pyspark.sql import functions as F
 
 
@@ -38,7 +39,7 @@ def test_dilate_boundary_translate_against_arrays(spark):
     padded = np.pad(m, 1)
     eroded = np.logical_and.reduce([padded[dy : dy + 9, dx : dx + 7] for dy in range(3) for dx in range(3)])
     assert (grid(M.boundary(df, ["m"], 9, 7), m.shape) == (dilated(m, 1) & ~eroded)).all()
-    assert (grid(M.translate(df, 2, -1, 9, 7), m.shape) == B.shift(m, 2, -1)).all()
+    assert (grid(M.translate(df, 2, -1, 9, 7), m.shape) == S.shift(m, 2, -1)).all()
 
 
 def test_negative_radius(spark):
@@ -68,6 +69,8 @@ def test_components(spark):
     m[6, 6] = True
     (area, cx, cy, *_), *rest = B.component_rows(m, 2)
     assert (area, cx, cy, rest) == (4, 2.5, 1.5, [])
+    points = B.keypoints(pixels(spark, {"k": m}).withColumn("p", F.col("x") / 10), ["m"], 8, 8, 1, "p").orderBy("place").collect()
+    assert [(p.x, p.y, p.area, p.confidence) for p in points] == [(2.5, 1.5, 4, 0.3), (6.0, 6.0, 1, 0.6)]
     v = np.zeros((20, 20), bool)
     v[2:7, 2:5] = v[12:16, 9:14] = True
     w = np.zeros((20, 20), bool)
@@ -80,13 +83,9 @@ def test_components(spark):
 def test_alignment_of_a_shifted_shape(spark):
     u, r = np.zeros((64, 64), bool), np.zeros((64, 64), bool)
     u[24:40, 30:38] = r[8:24, 10:18] = True
-    a = B.align(u, r)
-    assert a["dx"] > 0 and a["iou"] > 0.95
     got = M.align_by_centroid(pixels(spark, {"a": u}), pixels(spark, {"a": r}), ["m"], 64, 64).first()
     assert (got.dy, got.dx, got.iou) == (16, 20, 1.0)
-    assert B.align(u, np.zeros_like(u))["status"] == "empty_mask"
-    pairs = B.rasterize(pixels(spark, {"a": u}), ["m"], 64, 64).withColumn("reference", F.col("mask"))
-    assert B.align_pairs(pairs, "mask", "reference", "m").first().iou == 1.0
+    assert S.align(u, np.zeros_like(u)) is None and S.align(u, r)["align_iou"] == 1.0
 
 
 def test_letterbox_round_trip():
@@ -110,3 +109,24 @@ def test_calibration_and_epochs(spark):
         assert (round(best[0], 9), round(-best[1], 6)) == (got[c].dice, got[c].threshold)
     s = spark.createDataFrame([("r", i, v) for i, v in enumerate([1.0, 3.0, 3.0, 2.0, 2.5, 9.0])], "k string, e int, v double")
     assert tuple(T.best_epoch(s, ["k"], "e", "v", 3).first()) == ("r", 1, 3.0, 5)
+
+
+def flood(m):
+    """Components by repeated spreading of the least label."""
+    out = np.where(m, np.arange(m.size).reshape(m.shape), m.size)
+    while True:
+        p = np.pad(out, 1, constant_values=m.size)
+        new = np.where(m, np.minimum.reduce([p[dy : dy + m.shape[0], dx : dx + m.shape[1]] for dy in range(3) for dx in range(3)]), m.size)
+        if (new == out).all():
+            return out
+        out = new
+
+
+def test_labels_against_spreading():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        m = rng.random((rng.integers(1, 15), rng.integers(1, 15))) < rng.random()
+        got, n = B.label(m)
+        want = flood(m)
+        names = sorted(set(want[m].tolist()))
+        assert n == len(names) and (got[m] == np.searchsorted(names, want[m]) + 1).all() and not got[~m].any()
