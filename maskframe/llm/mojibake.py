@@ -43,7 +43,6 @@ LOST = "�"
 #: for GBK in a double-byte page, where structure proves nothing, the least gain a character; and of one GBK
 #: pair alone in a single-byte page.
 MIN_GAIN, MIN_GAIN_DOUBLE, MIN_GAIN_CHAR, MIN_GAIN_PAIR = 3.0, 4.0, 2.5, 8.0
-MAX_LEVELS = 3
 CHINESE = re.compile("[\x00-\x7f\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]*")
 #: Other encodings that the bytes of a GBK reading may belong to as well: double-byte ones, and single-byte ones of other scripts.
 RIVALS, RIVAL_LETTERS = ["cp949", "euc_jp", "cp932", "cp950"], ["cp1251", "koi8_r", "cp1253"]
@@ -220,16 +219,19 @@ def repair(text: str | None, logp: Likelihood) -> tuple[str | None, str] | None:
     """
     if not text or text.isascii():
         return None
-    now, how = text, []
-    for _ in range(MAX_LEVELS):
+    now, how, seen = text, [], {text}
+    while True:  # level by level, as long as there is a text not seen before
         step = undo(now, logp)
         if step is None or (how and LOST in now and step[1].startswith("gb18030")):
             break  # what a lost byte leaves of a sequence is no GBK text
         if LOST in step[0] and step[0].count(LOST) > now.count(LOST):
             how.append("lost")
             break
-        now = step[0]
         how.append(step[1])
+        if step[0] in seen:
+            break
+        now = step[0]
+        seen.add(now)
     if C1.search(now):
         fixed = C1.sub(lambda m: m.group().encode("latin-1").decode("cp1252", "ignore") or m.group(), now)
         how.append("cp1252 via latin-1")
