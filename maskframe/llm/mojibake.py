@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,22 +53,49 @@ FAMILIAR = 0.75
 STRICT = {f"utf-8 via {c}" for c in SINGLE_BYTE}
 
 
-@lru_cache(maxsize=None)
-def _char_bytes(codec: str) -> dict[str, bytes]:
+class _Bytes(dict):
     """Filled on use: character -> bytes in the code page, b"" where it has none of one or two bytes."""
-    return {}
 
+    def __init__(self, codec: str):
+        self.codec = codec
 
-def to_bytes(ch: str, codec: str) -> bytes:
-    known = _char_bytes(codec)
-    b = known.get(ch)
-    if b is None:
+    def __missing__(self, ch: str) -> bytes:
         try:
-            b = ch.encode(codec)
+            b = ch.encode(self.codec)
         except UnicodeEncodeError:
-            b = bytes([ord(ch)]) if codec == "cp1252" and "\x80" <= ch <= "\xff" else b""
-        known[ch] = b = b if len(b) <= 2 else b""
-    return b
+            b = bytes([ord(ch)]) if self.codec == "cp1252" and "\x80" <= ch <= "\xff" else b""
+        self[ch] = b = b if len(b) <= 2 else b""
+        return b
+
+
+class _Decoded(dict):
+    """Filled on use: one sequence of bytes -> text in the encoding, None where there is none."""
+
+    def __init__(self, target: str):
+        self.target = target
+
+    def __missing__(self, raw: bytes) -> str | None:
+        try:
+            good = raw.decode(self.target)
+        except UnicodeDecodeError:
+            good = None
+        if len(raw) <= 4:
+            self[raw] = good
+        return good
+
+
+@lru_cache(maxsize=None)
+def _char_bytes(codec: str) -> _Bytes:
+    return _Bytes(codec)
+
+
+@lru_cache(maxsize=None)
+def _decoded(target: str) -> _Decoded:
+    return _Decoded(target)
+
+
+def to_bytes(ch: str, codec: str) -> bytes:
+    return _char_bytes(codec)[ch]
 
 
 @lru_cache(maxsize=None)
@@ -100,51 +129,48 @@ class _Less:
         return self.get(ch) > 0
 
 
-class Likelihood:
-    """Log probability of single characters, from counts and a small prior."""
+class Likelihood(dict):
+    """Log probability of single characters, from counts and a small prior; filled on use."""
 
     def __init__(self, counts: dict[str, int], size: int | None = None):
-        self.counts, self.size, self.known = counts, sum(counts.values()) if size is None else size, {}
+        self.counts, self.size = counts, sum(counts.values()) if size is None else size
         self.total = math.log(max(self.size, 0) + 1000.0)
 
     def without(self, text: str, times: int) -> Likelihood:
         """The same without so many copies of ``text``."""
         return Likelihood(_Less(self.counts, text, times), self.size - times * len(text)) if times > 0 else self
 
-    def __call__(self, ch: str) -> float:
-        p = self.known.get(ch)
-        if p is None:
-            p = self.known[ch] = math.log(self.counts.get(ch, 0) + _prior(ch)) - self.total
+    def __missing__(self, ch: str) -> float:
+        p = self[ch] = math.log(self.counts.get(ch, 0) + _prior(ch)) - self.total
         return p
 
+    def of(self, text: str) -> float:
+        return sum(map(self.__getitem__, text))
+
 
 def spans(text: str, codec: str, target: str, automaton: re.Pattern, logp: Likelihood) -> list[tuple[float, int, int, str]]:
     """Decodable spans of ``text``: (gain, first, end, restored)."""
-    parts = [to_bytes(c, codec) for c in text]
-    data = b"".join(p or b"\n" for p in parts)
+    known, decoded, starts = _char_bytes(codec), _decoded(target), None
+    parts = [known[c] or b"\n" for c in text]
+    data = b"".join(parts)
     found = []
-    starts: dict[int, int] | None = None
     for m in automaton.finditer(data):
         if starts is None:
-            starts, at = {}, 0
-            for i, p in enumerate(parts):
-                starts[at] = i
-                at += len(p) or 1
-            starts[at] = len(parts)
+            starts = [0, *accumulate(map(len, parts))]
         raw, base = m.group(), m.start()
         # Cut the span into the smallest pieces that are whole on both sides: characters and sequences.
-        pieces, last, pos = [], None, 0
-        while pos <= len(raw):
-            if base + pos in starts:
-                if last is not None:
-                    try:
-                        good = raw[last:pos].decode(target)
-                    except UnicodeDecodeError:
-                        good = None
+        pieces, last, pos, at, first, gains = [], -1, 0, bisect_left(starts, base), 0, False
+        while True:
+            while starts[at] < base + pos:
+                at += 1
+            if starts[at] == base + pos:
+                if last >= 0:
+                    good = decoded[raw[last:pos]]
                     if good is not None:
-                        i, j = starts[base + last], starts[base + pos]
-                        pieces.append((sum(map(logp, good)) - sum(map(logp, text[i:j])), i, j, good))
-                last = pos
+                        gain = logp[good] - logp[text[first]] if at == first + 1 and len(good) == 1 else logp.of(good) - logp.of(text[first:at])
+                        pieces.append((gain, first, at, good))
+                        gains = gains or gain > 0
+                last, first = pos, at
             if pos == len(raw):
                 break
             if target == "utf-8":
@@ -152,6 +178,8 @@ def spans(text: str, codec: str, target: str, automaton: re.Pattern, logp: Likel
                 pos += 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             else:
                 pos += 4 if 0x30 <= raw[pos + 1] <= 0x39 else 2
+        if not gains:
+            continue
         # Best run of pieces: ends that only lower the likelihood are left as they are.
         best, total, first = (0.0, 0, 0), 0.0, 0
         for k, piece in enumerate(pieces):
