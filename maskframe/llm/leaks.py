@@ -195,7 +195,10 @@ def _search(documents: DataFrame, items: list[tuple], kinds: tuple[str, str]) ->
     return documents.mapInPandas(search, f"d {kinds[0]}, i {kinds[1]}")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", group_letters: int = GROUP_LETTERS) -> DataFrame:
+def find_leaks(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
+    group_letters: int = GROUP_LETTERS
+) -> DataFrame:
     """``doc_id``, ``item_id``: one row for each document and each item it holds a passage of.
 
     Items of more than ``group_letters`` characters in all are searched in groups by the hash of their id. Null

@@ -85,7 +85,10 @@ def features(docs: DataFrame, domains: list[str]) -> DataFrame:
     name = source_name(F.col("source"))
     label = F.when(name == "", None).when(name.isin(domains), name).otherwise(OTHER)
     lang = F.coalesce(F.substring(F.lower(strip(F.col("lang"))), 1, 2), F.lit(""))
-    return docs.select("doc_id", name.alias("name"), label.alias("label"), "text", lang.alias("lang"), F.coalesce("style_id", F.lit("")).alias("style"))
+    return docs.select(
+        "doc_id", name.alias("name"), label.alias("label"), "text", lang.alias("lang"),
+        F.coalesce("style_id", F.lit("")).alias("style")
+    )
 
 
 def _seen(enc, text: str | None, lang: str, style: str) -> tuple[dict, int]:
@@ -150,7 +153,9 @@ def fit_classifier(feats: DataFrame, domains: list[str], sizes: dict[str, int],
         yield pd.DataFrame({"i": range(len(TEMPERATURES)), "loss": loss, "hit": hit, "docs": docs})
 
     judged = some.where("held").select("text", "label", "lang", "style").mapInPandas(test, "i int, loss double, hit double, docs bigint")
-    rows = judged.groupBy("i").agg(F.sum("loss").alias("loss"), F.sum("hit").alias("hit"), F.sum("docs").alias("docs")).collect()  # a row for each temperature
+    rows = judged.groupBy("i").agg(
+        F.sum("loss").alias("loss"), F.sum("hit").alias("hit"), F.sum("docs").alias("docs")
+    ).collect()  # a row for each temperature
     best = min(rows, key=lambda r: (r.loss, r.i), default=None)
     if best is None or not best.docs:
         return model, 0.0
@@ -222,7 +227,9 @@ class Fit:
                     at_y += (y * tokens) @ p
             yield pd.DataFrame({"k": range(shape[0] * shape[1]), "r": at_r.ravel(), "y": at_y.ravel()})
 
-        rows = self.cells.mapInPandas(part, "k int, r double, y double").groupBy("k").agg(F.sum("r").alias("r"), F.sum("y").alias("y")).collect()  # totals times domains
+        rows = self.cells.mapInPandas(part, "k int, r double, y double").groupBy("k").agg(
+            F.sum("r").alias("r"), F.sum("y").alias("y")
+        ).collect()  # totals times domains
         out = np.zeros((2, shape[0] * shape[1]))
         for r in rows:
             out[:, r.k] = r.r, r.y
@@ -275,19 +282,31 @@ def _whole(used: DataFrame, cuts: Cuts) -> DataFrame:
     group = ["source", "cap", "_near"]
     u = used.where("rate > 0 AND tokens > 0").withColumn("_near", F.round(F.log("rate") * 1000).cast("int"))
     u = u.withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
-    buckets = cuts.cut(u.groupBy(*group, "_b").agg(F.sum("tokens").alias("w"), F.sum(F.col("rate") * F.col("tokens")).alias("rw"), F.min("rate").alias("lo"), F.max("rate").alias("hi")))
-    mean = buckets.groupBy(*group).agg(F.greatest(F.least(F.sum("rw") / F.sum("w"), F.max("hi")), F.min("lo")).alias("_rate"), F.sum("w").alias("_all"))
-    before = F.coalesce(F.sum("w").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most BUCKETS rows each
+    buckets = cuts.cut(u.groupBy(*group, "_b").agg(
+        F.sum("tokens").alias("w"), F.sum(F.col("rate") * F.col("tokens")).alias("rw"), F.min("rate").alias("lo"),
+        F.max("rate").alias("hi")
+    ))
+    mean = buckets.groupBy(*group).agg(
+        F.greatest(F.least(F.sum("rw") / F.sum("w"), F.max("hi")), F.min("lo")).alias("_rate"), F.sum("w").alias("_all")
+    )
+    before = F.coalesce(
+        F.sum("w").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )  # at most BUCKETS rows each
     goal = F.col("_all") * (F.col("_rate") - F.floor("_rate"))
     ends = buckets.withColumn("_before", before).join(F.broadcast(mean), group).where(F.col("_before") + F.col("w") > goal)
-    cut = ends.groupBy(*group).agg(F.min_by(F.struct(F.col("_b").alias("edge"), F.col("_before").alias("before"), F.col("_rate").alias("rate"), goal.alias("goal")), "_b").alias("_c"))
+    cut = ends.groupBy(*group).agg(F.min_by(
+        F.struct(F.col("_b").alias("edge"), F.col("_before").alias("before"), F.col("_rate").alias("rate"), goal.alias("goal")),
+        "_b"
+    ).alias("_c"))
     cut = cuts.cut(cut)  # written, as a sum's last digits change from run to run
     u = u.drop("rate").join(F.broadcast(cut), group)
     inside = F.sum("tokens").over(Window.partitionBy(*group).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     plain = u.where("_b <> _c.edge").withColumn("_more", F.col("_b") < F.col("_c.edge"))
     # The document on the cut is taken with the chance of its part before it, so groups of one are right on average.
     chance = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) / F.lit(1 << 20)
-    close = u.where("_b = _c.edge").withColumn("_upto", F.col("_c.before") + inside).withColumn("_more", F.col("_upto") - F.col("tokens") * chance <= F.col("_c.goal")).drop("_upto")
+    close = u.where("_b = _c.edge").withColumn("_upto", F.col("_c.before") + inside).withColumn(
+        "_more", F.col("_upto") - F.col("tokens") * chance <= F.col("_c.goal")
+    ).drop("_upto")
     done = plain.unionByName(close).withColumn("repeats", (F.floor("_c.rate") + F.when(F.col("_more"), 1).otherwise(0)).cast("int"))
     return done.where("repeats > 0").drop(*group[1:], "_h", "_b", "_c", "_more")
 
@@ -306,11 +325,14 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, total: floa
     plain names. No document is used more often than the least ``max_repeats`` of the targets it may belong to;
     documents of named sources without a target and texts without tokens are not used. Targets with null shares
     count as zero, of repeated targets the largest holds; targets without documents leave their share to the
-    others. An empty corpus or no targets gives no rows. Repeated rows are documents of their own; null texts
+    others. An empty corpus, one without any named source, and no targets give no rows. Repeated rows are documents of their own; null texts
     have no tokens, null languages and styles are values of their own; other columns do not matter.
     """
     spark = docs.sparkSession
-    t = targets.select(source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+    t = targets.select(
+        source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")
+    )
     t = t.where("source <> ''").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     domains = [r.asDict() for r in t.orderBy("source").collect()]  # the stated targets
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -354,10 +376,15 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     size = F.col("tokens") * F.col("repeats")
     got = mixed.groupBy("source").agg(F.count("*").alias("docs"), F.sum(size).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     names = t.where("source <> ''").select("source").distinct().agg(F.array_sort(F.collect_list("source")).alias("_names"))  # the stated targets
-    parts = mixed.select(size.alias("size"), F.posexplode("p").alias("i", "part")).groupBy("i").agg(F.sum(F.col("size") * F.col("part")).alias("expected"))
+    parts = mixed.select(
+        size.alias("size"), F.posexplode("p").alias("i", "part")
+    ).groupBy("i").agg(F.sum(F.col("size") * F.col("part")).alias("expected"))
     parts = parts.crossJoin(F.broadcast(names)).select(F.col("_names")[F.col("i")].alias("source"), "expected")  # one row
     total = got.agg(F.sum("tokens_used").alias("all"))
     j = t.join(got, "source", "left").join(parts, "source", "left").crossJoin(F.broadcast(total))  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     share = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("all"), 6)
-    return j.select("source", "target_share", "max_repeats", zero("docs"), zero("tokens_used"), zero("most_repeats"), share("tokens_used").alias("actual_share"), share("expected").alias("expected_share"))
+    return j.select(
+        "source", "target_share", "max_repeats", zero("docs"), zero("tokens_used"), zero("most_repeats"),
+        share("tokens_used").alias("actual_share"), share("expected").alias("expected_share")
+    )

@@ -50,7 +50,10 @@ ENDS = "[.!?。！？…;；:：,，]"
 MARK = "\x01"
 LETTER = "a-zA-ZÀ-ɏЀ-ӿ"
 #: In the order in which equally good conditions are tried.
-STATS = ["prose_share", "common_share", "repeat_share", "tabular_share", "marker_share", "symbol_ratio", "digit_ratio", "long_token_share", "short_line_share", "end_punctuation", "sentence_density", "mean_word_length", "words"]
+STATS = [
+    "prose_share", "common_share", "repeat_share", "tabular_share", "marker_share", "symbol_ratio", "digit_ratio",
+    "long_token_share", "short_line_share", "end_punctuation", "sentence_density", "mean_word_length", "words"
+]
 
 
 def _trie(words: list[str]) -> str:
@@ -105,8 +108,14 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     d = docs.select(doc_id, t.alias("_t"))
     marks = F.regexp_replace(F.translate("_t", COMMON_CHARS, MARK * len(COMMON_CHARS)), _word_pattern(), MARK)
     d = d.select(doc_id, "_t", F.length("_t").alias("_n"), marks.alias("_m"), F.regexp_replace("_t", r"[a-zA-ZÀ-ɏͰ-ԯ]+", MARK).alias("_w"))
-    d = d.select("*", F.regexp_replace("_w", r"[㐀-鿿぀-ヿ가-힯]+", "").alias("_h"), F.filter(F.split("_m", r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0).alias("_lines"))
-    feature = lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), x.rlike(MARKER).alias("m"), _tabular(x).alias("t"), F.substring(F.rtrim(x), -3, 3).rlike(ENDS).alias("e"))
+    d = d.select(
+        "*", F.regexp_replace("_w", r"[㐀-鿿぀-ヿ가-힯]+", "").alias("_h"),
+        F.filter(F.split("_m", r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0).alias("_lines")
+    )
+    feature = lambda x: F.struct(
+        x.alias("x"), F.length(x).alias("n"), x.rlike(MARKER).alias("m"), _tabular(x).alias("t"),
+        F.substring(F.rtrim(x), -3, 3).rlike(ENDS).alias("e")
+    )
     d = d.select(
         doc_id, "_n", F.transform("_lines", feature).alias("_l"),
         _times(F.col("_m"), MARK).alias("_common"), _times(F.col("_w"), MARK).alias("_words"),
@@ -252,7 +261,9 @@ def rules_sql(rules: list[Rule], then: str = "true", otherwise: str = "false") -
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, kind: str = "kind", prose: str = "prose") -> tuple[np.ndarray, np.ndarray]:
+def labelled_statistics(
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, kind: str = "kind", prose: str = "prose"
+) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and sides (other matter or not) of at most ``MAX_LABELLED`` labelled documents."""
     some = labels.where(F.col(kind).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, (F.lower(F.trim(kind)) != prose).alias("_y"))
     some = some.orderBy(F.xxhash64(doc_id), "_y").limit(MAX_LABELLED)
@@ -278,7 +289,10 @@ def rule_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     origin, f1, rows, left = "learned" if rules else "default", held_out_f1(x, y), [], np.ones(len(x), bool)
     for k, r in enumerate(rules or DEFAULT_RULES, 1):
         hit = _covers(r, x, STATS) & left
-        rows.append((k, " AND ".join(f"{f} {op} {v:.6g}" for f, op, v in r), origin, int(hit.sum()), round(float(y[hit].mean()), 6) if hit.any() else None, None if f1 is None else round(f1, 6)))
+        rows.append((
+            k, " AND ".join(f"{f} {op} {v:.6g}" for f, op, v in r), origin, int(hit.sum()),
+            round(float(y[hit].mean()), 6) if hit.any() else None, None if f1 is None else round(f1, 6)
+        ))
         left &= ~hit
     return docs.sparkSession.createDataFrame(rows, "place int, rule string, origin string, covered bigint, precision double, held_out_f1 double")
 

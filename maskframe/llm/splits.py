@@ -88,7 +88,9 @@ def components(pairs: DataFrame, first: str, second: str) -> DataFrame:
         """Moves and contracted edges, written by one job; and the number of those edges."""
         left = _contract(edges, m).select(F.lit(1).alias("k"), F.col("u").alias("x"), F.col("v").alias("y"))
         both, n = cuts.counted(m.select(F.lit(0).alias("k"), F.col("t").alias("x"), F.col("p").alias("y")).unionByName(left), F.col("k") == 1)
-        return both.where("k = 0").select(F.col("x").alias("t"), F.col("y").alias("p")), both.where("k = 1").select(F.col("x").alias("u"), F.col("y").alias("v")), n
+        return both.where("k = 0").select(
+            F.col("x").alias("t"), F.col("y").alias("p")
+        ), both.where("k = 1").select(F.col("x").alias("u"), F.col("y").alias("v")), n
 
     first_moves, edges, n = round_(e.toDF("u", "v"), e.groupBy("t").agg(F.min("h").alias("p")))
     moves = [first_moves]
@@ -158,7 +160,9 @@ def assign_splits(sets: DataFrame, row_id: str, shares: dict[str, float], seed:
     heavy = F.col("w") >= F.col("all") * HEAVY_SHARE
     key = F.xxhash64("component", F.lit(seed))
     size = size.withColumn("b", F.when(heavy, -1).otherwise(F.pmod(key, F.lit(BUCKETS)))).withColumn("o", F.when(heavy, -F.col("w")).otherwise(key))
-    before = size.groupBy("b").agg(F.sum("w").alias("bw")).withColumn("base", F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))  # at most BUCKETS + 1 rows
+    before = size.groupBy("b").agg(F.sum("w").alias("bw")).withColumn(
+        "base", F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    )  # at most BUCKETS + 1 rows
     inside = F.sum("w").over(Window.partitionBy("b").orderBy("o", "component").rowsBetween(Window.unboundedPreceding, 0))
     mid = (F.coalesce("base", F.lit(0)) + F.col("in") - F.col("w") / 2) / F.col("all")
     placed = size.withColumn("in", inside).join(F.broadcast(before.select("b", "base")), "b").withColumn("at", mid)

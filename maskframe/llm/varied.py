@@ -46,7 +46,9 @@ def _ranked(rows: DataFrame, turns: DataFrame, row_id: str, size: int, upto: int
     return r.join(turns, ["_lead", "_combo"]).orderBy("pick_rank", "_turn", at, "_lead", "_combo").limit(size)
 
 
-def varied_subset(rows: DataFrame, row_id: str, leading: str, flags: list[str], size: int, content: list[str] | None = None, seed: int = 0) -> DataFrame:
+def varied_subset(
+    rows: DataFrame, row_id: str, leading: str, flags: list[str], size: int, content: list[str] | None = None, seed: int = 0
+) -> DataFrame:
     """``size`` rows of ``rows`` (all of them, if there are fewer) with ``pick_rank``, the rank within their cell.
 
     ``leading`` is read as a whole number however written, ``flags`` as trimmed text; null and blank are a
@@ -70,7 +72,9 @@ def varied_subset(rows: DataFrame, row_id: str, leading: str, flags: list[str],
     few = firsts.select(row_id, "_lead", "_combo")
     picked = _ranked(few, turns, row_id, size, last_rank(cells, size), at, seed).select(row_id, "pick_rank")
     if distinct < size:
-        copies = v.join(firsts.where("_n > 1").withColumnRenamed(row_id, "_first"), keys).where(F.col(row_id) != F.col("_first")).select(row_id, "_lead", "_combo")
+        copies = v.join(
+            firsts.where("_n > 1").withColumnRenamed(row_id, "_first"), keys
+        ).where(F.col(row_id) != F.col("_first")).select(row_id, "_lead", "_combo")
         again = firsts.where("_n > 1").groupBy("_lead", "_combo").agg(F.sum(F.col("_n") - 1).alias("n"))
         more = _ranked(copies, turns, row_id, size - distinct, last_rank(again, size - distinct), at, seed)
         more = more.join(cells, ["_lead", "_combo"]).select(row_id, (F.col("pick_rank") + F.col("n")).cast("int").alias("pick_rank"))

@@ -64,7 +64,10 @@ def test_markup_case_width():
 
 
 def test_table(spark):
-    docs = spark.createDataFrame([(1, "x" * 200_000 + ITEM[:60], "c"), (1, ITEM, "c"), (2, None, "c"), (3, "", "c"), (4, ITEM[:30], "c")], "doc_id long, text string, d string")
+    docs = spark.createDataFrame(
+        [(1, "x" * 200_000 + ITEM[:60], "c"), (1, ITEM, "c"), (2, None, "c"), (3, "", "c"), (4, ITEM[:30], "c")],
+        "doc_id long, text string, d string"
+    )
     items = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, None), (9, ""), (10, ITEM[100:])], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in K.find_leaks(docs, items).collect())
     assert got == [(1, 7), (1, 7), (1, 10)]

@@ -21,7 +21,9 @@ def texts(source, n, lang="en", first=0):
 
 
 def test_shares_repeats_and_missing_sources(spark):
-    docs = texts("Web-Crawl", 300) + texts(" web_crawl", 100, first=1000) + texts("diary", 30, "zh", 2000) + texts("unlisted", 50, first=3000) + [(5000, None, "en", "diary", None), (5001, "", None, "diary", None)]
+    docs = texts("Web-Crawl", 300) + texts(" web_crawl", 100, first=1000) + texts("diary", 30, "zh", 2000) + texts("unlisted", 50, first=3000) + [
+        (5000, None, "en", "diary", None), (5001, "", None, "diary", None)
+    ]
     targets = [("web_crawl", 0.5, 1), ("diary", 0.3, 4), ("nowhere", 0.2, 3)]
     rows, shares = run(spark, docs, targets)
     assert abs(shares["web_crawl"].actual_share - 0.625) < 0.01 and abs(shares["diary"].actual_share - 0.375) < 0.01
@@ -54,7 +56,10 @@ def test_token_counts_match_the_vocabulary(spark):
 def test_dominant_source_against_one_document(spark, wanted):
     words = "some words about the brush and the ink "
     n = len(X.Tokenizer(spark, X.VOCABULARY).encoder().encode_ordinary(words))
-    docs = spark.range(30_000).selectExpr("id AS doc_id", f"'{words}' AS text", "'en' AS lang", "'web' AS source", "CAST(NULL AS STRING) AS style_id", "'clash' AS tokens")
+    docs = spark.range(30_000).selectExpr(
+        "id AS doc_id", f"'{words}' AS text", "'en' AS lang", "'web' AS source", "CAST(NULL AS STRING) AS style_id",
+        "'clash' AS tokens"
+    )
     long = spark.createDataFrame([(50_000, words * wanted, "zh", "diary", None, "clash")], DOCS)
     t = spark.createDataFrame([("web", 0.5, 1), ("diary", 0.5, 1)], TARGETS)
     shares = {r.source: r for r in X.shares(X.mixture(docs.unionByName(long), t), t).collect()}

@@ -3,8 +3,15 @@ from collections import Counter
 import pytest
 from maskframe.llm import mojibake as M
 
-CORRECT = ["复核员青竹", "横竖交叉多，中段偏重", "第42轮：竖弯边缘发虚", "naïf07", "Jürgen_b", "größer schreiben", "획이 얇다", "штрих тонкий, проверить", "払いが短い。再確認", "這裏是捺還是提", "😀 写得好", "①②两处交叉 → 重拍", "offset ±5 µm", "plain", "don’t keep: base “well placed”", "ligne n° 4 : épaissir", "✓ □■ ★"]
-WRONG = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("gbk", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("utf-8", "gb18030"), ("gbk", "cp949"), ("gbk", "big5")]
+CORRECT = [
+    "复核员青竹", "横竖交叉多，中段偏重", "第42轮：竖弯边缘发虚", "naïf07", "Jürgen_b", "größer schreiben", "획이 얇다", "штрих тонкий, проверить",
+    "払いが短い。再確認", "這裏是捺還是提", "😀 写得好", "①②两处交叉 → 重拍", "offset ±5 µm", "plain", "don’t keep: base “well placed”",
+    "ligne n° 4 : épaissir", "✓ □■ ★"
+]
+WRONG = [
+    ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("gbk", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"),
+    ("utf-8", "gb18030"), ("gbk", "cp949"), ("gbk", "big5")
+]
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +65,10 @@ def test_very_long(logp):
 
 
 def test_table(spark):
-    rows = [(1, "复核员青竹", None), (2, "复核员青竹".encode().decode("latin-1"), ""), (2, "复核员青竹".encode().decode("latin-1"), ""), (3, None, "naÃ¯f07"), (4, "x", "y")] * 3
+    rows = [
+        (1, "复核员青竹", None), (2, "复核员青竹".encode().decode("latin-1"), ""), (2, "复核员青竹".encode().decode("latin-1"), ""),
+        (3, None, "naÃ¯f07"), (4, "x", "y")
+    ] * 3
     df = spark.createDataFrame([(*r, "clash") for r in rows], "review_id long, notes string, reviewer string, original string")
     got = Counter((r.review_id, r.field_name, r.restored) for r in M.find_garbled(df, "review_id", ["notes", "reviewer"]).collect())
     assert got == {(2, "notes", "复核员青竹"): 6, (3, "reviewer", "naïf07"): 3}
@@ -68,7 +78,10 @@ def test_table(spark):
 NAMES = ["质检三组", "复核员青竹", "夜班乙组", "标注甲", "晨读班", "Jürgen_b", "señal3", "qa01"]
 
 
-@pytest.mark.parametrize("text, true, read", [("标注甲", "gbk", "cp949"), ("夜班乙组", "gbk", "big5"), ("Jürgen_b", "utf-8", "cp1252"), ("标注甲", "gbk", "latin-1"), ("质检三组", "utf-8", "latin-1")])
+@pytest.mark.parametrize(
+    "text, true, read",
+    [("标注甲", "gbk", "cp949"), ("夜班乙组", "gbk", "big5"), ("Jürgen_b", "utf-8", "cp1252"), ("标注甲", "gbk", "latin-1"), ("质检三组", "utf-8", "latin-1")]
+)
 def test_garbled_value_on_a_third_of_the_rows(spark, text, true, read):
     garbled = text.encode(true).decode(read)
     rows = [(i, f"{CORRECT[i % len(CORRECT)]} {i % 50}", garbled if i % 3 == 0 else NAMES[i % len(NAMES)]) for i in range(3000)]
@@ -95,7 +108,10 @@ def test_garbled_part_and_values_that_share_characters():
 
 
 FOREIGN = ["획이 얇다", "가로획 다시 확인", "払いが短い。再確認", "失いが多い", "штрих тонкий, проверить", "кисть слишком сухая"]
-READ_WRONG = [("euc_kr", "latin-1"), ("euc_jp", "latin-1"), ("shift_jis", "latin-1"), ("cp1251", "latin-1"), ("utf-8", "cp866"), ("euc_kr", "gb18030"), ("shift_jis", "gb18030")]
+READ_WRONG = [
+    ("euc_kr", "latin-1"), ("euc_jp", "latin-1"), ("shift_jis", "latin-1"), ("cp1251", "latin-1"), ("utf-8", "cp866"),
+    ("euc_kr", "gb18030"), ("shift_jis", "gb18030")
+]
 
 
 @pytest.mark.parametrize("true, read", READ_WRONG)

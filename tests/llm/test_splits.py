@@ -73,7 +73,10 @@ def test_repeated_rows_nulls_and_empty(spark):
 
 def test_assignment_keeps_sets_whole_and_shares_near(spark):
     rows = [(i, str(i // 3), None, "train") for i in range(3000)] + [(9000 + i, "big", str(99999), "train") for i in range(300)]
-    out = S.assign_splits(S.related_sets(frame(spark, rows), "review_id", ["char_id", "sample_index"]), "review_id", {"train": 0.7, "val": 0.15, "test": 0.15}).collect()
+    out = S.assign_splits(
+        S.related_sets(frame(spark, rows), "review_id", ["char_id", "sample_index"]), "review_id",
+        {"train": 0.7, "val": 0.15, "test": 0.15}
+    ).collect()
     assert len(out) == len(rows)
     per = defaultdict(set)
     for r in out:
@@ -91,7 +94,11 @@ def test_number_key(spark):
 
 def test_keys_of_any_spelling_and_length(spark):
     big, bigger = "9" * 30, "1" + "0" * 40
-    rows = [(1, "7", "a", "train", None), (2, " 007.0", "x", "val", None), (3, "７", big, "train", None), (4, "8", "0" * 5 + big, "test", None), (5, bigger, "5", "val", None), (6, bigger, "6", "val", None), (7, "7.5", None, "val", None), (8, str(2**62), "61", "train", None), (9, "+" + str(2**62), "62", "test", None)]
+    rows = [
+        (1, "7", "a", "train", None), (2, " 007.0", "x", "val", None), (3, "７", big, "train", None),
+        (4, "8", "0" * 5 + big, "test", None), (5, bigger, "5", "val", None), (6, bigger, "6", "val", None),
+        (7, "7.5", None, "val", None), (8, str(2**62), "61", "train", None), (9, "+" + str(2**62), "62", "test", None)
+    ]
     df = spark.createDataFrame([(*r, "c") for r in rows], SCHEMA)
     sets = {}
     for r in S.related_sets(df, "review_id", ["char_id", "sample_index"]).collect():

@@ -10,7 +10,9 @@ def frame(spark, rows):
 
 
 def test_covers_and_is_not_filled_by_the_large_group(spark):
-    rows = [(i, "7", "1", "0", f"n{i}") for i in range(1000)] + [(2000 + i, str(i % 40 + 100), str(i % 2), "" if i % 3 else "1", f"m{i}") for i in range(200)]
+    rows = [(i, "7", "1", "0", f"n{i}") for i in range(1000)] + [(
+        2000 + i, str(i % 40 + 100), str(i % 2), "" if i % 3 else "1", f"m{i}"
+    ) for i in range(200)]
     got = V.varied_subset(frame(spark, rows), "review_id", "char_id", ["a", "b"], 60, ["char_id", "a", "b", "note"]).collect()
     assert len(got) == 60 and len({r.review_id for r in got}) == 60
     assert len({r.char_id for r in got}) == 41 and {(r.a, r.b) for r in got} == {(a, b) for _, _, a, b, _ in rows}
