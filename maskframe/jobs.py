@@ -24,7 +24,10 @@ from maskframe.sources import files as S
 SPLIT_COLUMNS = ["sample_id", "char_id", "sample_index", "group_key", "split"]
 FLAGS = ["difficulty_crossing", "difficulty_adhesion", "difficulty_endpoint", "difficulty_line_width", "difficulty_background", "difficulty_style"]
 REVIEW_COLUMNS = ["sample_id", "char_id", "sample_index", "split", *FLAGS, "priority", "reviewer", "keep", "notes"]
-TEMPLATE_COLUMNS = ["sample_id", "char_id", "sample_index", "image_path", "hard_crossing", "hard_adhesion", "hard_endpoint", "hard_line_width", "hard_background", "reviewer", "notes"]
+TEMPLATE_COLUMNS = [
+    "sample_id", "char_id", "sample_index", "image_path", "hard_crossing", "hard_adhesion", "hard_endpoint", "hard_line_width",
+    "hard_background", "reviewer", "notes"
+]
 STYLE_COLUMNS = ["style_id", "author_id", "script_style", "enabled"]
 
 
@@ -55,7 +58,9 @@ def audit(spark: SparkSession, root: str, manifest: str, report: str) -> dict:
 
 def split(spark: SparkSession, manifest: str, output: str, train: float = 0.70, val: float = 0.15) -> dict:
     """Splits that keep groups together; the counts by split."""
-    u = C.usable(S.read_csv(spark, manifest, A.COLUMNS)).withColumn("group_key", C.group_key("writer_id", "source_id", "sample_index", "split_group_key", "sample_id"))
+    u = C.usable(S.read_csv(spark, manifest, A.COLUMNS)).withColumn(
+        "group_key", C.group_key("writer_id", "source_id", "sample_index", "split_group_key", "sample_id")
+    )
     done = C.group_split(u, "group_key", train, val)
     write_one_csv(done.orderBy("char_id", "sample_id"), output, SPLIT_COLUMNS)
     return {r["split"]: r["rows"] for r in C.split_counts(S.read_csv(spark, output, SPLIT_COLUMNS), "group_key").collect()}
@@ -65,7 +70,7 @@ def template(spark: SparkSession, manifest: str, output: str, limit: int = 50) -
     """A review template of samples taken in turn from the characters."""
     m = C.strictly_usable(S.read_csv(spark, manifest, A.COLUMNS))
     some = C.round_robin_template(m, "char_id", "sample_index", "sample_id", limit)
-    write_one_csv(some.orderBy("rn", "char_id"), output, TEMPLATE_COLUMNS)
+    write_one_csv(some.orderBy("place"), output, TEMPLATE_COLUMNS)
     return some.count()
 
 
@@ -76,7 +81,9 @@ def merge(spark: SparkSession, base: str, review: str, output: str) -> int:
     if rows.where("sample_id IS NULL").limit(1).count():
         raise ValueError("cannot recover a canonical sample_id in the base file")
     fields, signals = [*FLAGS, "priority", "reviewer", "keep", "notes"], [*FLAGS, "reviewer", "keep"]
-    reviews = load(review).withColumn("review_id", F.monotonically_increasing_id()).select("review_id", "sample_id", "char_id", "sample_index", *[F.trim(f).alias(f) for f in fields])
+    reviews = load(review).withColumn("review_id", F.monotonically_increasing_id()).select(
+        "review_id", "sample_id", "char_id", "sample_index", *[F.trim(f).alias(f) for f in fields]
+    )
     new = C.merge_reviews(rows.drop(*fields), reviews, fields, signals)
     old = rows.select("sample_id", *[F.col(f).alias(f"_{f}") for f in fields])
     kept = lambda f: F.when(F.col("review_id").isNull(), F.col(f"_{f}")).otherwise(F.col(f)).alias(f)
@@ -127,7 +134,10 @@ IMPORT_COLUMNS = [
 ]
 
 
-def imported(members: DataFrame, styles: DataFrame, archive_hash: str, source: dict[str, str], reviewer: str, review_date: str, size: int = 256) -> DataFrame:
+def imported(
+    members: DataFrame, styles: DataFrame, archive_hash: str, source: dict[str, str], reviewer: str, review_date: str,
+    size: int = 256
+) -> DataFrame:
     """[S9, R10, A21] Manifest rows, with ``content``, of the images of an archive (``member``: top/category/character.png).
 
     ``styles`` maps ``category`` to ``style_id``, ``author_id``, ``script_style``; other categories are left out. A
@@ -136,15 +146,26 @@ def imported(members: DataFrame, styles: DataFrame, archive_hash: str, source: d
     from maskframe.sources.files import png_is_rgb
 
     part = F.split("member", "/")
-    m = members.select("member", "content", F.element_at(part, -2).alias("category"), F.regexp_replace(F.element_at(part, -1), r"\.[^.]*\z", "").alias("target_char")).join(F.broadcast(styles), "category")
+    m = members.select(
+        "member", "content", F.element_at(part, -2).alias("category"),
+        F.regexp_replace(F.element_at(part, -1), r"\.[^.]*\z", "").alias("target_char")
+    ).join(F.broadcast(styles), "category")
     m = m.withColumns({"_wh": png_is_rgb(F.col("content")), "_hash": F.sha2("content", 256)})
     wrong = lambda why: F.raise_error(F.concat(F.col("member"), F.lit(why))).cast("string")
-    char = F.when(F.length("target_char") != 1, wrong(": expected a one-character filename")).when(~F.col("_wh").eqNullSafe(F.lit(f"{size}x{size}")), wrong(f": expected a {size}x{size} RGB image")).otherwise(F.col("target_char"))
+    char = F.when(F.length("target_char") != 1, wrong(": expected a one-character filename")).when(
+        ~F.col("_wh").eqNullSafe(F.lit(f"{size}x{size}")), wrong(f": expected a {size}x{size} RGB image")
+    ).otherwise(F.col("target_char"))
     code = F.lpad(F.lower(F.hex(F.ascii("target_char"))), 4, "0")
     short = F.substring("_hash", 1, 12)
-    fixed = {"schema_version": "1", "source_type": "official_open_dataset", "source_version": f"sha256:{archive_hash}", "bbox_left": "0", "bbox_top": "0", "bbox_right": str(size), "bbox_bottom": str(size), "is_synthetic": "false", "review_status": "approved", "reviewer": reviewer, "review_date": review_date, **source}
+    fixed = {
+        "schema_version": "1", "source_type": "official_open_dataset", "source_version": f"sha256:{archive_hash}",
+        "bbox_left": "0", "bbox_top": "0", "bbox_right": str(size), "bbox_bottom": str(size), "is_synthetic": "false",
+        "review_status": "approved", "reviewer": reviewer, "review_date": review_date, **source
+    }
     cells = {
-        **{k: F.lit(v) for k, v in fixed.items()}, "target_char": char, "reference_id": F.concat_ws(":", "style_id", code, short), "image_path": F.concat("style_id", F.lit("/"), "target_char", F.lit("_"), short, F.lit(".png")),
+        **{k: F.lit(v) for k, v in fixed.items()}, "target_char": char, "reference_id": F.concat_ws(":", "style_id", code, short), "image_path": F.concat(
+            "style_id", F.lit("/"), "target_char", F.lit("_"), short, F.lit(".png")
+        ),
         "notes": F.concat(F.lit("Imported from "), "category", F.lit("; source member: "), "member"),
     }
     return m.select(*[cells.get(c, F.col(c) if c in m.columns else F.lit("")).alias(c) for c in IMPORT_COLUMNS], "content")
@@ -153,7 +174,10 @@ def imported(members: DataFrame, styles: DataFrame, archive_hash: str, source: d
 def main() -> None:
     parser = argparse.ArgumentParser(prog="maskframe.jobs")
     sub = parser.add_subparsers(dest="name", required=True)
-    wants = {"audit": ["root", "manifest", "report"], "split": ["manifest", "output"], "template": ["manifest", "output"], "merge": ["base", "review", "output"], "validate": ["manifest", "registry"], "catalog": ["config", "output"]}
+    wants = {
+        "audit": ["root", "manifest", "report"], "split": ["manifest", "output"], "template": ["manifest", "output"],
+        "merge": ["base", "review", "output"], "validate": ["manifest", "registry"], "catalog": ["config", "output"]
+    }
     for name, args in wants.items():
         p = sub.add_parser(name)
         for a in args:

@@ -28,7 +28,10 @@ def group_key(*columns: str) -> Column:
 
 def audit_group_key() -> Column:
     """[P8] Writer, source, sample index, sample id: the first that is not empty, as it stands."""
-    return F.coalesce(*[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in ("writer_id", "source_id", "sample_index", "sample_id")], F.lit(""))
+    return F.coalesce(
+        *[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in ("writer_id", "source_id", "sample_index", "sample_id")],
+        F.lit("")
+    )
 
 
 def stable_key(v: Column) -> Column:
@@ -75,7 +78,11 @@ def mask_errors(manifest: DataFrame, channels: list[str]) -> DataFrame:
     """[P1] The error list rebuilt from the paths and shapes of a manifest row, in audit order."""
     missing = [F.when(F.coalesce(f"{c}_path", F.lit("")) == "", F.lit(f"{c}:missing")) for c in channels]
     shapes = F.array_distinct(F.filter(F.array(*[F.col(f"{c}_shape") for c in channels]), lambda s: F.coalesce(s, F.lit("")) != ""))
-    errors = F.array(F.when(F.coalesce("image_path", F.lit("")) == "", "missing_image"), F.when(F.coalesce("stacked_mask_path", F.lit("")) == "", "stacked_mask:missing"), *missing, F.when(F.size(shapes) > 1, "mask_shape_mismatch"))
+    errors = F.array(
+        F.when(F.coalesce("image_path", F.lit("")) == "", "missing_image"),
+        F.when(F.coalesce("stacked_mask_path", F.lit("")) == "", "stacked_mask:missing"), *missing,
+        F.when(F.size(shapes) > 1, "mask_shape_mismatch")
+    )
     return manifest.select("manifest_row_id", F.array_join(F.array_compact(errors), "|").alias("found_errors"))
 
 
@@ -99,13 +106,33 @@ def fair_round_robin(rows: DataFrame, by: str, score: str, row_id: str, split: s
     return r.join(heads, by).orderBy("rn", F.desc("_head"), by).limit(limit).select(*rows.columns, "rn")
 
 
+def _cursor_picks(sizes: list[tuple], limit: int) -> list[tuple]:
+    """(place, group, rank in the group) of each pick: a cursor over the groups in order, which skips one whenever a group is used up."""
+    left, picks = [[g, n, 0] for g, n in sizes if n > 0], []
+    while left and len(picks) < limit:
+        at = len(picks) % len(left)
+        left[at][2] += 1
+        picks.append((len(picks) + 1, left[at][0], left[at][2]))
+        if left[at][2] == left[at][1]:
+            del left[at]
+    return picks
+
+
 def round_robin_template(rows: DataFrame, by: str, order: str, row_id: str, limit: int) -> DataFrame:
-    """[O3] Passes over the groups in name order, within a group by ``order`` as text.
+    """[O3] ``limit`` rows in turn from the groups in name order, within a group by ``order`` as text; with their ``place``.
 
-    The reference's cursor skips groups once one is used up; up to that point the order is the same.
+    The cursor counts picks and the list of groups shrinks, so a group used up makes it skip the next one. Each
+    pick moves it by two groups at most, so the first ``2 * limit + 1`` groups decide; only their sizes are
+    gathered. A null group has the empty name.
     """
-    r = rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).cast("string"), row_id))).where(F.col("rn") <= limit)
-    return r.orderBy("rn", by).limit(limit)
+    name = F.coalesce(F.col(by).cast("string"), F.lit(""))
+    sizes = rows.groupBy(name.alias("g")).agg(F.count("*").alias("n")).orderBy("g").limit(2 * limit + 1).collect()  # bounded by the limit
+    picks = rows.sparkSession.createDataFrame(_cursor_picks([(r.g, r.n) for r in sizes], limit), "_place int, _g string, _rn int")
+    within = Window.partitionBy("_g").orderBy(F.coalesce(F.col(order).cast("string"), F.lit("")), row_id)
+    r = rows.withColumn("_g", name).withColumn("_rn", F.row_number().over(within)).where(F.col("_rn") <= limit)
+    return r.join(F.broadcast(picks), ["_g", "_rn"]).select(
+        *[c for c in rows.columns if c != "place"], F.col("_place").alias("place")
+    )
 
 
 def systematic_sample(rows: DataFrame, order: list[str], m: int) -> DataFrame:
@@ -148,12 +175,18 @@ def _touched(reviews: DataFrame, signals: list[str]) -> DataFrame:
     some = F.lit(False)
     for s in signals:
         some = some | blank_to_null(F.col(s)).isNotNull()
-    return reviews.where(some).withColumns({"_id": blank_to_null(F.col("sample_id")), "_c": F.coalesce(blank_to_null(F.col("char_id")), F.lit("")), "_i": F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit(""))})
+    return reviews.where(some).withColumns({
+        "_id": blank_to_null(F.col("sample_id")), "_c": F.coalesce(blank_to_null(F.col("char_id")), F.lit("")),
+        "_i": F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit(""))
+    })
 
 
 def _by_names(base: DataFrame, reviews: DataFrame, signals: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base keys (``_sample``, ``_c``, ``_i``), touched reviews of a known sample, and the others."""
-    b = base.select(F.col("sample_id").alias("_sample"), F.coalesce(blank_to_null(F.col("char_id")), F.lit("")).alias("_c"), F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit("")).alias("_i"))
+    b = base.select(
+        F.col("sample_id").alias("_sample"), F.coalesce(blank_to_null(F.col("char_id")), F.lit("")).alias("_c"),
+        F.coalesce(blank_to_null(F.col("sample_index").cast("string")), F.lit("")).alias("_i")
+    )
     r, ids = _touched(reviews, signals), b.select(F.col("_sample").alias("_id"))
     return b, r.join(ids, "_id", "left_semi"), r.join(ids, "_id", "left_anti")
 
@@ -182,4 +215,7 @@ def merge_reviews(base: DataFrame, reviews: DataFrame, fields: list[str], signal
     keyed = last(lost, "_c", "_i").join(stands, ["_c", "_i"]).select("_sample", "_r", "_f")
     won = named.unionByName(keyed).groupBy("_sample").agg(F.max("_r").alias("_won"), F.max_by("_f", "_r").alias("_f"))
     j = base.join(won, base["sample_id"] == won["_sample"], "left")
-    return j.select(*[base[c] for c in base.columns if c not in ("review_id", *fields)], F.col("_won").alias("review_id"), *[F.col("_f")[f].alias(f) for f in fields])
+    return j.select(
+        *[base[c] for c in base.columns if c not in ("review_id", *fields)], F.col("_won").alias("review_id"),
+        *[F.col("_f")[f].alias(f) for f in fields]
+    )

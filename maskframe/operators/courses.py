@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.operators.rules import approved
 
 #: Fields of a course definition (fixed values).
-FIELDS = ["course_id", "display_name", "style_id", "manifest", "cache_index", "source_dataset", "source_license", "status", "enabled", "scoring_label"]
+FIELDS = [
+    "course_id", "display_name", "style_id", "manifest", "cache_index", "source_dataset", "source_license", "status", "enabled",
+    "scoring_label"
+]
 SCHEMA = ", ".join(f"{f} {'boolean' if f == 'enabled' else 'string'}" for f in FIELDS)
 
 
@@ -49,7 +52,9 @@ def course_violations(packs: DataFrame, references: DataFrame) -> DataFrame:
     """[R3, O11] ``course_id``, ``message``, ``rows``: courses without approved references, with references that lack an id or one character, or with several for a character."""
     r = course_references(packs, references)
     char = F.coalesce("target_char", F.lit(""))
-    each = r.groupBy("course_id", char.alias("c")).agg(F.count("*").alias("n"), F.count_if((F.length(char) != 1) | (F.coalesce("reference_id", F.lit("")) == "")).alias("bad"))
+    each = r.groupBy("course_id", char.alias("c")).agg(
+        F.count("*").alias("n"), F.count_if((F.length(char) != 1) | (F.coalesce("reference_id", F.lit("")) == "")).alias("bad")
+    )
     per = each.groupBy("course_id").agg(F.sum("bad").alias("bad"), F.sum(F.when(F.length("c") == 1, F.col("n") - 1).otherwise(0)).alias("more"))
     j = packs.select("course_id").join(per, "course_id", "left")
     hits = F.array_compact(F.array(
@@ -77,7 +82,9 @@ def find_course(requests: DataFrame, packs: DataFrame, references: DataFrame) ->
     few = F.broadcast(packs.select("course_id", F.coalesce("enabled", F.lit(False)).alias("_enabled")))  # a small configuration
     j = requests.join(few, "course_id", "left").join(per, ["course_id", "target_char"], "left")
     status = (
-        F.when(F.col("_enabled").isNull(), "unknown_course").when(~F.col("_enabled"), "course_disabled").when(F.length(F.coalesce("target_char", F.lit(""))) != 1, "not_one_character")
+        F.when(F.col("_enabled").isNull(), "unknown_course").when(~F.col("_enabled"), "course_disabled").when(
+            F.length(F.coalesce("target_char", F.lit(""))) != 1, "not_one_character"
+        )
         .when(F.col("_n").isNull(), "unsupported_character").when(F.col("_n") > 1, "ambiguous_reference").otherwise("found")
     )
     return j.select(*requests.columns, status.alias("status"), F.when(status == "found", F.col("_id")).alias("reference_id"))
@@ -90,7 +97,10 @@ def catalog(packs: DataFrame, references: DataFrame, cached: DataFrame | None =
     entry for each distinct character, the one of the least reference id, so it is bounded by the script.
     """
     r = course_references(packs, references).where("target_char IS NOT NULL")
-    one = r.groupBy("course_id", "target_char").agg(F.min(F.struct(F.col("reference_id").isNull().alias("none"), "reference_id", "image_path")).alias("_r"), F.count("*").alias("_n"))
+    one = r.groupBy("course_id", "target_char").agg(
+        F.min(F.struct(F.col("reference_id").isNull().alias("none"), "reference_id", "image_path")).alias("_r"),
+        F.count("*").alias("_n")
+    )
     entry = F.struct("target_char", F.col("_r.reference_id").alias("reference_id"), F.col("_r.image_path").alias("reference_image_path"))
     per = one.groupBy("course_id").agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(entry)).alias("characters"))
     out = packs.join(per, "course_id", "left")
@@ -99,9 +109,24 @@ def catalog(packs: DataFrame, references: DataFrame, cached: DataFrame | None =
         out = out.join(cached.select("cache_index", F.lit(True).alias("_there")).distinct(), "cache_index", "left")
         flag = F.coalesce("_there", F.lit(False))
     rest = [f for f in FIELDS if f not in ("manifest", "cache_index")]
-    return out.select(*rest, F.coalesce("_n", F.lit(0)).alias("supported_character_count"), flag.alias("cache_available"), F.coalesce("characters", F.array().cast(per.schema["characters"].dataType)).alias("characters"))
+    return out.select(
+        *rest, F.coalesce("_n", F.lit(0)).alias("supported_character_count"), flag.alias("cache_available"),
+        F.coalesce("characters", F.array().cast(per.schema["characters"].dataType)).alias("characters")
+    )
 
 
 def missing_caches(entries: DataFrame) -> DataFrame:
     """[A20] Enabled courses whose cache is known to be missing."""
     return entries.where(F.col("enabled") & ~F.col("cache_available")).select("course_id")
+
+
+#: Codes of refused requests by the outcome of :func:`find_course` and of the cache (fixed values).
+CODES = {
+    "unknown_course": "40002", "course_disabled": "40002", "unsupported_character": "40901", "ambiguous_reference": "40901", "missing_course_cache": "50301", "reference_mask_file_missing": "50301",
+}
+
+
+def error_code(status: Column) -> Column:
+    """[P17] Code of an outcome, ``50001`` for any other failure; null where the reference was found."""
+    known = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    return F.when(status != "found", F.coalesce(F.try_element_at(known, status), F.lit("50001")))

@@ -26,7 +26,10 @@ RULES = {
 FLAGS = ["difficulty_crossing", "difficulty_adhesion", "difficulty_endpoint", "difficulty_line_width", "difficulty_background", "difficulty_style"]
 TEXTS = ["split", "priority", "reviewer", "notes"]
 #: The reader's record ends at the first ``lineSep`` and it takes a NUL for a comment: records with either sign are not given to it, nor are empty ones, which it skips.
-OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\x01", "maxCharsPerColumn": "-1", "emptyValue": ""}
+OPTIONS = {
+    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true",
+    "lineSep": "\x01", "maxCharsPerColumn": "-1", "emptyValue": ""
+}
 UNREADABLE = r"[\x00\x01]"
 #: Records with more separators are not given to the reader, which throws beyond ``maxColumns`` in spite of PERMISSIVE.
 MOST_SEPARATORS = 20_000
@@ -49,7 +52,10 @@ def width(c: Column) -> Column:
 def cells_of(c: Column) -> Column:
     """Cells of a well-formed record, by pattern, for records the reader cannot be given."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(r',("(?:[^"]++|"")*+"|[^",]*+)'), F.lit(1))
-    return F.transform(raw, lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.transform(
+        raw,
+        lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    )
 
 
 def headers(raw: DataFrame) -> DataFrame:
@@ -73,7 +79,9 @@ def classify(raw: DataFrame) -> DataFrame:
     widest = heads.agg(F.max(F.size("_names"))).first()[0] or 1
     schema = ", ".join(f"c{i} STRING" for i in range(widest)) + ", _corrupt STRING"
     out = [c for c in raw.columns if c not in ("reason", "corrupt_text", "fields", "marked")]
-    body = raw.where(~F.col("line_no").eqNullSafe(1)).select(F.struct(*out).alias("_row"), "file_name", "record_text").join(heads, "file_name", "left")
+    body = raw.where(~F.col("line_no").eqNullSafe(1)).select(
+        F.struct(*out).alias("_row"), "file_name", "record_text"
+    ).join(heads, "file_name", "left")
     body = body.withColumn("_text", bare(F.col("record_text")))
     # One schema for all files: records of narrower files get the separators they lack.
     given = F.col("_names").isNotNull() & (F.col("_text") != "") & ~F.col("_text").rlike(UNREADABLE) & (width(F.col("_text")) <= MOST_SEPARATORS)
@@ -98,7 +106,10 @@ def classify(raw: DataFrame) -> DataFrame:
     body = body.withColumn("reason", reason)
     wanted = {n: cell(n) for n in ("sample_id", "char_id", "sample_index", "keep", *FLAGS, *TEXTS)}
     corrupt = F.when(F.col("reason").isNotNull(), F.col("record_text"))
-    judged = F.struct("reason", corrupt.alias("corrupt_text"), F.struct(*[v.alias(n) for n, v in wanted.items()]).alias("fields"), F.col("_marked").alias("marked"))
+    judged = F.struct(
+        "reason", corrupt.alias("corrupt_text"), F.struct(*[v.alias(n) for n, v in wanted.items()]).alias("fields"),
+        F.col("_marked").alias("marked")
+    )
     # One-element explode: filters on the verdict stay above it, so the regular expressions run once a record.
     return body.select("_row", F.explode(F.array(judged)).alias("_judged")).select("_row.*", "_judged.*")
 
@@ -109,7 +120,9 @@ def valid_rows(classified: DataFrame) -> DataFrame:
     text = lambda n: F.when(f(n) != "", f(n)).alias(n)
     return classified.where("reason IS NULL").select(
         "raw_id", "file_name", "line_no", text("sample_id"), whole_number(f("char_id")).alias("char_id"), whole_number(f("sample_index")).alias("sample_index"),
-        *[f(n).try_cast("int").alias(n) for n in FLAGS], F.when(f("keep") != "", F.lower(f("keep")) == "yes").alias("keep"), *[text(n) for n in TEXTS],
+        *[f(n).try_cast("int").alias(n) for n in FLAGS], F.when(
+            f("keep") != "", F.lower(f("keep")) == "yes"
+        ).alias("keep"), *[text(n) for n in TEXTS],
     )
 
 

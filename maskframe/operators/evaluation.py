@@ -35,7 +35,10 @@ def above_threshold(probabilities: DataFrame, limits: Mapping[str, float], chann
 def _counts(pred: DataFrame, target: DataFrame, by: list[str], channel: str) -> DataFrame:
     keys = [*by, channel, "y", "x"]
     both = pred.select(*keys, F.lit(1).alias("_k")).unionByName(target.select(*keys, F.lit(2).alias("_k"))).groupBy(*keys).agg(F.bit_or("_k").alias("_k"))
-    return both.groupBy(channel).agg(F.count_if(F.col("_k") == 3).alias("tp"), F.count_if(F.col("_k") == 1).alias("fp"), F.count_if(F.col("_k") == 2).alias("fn"))
+    return both.groupBy(channel).agg(
+        F.count_if(F.col("_k") == 3).alias("tp"), F.count_if(F.col("_k") == 1).alias("fp"),
+        F.count_if(F.col("_k") == 2).alias("fn")
+    )
 
 
 def evaluate_channels(pred: DataFrame, target: DataFrame, by: list[str], height: int, width: int, channel: str = "channel") -> DataFrame:
@@ -46,10 +49,14 @@ def evaluate_channels(pred: DataFrame, target: DataFrame, by: list[str], height:
     """
     some = lambda d: d.where(F.col(channel).isin(CHANNELS) & F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*by, channel, "y", "x")
     p, t = some(pred), some(target)
-    edge = _counts(boundary(p, [*by, channel], height, width), boundary(t, [*by, channel], height, width), by, channel).toDF(channel, "b1", "b2", "b3")
+    edge = _counts(
+        boundary(p, [*by, channel], height, width), boundary(t, [*by, channel], height, width), by, channel
+    ).toDF(channel, "b1", "b2", "b3")
     names = pred.sparkSession.createDataFrame([(i, c) for i, c in enumerate(CHANNELS)], f"place int, {channel} string")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    j = names.join(_counts(p, t, by, channel), channel, "left").join(edge, channel, "left").select("place", channel, *map(zero, ("tp", "fp", "fn", "b1", "b2", "b3")))
+    j = names.join(_counts(p, t, by, channel), channel, "left").join(edge, channel, "left").select(
+        "place", channel, *map(zero, ("tp", "fp", "fn", "b1", "b2", "b3"))
+    )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return j.select(
         "place", channel, "tp", "fp", "fn", ratio(2 * tp, 2 * tp + fp + fn).alias("dice"), ratio(tp, tp + fp + fn).alias("iou"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
@@ -57,7 +64,10 @@ def evaluate_channels(pred: DataFrame, target: DataFrame, by: list[str], height:
     )
 
 
-def evaluate(pred: DataFrame, target: DataFrame, by: list[str], height: int, width: int, radii: list[int] | None = None, channel: str = "channel") -> DataFrame:
+def evaluate(
+    pred: DataFrame, target: DataFrame, by: list[str], height: int, width: int, radii: list[int] | None = None,
+    channel: str = "channel"
+) -> DataFrame:
     """[A4-A7] The meter's figures as rows ``metric``, ``channel``, ``radius``, ``value``.
 
     ``dice``, ``iou``, ``precision``, ``recall``, ``boundary_f1`` of each channel; ``macro_dice``, ``macro_iou`` and
@@ -67,10 +77,15 @@ def evaluate(pred: DataFrame, target: DataFrame, by: list[str], height: int, wid
     per = evaluate_channels(pred, target, by, height, width, channel)
     names = ["dice", "iou", "precision", "recall", "boundary_f1"]
     none = F.lit(None)
-    row = lambda m, c, v: F.struct(F.lit(m).alias("metric"), c.cast("string").alias("channel"), none.cast("int").alias("radius"), v.alias("value"))
+    row = lambda m, c, v: F.struct(
+        F.lit(m).alias("metric"), c.cast("string").alias("channel"), none.cast("int").alias("radius"), v.alias("value")
+    )
     out = per.select(F.explode(F.array(*[row(m, F.col(channel), F.col(m)) for m in names])).alias("m")).select("m.*")
     five = lambda c: F.avg(F.when(F.col(channel) != KEYPOINT, F.col(c)))
-    macro = per.agg(five("dice").alias("macro_dice"), five("iou").alias("macro_iou"), five("boundary_f1").alias("macro_boundary_f1"), F.max(F.when(F.col(channel) == KEYPOINT, F.col("dice"))).alias("keypoint_f1"))
+    macro = per.agg(
+        five("dice").alias("macro_dice"), five("iou").alias("macro_iou"), five("boundary_f1").alias("macro_boundary_f1"),
+        F.max(F.when(F.col(channel) == KEYPOINT, F.col("dice"))).alias("keypoint_f1")
+    )
     out = out.unionByName(macro.select(F.explode(F.array(*[row(m, none, F.col(m)) for m in macro.columns])).alias("m")).select("m.*"))
     points = lambda d: d.where(F.col(channel) == KEYPOINT).select(*by, "y", "x")
     for r in sorted(set(radii or [])):
@@ -78,7 +93,10 @@ def evaluate(pred: DataFrame, target: DataFrame, by: list[str], height: int, wid
         c = c.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("pred", "target", "pred_hit", "target_hit")])
         p, q = ratio(F.col("pred_hit"), F.col("pred")), ratio(F.col("target_hit"), F.col("target"))
         values = {"keypoint_precision": p, "keypoint_recall": q, "keypoint_tolerant_f1": ratio(2 * p * q, p + q)}
-        rows = [F.struct(F.lit(m).alias("metric"), F.lit(KEYPOINT).alias("channel"), F.lit(r).alias("radius"), v.alias("value")) for m, v in values.items()]
+        rows = [
+            F.struct(F.lit(m).alias("metric"), F.lit(KEYPOINT).alias("channel"), F.lit(r).alias("radius"), v.alias("value")) for m,
+            v in values.items()
+        ]
         out = out.unionByName(c.select(F.explode(F.array(*rows)).alias("m")).select("m.*"))
     return out
 
@@ -96,11 +114,17 @@ def hard_scores(rows: DataFrame, pixels: DataFrame, by: list[str], channel: str
     bit = F.element_at(F.create_map(*[x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(1 << i))]), F.col(channel))
     places = pixels.where(F.col(channel).isin(CHANNELS)).groupBy(*by, "y", "x").agg(F.bit_or(bit).alias("b"))
     five = F.col("b").bitwiseAND(31)
-    per = places.groupBy(*by).agg(F.count_if(five > 0).alias("_n"), F.count_if(F.bit_count(five) >= 2).alias("_two"), F.bit_count(F.bit_or(five)).alias("_used"), F.count_if(F.col("b") > 31).alias("_key"))
+    per = places.groupBy(*by).agg(
+        F.count_if(five > 0).alias("_n"), F.count_if(F.bit_count(five) >= 2).alias("_two"),
+        F.bit_count(F.bit_or(five)).alias("_used"), F.count_if(F.col("b") > 31).alias("_key")
+    )
     union = F.greatest("_n", F.lit(1))
     score = 100.0 * F.col("_two") / union + 4.0 * F.col("_used") + F.least(F.col("_key") / union * 200.0, F.lit(8.0))
     note = F.format_string(SCORE_NOTE, 100.0 * F.col("_two") / union, F.col("_used"))
-    return rows.join(per, by, "left").select(*rows.columns, F.coalesce(score, F.lit(0.0)).alias("hard_score"), F.when(F.col("_n").isNull(), UNREADABLE_NOTE).otherwise(note).alias("reason"))
+    return rows.join(per, by, "left").select(
+        *rows.columns, F.coalesce(score, F.lit(0.0)).alias("hard_score"),
+        F.when(F.col("_n").isNull(), UNREADABLE_NOTE).otherwise(note).alias("reason")
+    )
 
 
 def eligible(manifest: DataFrame, splits: DataFrame) -> DataFrame:

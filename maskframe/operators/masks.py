@@ -13,7 +13,9 @@ def _around(pixels: DataFrame, by: list[str], radius: int) -> DataFrame:
     if radius < 0:
         raise ValueError("radius must be non-negative")
     d = F.sequence(F.lit(-radius), F.lit(radius))
-    return pixels.select(*by, "y", "x", F.explode(d).alias("dy")).select(*by, "y", "x", "dy", F.explode(d).alias("dx")).select(*by, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    return pixels.select(*by, "y", "x", F.explode(d).alias("dy")).select(*by, "y", "x", "dy", F.explode(d).alias("dx")).select(
+        *by, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")
+    )
 
 
 def clip(pixels: DataFrame, height: int, width: int) -> DataFrame:
@@ -40,7 +42,10 @@ def translate(pixels: DataFrame, dy: Column | int, dx: Column | int, height: int
 def overlap(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """[J9, U3] ``shared``, ``only_a``, ``only_b`` for each mask, by one aggregation over the union."""
     u = a.select(*by, "y", "x", F.lit(1).alias("_k")).unionByName(b.select(*by, "y", "x", F.lit(2).alias("_k"))).groupBy(*by, "y", "x").agg(F.bit_or("_k").alias("_k"))
-    return u.groupBy(*by).agg(F.count_if(F.col("_k") == 3).alias("shared"), F.count_if(F.col("_k") == 1).alias("only_a"), F.count_if(F.col("_k") == 2).alias("only_b"))
+    return u.groupBy(*by).agg(
+        F.count_if(F.col("_k") == 3).alias("shared"), F.count_if(F.col("_k") == 1).alias("only_a"),
+        F.count_if(F.col("_k") == 2).alias("only_b")
+    )
 
 
 def pair_scores(o: DataFrame) -> DataFrame:
@@ -67,7 +72,10 @@ def tolerant_counts(pred: DataFrame, target: DataFrame, by: list[str], radius: i
 
 def tolerant_scores(counts: DataFrame, places: int = 9) -> DataFrame:
     p, r = ratio(F.col("pred_hit"), F.col("pred")), ratio(F.col("target_hit"), F.col("target"))
-    return counts.select("*", F.round(p, places).alias("precision"), F.round(r, places).alias("recall"), F.round(ratio(2 * p * r, p + r), places).alias("f1"))
+    return counts.select(
+        "*", F.round(p, places).alias("precision"), F.round(r, places).alias("recall"),
+        F.round(ratio(2 * p * r, p + r), places).alias("f1")
+    )
 
 
 def centroids(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -81,11 +89,22 @@ def align_by_centroid(user: DataFrame, reference: DataFrame, by: list[str], heig
     Candidates are the shifts up to ``wiggle`` away, in row order; the first of best IoU wins.
     """
     cu, cr = centroids(user, by), centroids(reference, by).toDF(*by, "rx", "ry", "rink")
-    base = cu.join(cr, by).select(*by, "ink", F.bround(F.col("cx") - F.col("rx")).cast("int").alias("bx"), F.bround(F.col("cy") - F.col("ry")).cast("int").alias("by_"))
+    base = cu.join(cr, by).select(
+        *by, "ink", F.bround(F.col("cx") - F.col("rx")).cast("int").alias("bx"),
+        F.bround(F.col("cy") - F.col("ry")).cast("int").alias("by_")
+    )
     d = F.sequence(F.lit(-wiggle), F.lit(wiggle))
     cand = base.select("*", F.explode(d).alias("oy")).select("*", F.explode(d).alias("ox"))
-    cand = cand.select(*by, "ink", (F.col("by_") + F.col("oy")).alias("dy"), (F.col("bx") + F.col("ox")).alias("dx"), ((F.col("oy") + wiggle) * (2 * wiggle + 1) + F.col("ox") + wiggle).alias("idx"))
-    moved = clip(reference.select(*by, "y", "x").join(cand, by).select(*by, "ink", "dy", "dx", "idx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")), height, width)
+    cand = cand.select(
+        *by, "ink", (F.col("by_") + F.col("oy")).alias("dy"), (F.col("bx") + F.col("ox")).alias("dx"),
+        ((F.col("oy") + wiggle) * (2 * wiggle + 1) + F.col("ox") + wiggle).alias("idx")
+    )
+    moved = clip(
+        reference.select(*by, "y", "x").join(cand, by).select(
+            *by, "ink", "dy", "dx", "idx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")
+        ),
+        height, width
+    )
     hit = moved.join(user.select(*by, "y", "x").distinct().withColumn("u", F.lit(1)), [*by, "y", "x"], "left")
     s = hit.groupBy(*by, "ink", "dy", "dx", "idx").agg(F.count("u").alias("shared"), F.count("*").alias("moved"))
     iou = F.col("shared") / (F.col("ink") + F.col("moved") - F.col("shared"))
@@ -110,7 +129,9 @@ def region_name(row: Column, col: Column) -> Column:
     return F.concat(F.element_at(F.array(*map(F.lit, ROWS)), row + 1), F.element_at(F.array(*map(F.lit, COLUMNS)), col + 1))
 
 
-def dominant_difference(user: DataFrame, reference: DataFrame, by: list[str], channel: str, channels: list[str], height: int, width: int) -> DataFrame:
+def dominant_difference(
+    user: DataFrame, reference: DataFrame, by: list[str], channel: str, channels: list[str], height: int, width: int
+) -> DataFrame:
     """[A18] Per pair the channel and 3x3 grid cell with most missing or most extra pixels: ``channel``, ``row``, ``col``, ``region``, ``kind``, ``pixels``.
 
     Only ``channels`` count, in their order; of equal cells the first by channel, row and column wins, and within
@@ -122,15 +143,23 @@ def dominant_difference(user: DataFrame, reference: DataFrame, by: list[str], ch
     def cell(c: str, n: int) -> Column:
         return F.when(F.col(c) < n // 3, 0).when(F.col(c) < 2 * n // 3, 1).otherwise(2)
 
-    g = u.groupBy(*by, channel, cell("y", height).alias("row"), cell("x", width).alias("col")).agg(F.count_if(F.col("_k") == 2).alias("missing"), F.count_if(F.col("_k") == 1).alias("extra"))
+    g = u.groupBy(*by, channel, cell("y", height).alias("row"), cell("x", width).alias("col")).agg(
+        F.count_if(F.col("_k") == 2).alias("missing"), F.count_if(F.col("_k") == 1).alias("extra")
+    )
     place = F.array_position(F.array(*map(F.lit, channels)), F.col(channel))
     order = F.struct((-F.greatest("missing", "extra")).alias("n"), place.alias("p"), "row", "col")
     kind = F.when(F.col("missing") >= F.col("extra"), MISSING).otherwise(EXTRA)
-    what = F.struct(F.col(channel).alias("channel"), "row", "col", region_name(F.col("row"), F.col("col")).alias("region"), kind.alias("kind"), F.greatest("missing", "extra").alias("pixels"))
+    what = F.struct(
+        F.col(channel).alias("channel"), "row", "col", region_name(F.col("row"), F.col("col")).alias("region"),
+        kind.alias("kind"), F.greatest("missing", "extra").alias("pixels")
+    )
     return g.groupBy(*by).agg(F.min_by(what, order).alias("_b")).select(*by, "_b.*")
 
 
-def composite_score(user: DataFrame, reference: DataFrame, by: list[str], channel: str, directions: list[str], keypoint: str, radius: int, height: int, width: int) -> DataFrame:
+def composite_score(
+    user: DataFrame, reference: DataFrame, by: list[str], channel: str, directions: list[str], keypoint: str, radius: int,
+    height: int, width: int
+) -> DataFrame:
     """[A10-A12, A14, A15] Per pair: mean direction Dice, ink IoU, tolerant keypoint F1, and 100 * (0.55, 0.25, 0.20 of them).
 
     The masks are taken as aligned. Every pair that has a pixel on either side has a row; channels, ink and
@@ -147,7 +176,9 @@ def composite_score(user: DataFrame, reference: DataFrame, by: list[str], channe
     f1 = pair_tolerant_scores(tolerant_counts(points(user), points(reference), by, radius, height, width)).select(*by, "f1")
     pairs = both.select(*by).distinct()
     one = lambda c: F.coalesce(c, F.lit(1.0))
-    j = pairs.join(dice, by, "left").join(ink, by, "left").join(f1, by, "left").select(*by, one("dice").alias("macro_dice"), one("iou").alias("ink_iou"), one("f1").alias("keypoint_f1"))
+    j = pairs.join(dice, by, "left").join(ink, by, "left").join(f1, by, "left").select(
+        *by, one("dice").alias("macro_dice"), one("iou").alias("ink_iou"), one("f1").alias("keypoint_f1")
+    )
     return j.withColumn("score", 100 * (0.55 * F.col("macro_dice") + 0.25 * F.col("ink_iou") + 0.20 * F.col("keypoint_f1")))
 
 

@@ -44,7 +44,9 @@ def compress_runs(parents: DataFrame, by: list[str], start: str = "start", end:
     return p.groupBy(*by, "block", "_run").agg(F.min("_s").alias("run_start"), F.max("_e").alias("run_end")).drop("_run")
 
 
-def heavy_orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, salt_rows: int = 1_000_000) -> DataFrame:
+def heavy_orphans(
+    refs: DataFrame, runs: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, salt_rows: int = 1_000_000
+) -> DataFrame:
     """Rows of ``refs`` whose key is in no run at the integer ``at``.
 
     ``runs`` comes from :func:`compress_runs` with the same ``by`` and ``block``; ``row`` is any expression
@@ -53,12 +55,19 @@ def heavy_orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row:
     they came in; with no parents every reference is an orphan.
     """
     cols = refs.columns
-    r = refs.dropna(subset=by).select(F.struct(*cols).alias("_row"), *by, F.coalesce(F.col(at).cast("bigint"), F.lit(FOREVER - 1)).alias("_at"), row.alias("_spread"))
+    r = refs.dropna(subset=by).select(
+        F.struct(*cols).alias("_row"), *by, F.coalesce(F.col(at).cast("bigint"), F.lit(FOREVER - 1)).alias("_at"),
+        row.alias("_spread")
+    )
     r = r.withColumn("block", F.floor(F.col("_at") / F.lit(block)).cast("bigint"))
     none = F.lit(None).cast("bigint")
     groups = (
-        r.groupBy(*by, "block").agg(F.count("*").alias("_refs")).select(*by, "block", "_refs", none.alias("_top"), F.lit(0).cast("bigint").alias("_runs"))
-        .unionByName(runs.groupBy(*by, "block").agg(F.max("run_end").alias("_top"), F.count("*").alias("_runs")).withColumn("_refs", F.lit(0).cast("bigint")))
+        r.groupBy(*by, "block").agg(F.count("*").alias("_refs")).select(
+            *by, "block", "_refs", none.alias("_top"), F.lit(0).cast("bigint").alias("_runs")
+        )
+        .unionByName(runs.groupBy(*by, "block").agg(
+            F.max("run_end").alias("_top"), F.count("*").alias("_runs")
+        ).withColumn("_refs", F.lit(0).cast("bigint")))
         .groupBy(*by, "block").agg(F.sum("_refs").alias("_refs"), F.max("_top").alias("_top"), F.sum("_runs").alias("_runs"))
     )
     earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,9 +76,15 @@ def heavy_orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row:
     # What earlier blocks cover is settled here; the skew join of adaptive execution splits a hot key's rows.
     r = r.join(groups, [*by, "block"]).where(F.col("_carry").isNull() | (F.col("_carry") <= F.col("_at")))
     settled = r.where("_runs = 0").select("_row.*")
-    open_ = r.where("_runs > 0").select(*by, "block", F.pmod(F.xxhash64("_spread"), F.col("_salts")).cast("int").alias("_salt"), "_at", F.lit(1).alias("_kind"), none.alias("_end"), "_row")
+    open_ = r.where("_runs > 0").select(
+        *by, "block", F.pmod(F.xxhash64("_spread"), F.col("_salts")).cast("int").alias("_salt"), "_at", F.lit(1).alias("_kind"),
+        none.alias("_end"), "_row"
+    )
     spread = runs.join(groups.where("_runs > 0").select(*by, "block", "_salts"), [*by, "block"])
-    spread = spread.select(*by, "block", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("run_start").alias("_at"), F.lit(0).alias("_kind"), F.col("run_end").alias("_end"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    spread = spread.select(
+        *by, "block", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("run_start").alias("_at"),
+        F.lit(0).alias("_kind"), F.col("run_end").alias("_end"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row")
+    )
     order = Window.partitionBy(*by, "block", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     matched = open_.unionByName(spread).withColumn("_end", F.last("_end", ignorenulls=True).over(order))
     late = matched.where((F.col("_kind") == 1) & (F.col("_end").isNull() | (F.col("_end") <= F.col("_at")))).select("_row.*")
@@ -79,8 +94,15 @@ def heavy_orphans(refs: DataFrame, runs: DataFrame, by: list[str], at: str, row:
 def _light_orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str) -> DataFrame:
     """As :func:`heavy_orphans`, in one exchange and one sort: parents and references of a key in the order of time."""
     cols, none = refs.columns, F.lit(None).cast("bigint")
-    r = refs.dropna(subset=by).select(*by, F.coalesce(F.col(at).cast("bigint"), F.lit(FOREVER - 1)).alias("_at"), F.lit(1).alias("_kind"), none.alias("_end"), F.struct(*cols).alias("_row"))
-    p = lives.select(*by, F.col("start").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.coalesce(F.col("end").cast("bigint"), F.lit(FOREVER)).alias("_end"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    r = refs.dropna(subset=by).select(
+        *by, F.coalesce(F.col(at).cast("bigint"), F.lit(FOREVER - 1)).alias("_at"), F.lit(1).alias("_kind"), none.alias("_end"),
+        F.struct(*cols).alias("_row")
+    )
+    p = lives.select(
+        *by, F.col("start").cast("bigint").alias("_at"), F.lit(0).alias("_kind"),
+        F.coalesce(F.col("end").cast("bigint"), F.lit(FOREVER)).alias("_end"),
+        F.lit(None).cast(r.schema["_row"].dataType).alias("_row")
+    )
     p = p.where(F.col("_at") < F.col("_end")).dropna(subset=by)
     w = Window.partitionBy(*by).orderBy("_at", "_kind", F.col("_end").desc())
     reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -91,7 +113,10 @@ def _light_orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str) ->
     return u.where((F.col("_kind") == 1) & (F.col("_start").isNull() | (F.col("_reach") <= F.col("_at")))).select("_row.*").select(*cols)
 
 
-def orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK, heavy_rows: int = HEAVY_ROWS, salt_rows: int = 1_000_000) -> DataFrame:
+def orphans(
+    refs: DataFrame, lives: DataFrame, by: list[str], at: str, row: Column, block: int = DATED_BLOCK,
+    heavy_rows: int = HEAVY_ROWS, salt_rows: int = 1_000_000
+) -> DataFrame:
     """Rows of ``refs`` whose key is not present at the integer ``at``.
 
     ``lives`` has ``by``, ``start`` and ``end``: half-open intervals, a null end means without end, a null start or
@@ -110,7 +135,9 @@ def orphans(refs: DataFrame, lives: DataFrame, by: list[str], at: str, row: Colu
         return _light_orphans(refs, lives, by, at)
     is_heavy = F.coalesce(bucket.isin(heavy), F.lit(False))
     light = _light_orphans(refs.where(~is_heavy), lives.where(~is_heavy), by, at)
-    return light.unionByName(heavy_orphans(refs.where(is_heavy), compress_runs(lives.where(is_heavy), by, block=block), by, at, row, block, salt_rows))
+    return light.unionByName(heavy_orphans(
+        refs.where(is_heavy), compress_runs(lives.where(is_heavy), by, block=block), by, at, row, block, salt_rows
+    ))
 
 
 def orphan_integers(children: DataFrame, parents: DataFrame, key: str, parent_key: str, block: int = 2**20) -> DataFrame:
@@ -120,7 +147,9 @@ def orphan_integers(children: DataFrame, parents: DataFrame, key: str, parent_ke
     for each key first, so that a key's copies do not meet in one task. Null keys are blank, and no parents.
     """
     group = lambda c: F.floor(F.col(c).cast("bigint") / F.lit(block)).cast("bigint").alias("_g")
-    p = parents.where(F.col(parent_key).isNotNull()).select(group(parent_key), F.col(parent_key).cast("bigint").alias("start")).distinct().withColumn("end", F.col("start") + 1)
+    p = parents.where(F.col(parent_key).isNotNull()).select(
+        group(parent_key), F.col(parent_key).cast("bigint").alias("start")
+    ).distinct().withColumn("end", F.col("start") + 1)
     keys = children.where(F.col(key).isNotNull()).select(group(key), F.col(key).cast("bigint").alias("_key")).distinct()
     lost = orphans(keys, p, ["_g"], "_key", F.col("_key"), block).select("_key")
     return children.join(lost, children[key].cast("bigint") == F.col("_key"), "left_semi")
@@ -132,4 +161,7 @@ def orphan_report(refs: DataFrame, found: DataFrame, period: Column) -> DataFram
     bad = found.groupBy("table_name", "field_name", period.alias("period")).agg(F.count("*").alias("orphans"))
     j = all_.join(bad, (all_.table_name == bad.table_name) & (all_.field_name == bad.field_name) & all_["period"].eqNullSafe(bad["period"]), "left")
     n = F.coalesce(bad["orphans"], F.lit(0))
-    return j.select(all_["table_name"], all_["field_name"], all_["period"], all_["refs"], n.alias("orphans"), F.round(n / all_["refs"], 6).alias("orphan_share"))
+    return j.select(
+        all_["table_name"], all_["field_name"], all_["period"], all_["refs"], n.alias("orphans"),
+        F.round(n / all_["refs"], 6).alias("orphan_share")
+    )

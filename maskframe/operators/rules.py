@@ -36,13 +36,19 @@ def _judged(manifest: DataFrame, registry: DataFrame, row_id: str) -> DataFrame:
     cell = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) if c in manifest.columns else F.lit("")
     m = manifest.select(F.col(row_id).alias("_row"), *[cell(c).alias(c) for c in MANIFEST_COLUMNS])
     own = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) if c in registry.columns else F.lit("")
-    reg = registry.where("style_id IS NOT NULL").select(F.col("style_id").alias("style_id"), own("author_id").alias("_author"), own("script_style").alias("_script"), F.coalesce("enabled", F.lit(False)).alias("_enabled"), F.lit(True).alias("_known"))
+    reg = registry.where("style_id IS NOT NULL").select(
+        F.col("style_id").alias("style_id"), own("author_id").alias("_author"), own("script_style").alias("_script"),
+        F.coalesce("enabled", F.lit(False)).alias("_enabled"), F.lit(True).alias("_known")
+    )
     first = m.where("reference_id <> ''").groupBy("reference_id").agg(F.min("_row").alias("_first"))
     m = m.join(first, "reference_id", "left").join(reg.dropDuplicates(["style_id"]), "style_id", "left")
     return m.withColumn("_known", F.coalesce("_known", F.lit(False))).withColumn("_status", F.lower("review_status"))
 
 
-def manifest_violations(manifest: DataFrame, registry: DataFrame, row_id: str = "row_id", files: DataFrame | None = None, require_approved: bool = False) -> DataFrame:
+def manifest_violations(
+    manifest: DataFrame, registry: DataFrame, row_id: str = "row_id", files: DataFrame | None = None,
+    require_approved: bool = False
+) -> DataFrame:
     """[R1, J8, O11] Violated rules of a reference manifest: ``row_id``, ``field``, ``message`` (fixed values).
 
     Rows of a style that is not registered are not checked further. ``row_id`` orders the rows: second and later
@@ -64,8 +70,14 @@ def manifest_violations(manifest: DataFrame, registry: DataFrame, row_id: str =
         ("source_type", "required", known & empty("source_type")),
         ("is_synthetic", "must be true or false", known & ~F.lower("is_synthetic").isin("true", "false")),
         ("review_status", "must be pending, approved, or rejected", known & ~F.col("_status").isin(STATUSES)),
-        ("author_id", F.concat(F.lit("must match registry value: "), F.col("_author")), known & (F.col("_author") != "") & (F.col("author_id") != F.col("_author"))),
-        ("script_style", F.concat(F.lit("must match registry value: "), F.col("_script")), known & (F.col("_script") != "") & (F.col("script_style") != F.col("_script"))),
+        (
+            "author_id", F.concat(F.lit("must match registry value: "), F.col("_author")),
+            known & (F.col("_author") != "") & (F.col("author_id") != F.col("_author"))
+        ),
+        (
+            "script_style", F.concat(F.lit("must match registry value: "), F.col("_script")),
+            known & (F.col("_script") != "") & (F.col("script_style") != F.col("_script"))
+        ),
         *[(f, "required for approved reference", approved & empty(f)) for f in APPROVED_FIELDS],
         ("style_id", "style is not enabled", approved & ~F.col("_enabled")),
         *([("review_status", "must be approved", known & (F.col("_status") != "approved"))] if require_approved else []),
@@ -73,23 +85,36 @@ def manifest_violations(manifest: DataFrame, registry: DataFrame, row_id: str =
     return violations(m, "_row", rules).withColumnRenamed("_row", row_id)
 
 
-def manifest_report(manifest: DataFrame, registry: DataFrame, row_id: str = "row_id", files: DataFrame | None = None, require_approved: bool = False) -> DataFrame:
+def manifest_report(
+    manifest: DataFrame, registry: DataFrame, row_id: str = "row_id", files: DataFrame | None = None,
+    require_approved: bool = False
+) -> DataFrame:
     """[A22] One row: ``num_rows``, ``num_approved`` (of registered styles), ``missing_columns``, ``num_errors`` and ``valid``.
 
     The errors themselves are the rows of :func:`manifest_violations`; they are counted here, not gathered.
     """
     lacking = missing_columns(manifest)
-    rows = _judged(manifest, registry, row_id).agg(F.count("*").alias("num_rows"), F.count_if(F.col("_known") & (F.col("_status") == "approved")).alias("num_approved"))
+    rows = _judged(manifest, registry, row_id).agg(
+        F.count("*").alias("num_rows"), F.count_if(F.col("_known") & (F.col("_status") == "approved")).alias("num_approved")
+    )
     bad = manifest_violations(manifest, registry, row_id, files, require_approved).agg(F.count("*").alias("num_errors"))
     out = rows.crossJoin(bad)  # one row each
-    return out.select("num_rows", "num_approved", F.lit(lacking).cast("array<string>").alias("missing_columns"), "num_errors", (F.lit(not lacking) & (F.col("num_errors") == 0)).alias("valid"))
+    return out.select(
+        "num_rows", "num_approved", F.lit(lacking).cast("array<string>").alias("missing_columns"), "num_errors",
+        (F.lit(not lacking) & (F.col("num_errors") == 0)).alias("valid")
+    )
 
 
 def lookup(requests: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
-    """[J6, J7, R8] Requests with ``status``: ``missing``, ``found`` or ``ambiguous``, and the id where it is one."""
+    """[J6, J7, R8] Requests with ``status``: ``missing``, ``found`` or ``ambiguous``, and the ``reference_id`` where it is one.
+
+    ``keys`` may be the reference id itself; then the request's own one stays.
+    """
     per = references.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("reference_id").alias("_id"))
     n = F.coalesce(F.col("_n"), F.lit(0))
-    return requests.join(per, keys, "left").select(*requests.columns, F.when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("_id")).alias("reference_id"))
+    status = F.when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous").alias("status")
+    found = [] if "reference_id" in keys else [F.when(n == 1, F.col("_id")).alias("reference_id")]
+    return requests.join(per, keys, "left").select(*requests.columns, status, *found)
 
 
 def approved(references: DataFrame) -> DataFrame:
@@ -156,15 +181,28 @@ def findings(evidence: DataFrame, row_id: str, top: int = 3) -> DataFrame:
     """
     if top < 1:
         raise ValueError("top must be positive")
-    values = {"layout_center_offset": F.hypot("offset_x", "offset_y"), "layout_ink_scale": F.abs(F.ln(F.when(F.col("area_ratio") > 1e-6, F.col("area_ratio")).when(F.col("area_ratio").isNotNull(), 1e-6))), "keypoint_relation": 1 - F.col("keypoint_f1"), "local_direction_structure": 1 - F.col("worst_dice")}
+    values = {
+        "layout_center_offset": F.hypot("offset_x", "offset_y"),
+        "layout_ink_scale": F.abs(F.ln(F.when(F.col("area_ratio") > 1e-6, F.col("area_ratio")).when(F.col("area_ratio").isNotNull(), 1e-6))),
+        "keypoint_relation": 1 - F.col("keypoint_f1"), "local_direction_structure": 1 - F.col("worst_dice")
+    }
     weight, texts, entries = {"high": 3, "medium": 2, "low": 1}, _messages(), []
     for name, v in values.items():
         limits, factor, title, action = LIMITS[name]
         s = severity(v, *limits)
         w = F.when(s == "high", weight["high"]).when(s == "medium", weight["medium"]).otherwise(weight["low"])
-        entries.append(F.when(s.isNotNull(), F.struct((-w).alias("w"), (-F.round(v * factor, 9)).alias("p"), F.lit(name).alias("finding_id"), s.alias("severity"), F.lit(title).alias("title"), texts[name].alias("message"), F.lit(action).alias("action"))))
+        entries.append(F.when(
+            s.isNotNull(),
+            F.struct(
+                (-w).alias("w"), (-F.round(v * factor, 9)).alias("p"), F.lit(name).alias("finding_id"), s.alias("severity"),
+                F.lit(title).alias("title"), texts[name].alias("message"), F.lit(action).alias("action")
+            )
+        ))
     ranked = F.slice(F.array_sort(F.array_compact(F.array(*entries))), 1, top)
-    return evidence.select(row_id, F.posexplode(ranked).alias("pos", "f")).select(row_id, (F.col("pos") + 1).alias("rank"), "f.finding_id", "f.severity", (-F.col("f.p")).alias("priority"), "f.title", "f.message", "f.action")
+    return evidence.select(row_id, F.posexplode(ranked).alias("pos", "f")).select(
+        row_id, (F.col("pos") + 1).alias("rank"), "f.finding_id", "f.severity", (-F.col("f.p")).alias("priority"), "f.title",
+        "f.message", "f.action"
+    )
 
 
 def feedback_documents(evidence: DataFrame, found: DataFrame, row_id: str, top: int = 3) -> DataFrame:
@@ -178,10 +216,18 @@ def feedback_documents(evidence: DataFrame, found: DataFrame, row_id: str, top:
     pick = lambda *names: F.transform("_f", lambda x: F.struct(*[x[n].alias(n) for n in names]))
     document = F.struct(
         F.lit(1).alias("schema_version"), F.lit("evidence_grounded_reference_practice").alias("feedback_type"), F.lit("参考结构匹配度").alias("score_label"), F.lit(False).alias("score_is_calibrated_calligraphy_grade"),
-        F.struct("course_id", F.col("course_name").alias("display_name")).alias("course"), "target_char", F.when(F.size("_f") > 0, SOME_FINDINGS).otherwise(NO_FINDINGS).alias("summary"),
+        F.struct(
+            "course_id", F.col("course_name").alias("display_name")
+        ).alias("course"), "target_char", F.when(F.size("_f") > 0, SOME_FINDINGS).otherwise(NO_FINDINGS).alias("summary"),
         F.struct(F.col("score").alias("prototype_structure_score"), match_band(F.col("score")).alias("band")).alias("structural_match"),
-        pick("finding_id", "severity", "title", "message", "action").alias("findings"), pick("severity", "title", "message", "action").alias("deterministic_feedback"),
-        F.struct(F.lit(True).alias("may_rephrase_findings"), F.lit(True).alias("must_not_change_score"), F.lit(True).alias("must_not_invent_unobserved_strokes"), F.lit(True).alias("must_not_claim_expert_or_aesthetic_grade"), F.lit(top).alias("max_feedback_items")).alias("llm_policy"),
+        pick(
+            "finding_id", "severity", "title", "message", "action"
+        ).alias("findings"), pick("severity", "title", "message", "action").alias("deterministic_feedback"),
+        F.struct(
+            F.lit(True).alias("may_rephrase_findings"), F.lit(True).alias("must_not_change_score"),
+            F.lit(True).alias("must_not_invent_unobserved_strokes"),
+            F.lit(True).alias("must_not_claim_expert_or_aesthetic_grade"), F.lit(top).alias("max_feedback_items")
+        ).alias("llm_policy"),
     )
     return j.select(row_id, F.to_json(document).alias("feedback"))
 

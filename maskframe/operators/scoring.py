@@ -171,7 +171,9 @@ def score_pairs(pairs: DataFrame, by: list[str], user: str, reference: str) -> D
             out = pd.DataFrame(rows, columns=[*b.columns[: len(by)], *names])
             yield out.astype({"dx": "Int32", "dy": "Int32", **{n: "float64" for n in NUMBERS}})
 
-    cols = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] + [F.col("height").alias("_h"), F.col("width").alias("_w"), F.col(user).alias("_u"), F.col(reference).alias("_r")]
+    cols = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] + [
+        F.col("height").alias("_h"), F.col("width").alias("_w"), F.col(user).alias("_u"), F.col(reference).alias("_r")
+    ]
     return pairs.select(*cols).mapInPandas(run, f"{kinds}, {EVIDENCE}").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(by)})
 
 
@@ -217,6 +219,9 @@ def match_band(score: Column) -> Column:
 
 def worst_direction(dice: list[tuple[str, Column]]) -> Column:
     """[A19] Struct ``channel``, ``dice`` of the least Dice, the first of equals; ``vec1`` with 1 where there is none."""
-    entries = F.array_compact(F.array(*[F.when(d.isNotNull(), F.struct(d.alias("dice"), F.lit(i).alias("i"), F.lit(c).alias("channel"))) for i, (c, d) in enumerate(dice)]))
+    entries = F.array_compact(F.array(*[
+        F.when(d.isNotNull(), F.struct(d.alias("dice"), F.lit(i).alias("i"), F.lit(c).alias("channel"))) for i,
+        (c, d) in enumerate(dice)
+    ]))
     least = F.array_min(entries)
     return F.struct(F.coalesce(least["channel"], F.lit("vec1")).alias("channel"), F.coalesce(least["dice"], F.lit(1.0)).alias("dice"))

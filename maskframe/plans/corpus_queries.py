@@ -46,7 +46,9 @@ _KEYED = f"""WITH u AS (
 
 
 def _split(spark: SparkSession, base: str) -> DataFrame:
-    u = C.usable(table(spark, base, "manifest")).withColumn("group_key", C.group_key("writer_id", "source_id", "sample_index", "split_group_key", "sample_id"))
+    u = C.usable(table(spark, base, "manifest")).withColumn(
+        "group_key", C.group_key("writer_id", "source_id", "sample_index", "split_group_key", "sample_id")
+    )
     return C.group_split(u, "group_key")
 
 
@@ -90,12 +92,17 @@ def audit_rows(spark: SparkSession, base: str) -> DataFrame:
 @query("""SELECT sample_id, manifest_row_id, char_id FROM manifest WHERE lower(trim(has_all_masks)) IN ('1', 'true', 'yes', 'y') AND coalesce(errors, '') = '' QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY manifest_row_id DESC) = 1 AND sample_id IN (SELECT sample_id FROM hardset_review WHERE sample_id IS NOT NULL)""")
 def usable_semijoin(spark: SparkSession, base: str) -> DataFrame:
     m = C.usable(table(spark, base, "manifest")).select("sample_id", "manifest_row_id", "char_id")
-    return C.present_in_both(m, table(spark, base, "hardset_review").where("sample_id IS NOT NULL"), "sample_id", "manifest_row_id").select("sample_id", "manifest_row_id", "char_id")
+    return C.present_in_both(
+        m, table(spark, base, "hardset_review").where("sample_id IS NOT NULL"), "sample_id", "manifest_row_id"
+    ).select("sample_id", "manifest_row_id", "char_id")
 
 
 def _long_flags(spark: SparkSession, base: str) -> DataFrame:
     r = table(spark, base, "hardset_review").select("keep", *FLAGS)
-    return r.select(F.coalesce(F.lower(F.trim("keep")) == "yes", F.lit(False)).alias("target"), F.explode(F.array(*[F.struct(F.lit(f).alias("channel"), F.coalesce(F.trim(f) == "1", F.lit(False)).alias("pred")) for f in FLAGS])).alias("x")).select("target", "x.*")
+    return r.select(
+        F.coalesce(F.lower(F.trim("keep")) == "yes", F.lit(False)).alias("target"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("channel"), F.coalesce(F.trim(f) == "1", F.lit(False)).alias("pred")) for f in FLAGS])).alias("x")
+    ).select("target", "x.*")
 
 
 _LONG = "WITH l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS channel, coalesce(trim({f}) = '1', false) AS pred, coalesce(lower(trim(keep)) = 'yes', false) AS target FROM hardset_review" for f in FLAGS) + "), c AS (SELECT channel, count_if(pred AND target) AS tp, count_if(pred AND NOT target) AS fp, count_if(NOT pred AND target) AS fn, count_if(NOT pred AND NOT target) AS tn FROM l GROUP BY channel)"
@@ -143,7 +150,11 @@ def systematic_sample(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, base: str, width: int = WIDTH) -> DataFrame:
-    return table(spark, base, "part").select(F.col("p_size").alias("y"), ((F.col("p_partkey") * 7) % width).cast("int").alias("x"), F.when(F.substring("p_brand", -1, 1) == "0", "K").otherwise(F.substring("p_type", 1, 1)).alias("channel"), (F.col("p_partkey") % 2).cast("int").alias("side"))
+    return table(spark, base, "part").select(
+        F.col("p_size").alias("y"), ((F.col("p_partkey") * 7) % width).cast("int").alias("x"),
+        F.when(F.substring("p_brand", -1, 1) == "0", "K").otherwise(F.substring("p_type", 1, 1)).alias("channel"),
+        (F.col("p_partkey") % 2).cast("int").alias("side")
+    )
 
 
 def _sides(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
@@ -163,9 +174,14 @@ def mask_boundary(spark: SparkSession, base: str) -> DataFrame:
     return M.boundary(ink, ["mask"], 64, 16)
 
 
-@query(f"WITH {_PART} {_NEAR.format(t='a', r=1)}")
+@query(
+    """WITH p AS (SELECT DISTINCT CAST(p_partkey % 2 AS INT) AS side, p_size AS y, CAST((p_partkey * 7) % 48 AS INT) AS x,
+  CASE WHEN right(p_brand, 1) = '0' THEN 'K' ELSE left(p_type, 1) END AS channel FROM part)
+SELECT DISTINCT side, channel, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM p, range(-1, 2) v(dy), range(-1, 2) h(dx)
+WHERE y + dy BETWEEN 0 AND 50 AND x + dx BETWEEN 0 AND 47"""
+)
 def mask_dilate(spark: SparkSession, base: str) -> DataFrame:
-    return M.dilate(_sides(spark, base)[0], ["channel"], 1, HEIGHT, WIDTH)
+    return M.dilate(_parts(spark, base), ["side", "channel"], 1, HEIGHT, WIDTH)
 
 
 def _tolerant_sql(r: int) -> str:
@@ -218,7 +234,10 @@ lab(channel, x, c) USING KEY (channel, x) AS (
 @query(_COMPONENTS + """SELECT channel || '_' || lpad(row_number() OVER (PARTITION BY channel ORDER BY top, "left", first_x)::VARCHAR, 3, '0') AS region_id, channel, area, round(cx, 6) AS cx, round(cy, 6) AS cy, "left", top, "right", bottom FROM k WHERE area >= 8""")
 def components_regions(spark: SparkSession, base: str) -> DataFrame:
     c = B.components(_parts(spark, base), ["channel"], HEIGHT, WIDTH, 8)
-    return B.number_regions(c, "channel").select("region_id", "channel", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "left", "top", "right", "bottom")
+    return B.number_regions(c, "channel").select(
+        "region_id", "channel", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "left", "top", "right",
+        "bottom"
+    )
 
 
 @query(_COMPONENTS + "SELECT CAST(row_number() OVER (ORDER BY cy, cx) AS INT) AS place, area, round(cx, 6) AS x, round(cy, 6) AS y, 1.0 AS confidence FROM k WHERE channel = 'K' AND area >= 3")
@@ -236,14 +255,22 @@ SELECT review_id, char_id, sp, score, rn FROM q JOIN h USING (char_id) ORDER BY
 def hard_candidates(spark: SparkSession, base: str) -> DataFrame:
     defects = sum((F.when(F.trim(f) == "1", 1).otherwise(0) for f in FLAGS), F.lit(0))
     score = F.round(F.lit(100.0) * defects / F.lit(6.0) + F.when(F.col("priority") == "high", 4).otherwise(0), 6)
-    r = table(spark, base, "hardset_review").where("char_id IS NOT NULL").select("review_id", "char_id", F.lower(F.trim("split")).alias("sp"), score.alias("score"))
+    r = table(spark, base, "hardset_review").where("char_id IS NOT NULL").select(
+        "review_id", "char_id", F.lower(F.trim("split")).alias("sp"), score.alias("score")
+    )
     return C.fair_round_robin(r, "char_id", "score", "review_id", "sp", 500)
 
 
-@query("""SELECT manifest_row_id, char_id, sample_index FROM (SELECT manifest_row_id, char_id, sample_index, row_number() OVER (PARTITION BY char_id ORDER BY CAST(sample_index AS VARCHAR) NULLS FIRST, manifest_row_id) AS rn FROM manifest WHERE has_all_masks = 'true' AND coalesce(errors, '') = '') ORDER BY rn, char_id NULLS FIRST LIMIT 50""")
+@query(
+    """WITH RECURSIVE m AS (SELECT manifest_row_id, char_id, sample_index, coalesce(char_id, '') AS g, row_number() OVER (PARTITION BY coalesce(char_id, '') ORDER BY coalesce(CAST(sample_index AS VARCHAR), ''), manifest_row_id) AS rn FROM manifest WHERE has_all_masks = 'true' AND coalesce(errors, '') = ''),
+n AS (SELECT list({'g': g, 'n': n, 'k': 0::BIGINT} ORDER BY g) AS l FROM (SELECT g, count(*) AS n FROM m GROUP BY g)),
+s(place, l, g, rn) AS (SELECT 0, l, NULL::VARCHAR, NULL::BIGINT FROM n UNION ALL
+  SELECT place + 1, list_filter(list_transform(l, lambda x, i: CASE WHEN i = place % len(l) + 1 THEN {'g': x.g, 'n': x.n - 1, 'k': x.k + 1} ELSE x END), lambda x: x.n > 0), l[place % len(l) + 1].g, l[place % len(l) + 1].k + 1 FROM s WHERE place < 50 AND len(l) > 0)
+SELECT manifest_row_id, char_id, sample_index, place FROM s JOIN m USING (g, rn)"""
+)
 def round_robin_template(spark: SparkSession, base: str) -> DataFrame:
     m = C.strictly_usable(table(spark, base, "manifest")).select("manifest_row_id", "char_id", "sample_index")
-    return C.round_robin_template(m, "char_id", "sample_index", "manifest_row_id", 50).drop("rn")
+    return C.round_robin_template(m, "char_id", "sample_index", "manifest_row_id", 50)
 
 
 _REVIEWS = f"""WITH r AS (SELECT review_id, {_TRIM('sample_id')} AS id, coalesce({_TRIM('char_id')}, '') AS c, coalesce({_TRIM('sample_index')}, '') AS i, keep, priority FROM hardset_review WHERE coalesce({', '.join(_TRIM(f) for f in [*FLAGS, 'keep', 'reviewer'])}) IS NOT NULL),
@@ -290,7 +317,10 @@ _RULES = [
     ("schema_version", "'must be 1'", "known AND schema_version <> '1'"),
     ("target_char", "'must be one character'", "known AND length(target_char) <> 1"),
     ("image_path", "'required'", f"known AND {_E('image_path')}"),
-    ("image_path", "'file not found'", f"known AND NOT {_E('image_path')} AND image_path NOT IN (SELECT image_path FROM reference_images WHERE image_path IS NOT NULL)"),
+    (
+        "image_path", "'file not found'",
+        f"known AND NOT {_E('image_path')} AND image_path NOT IN (SELECT image_path FROM reference_images WHERE image_path IS NOT NULL)"
+    ),
     ("source_type", "'required'", f"known AND {_E('source_type')}"),
     ("is_synthetic", "'must be true or false'", "known AND lower(is_synthetic) NOT IN ('true', 'false')"),
     ("review_status", "'must be pending, approved, or rejected'", "known AND lower(review_status) NOT IN ('pending', 'approved', 'rejected')"),
@@ -308,7 +338,10 @@ v AS ({' UNION ALL '.join(f"SELECT row_id, '{f}' AS field, {m} AS message FROM m
 
 
 def _manifest(spark: SparkSession, base: str) -> dict:
-    return {"manifest": table(spark, base, "reference_manifest_template"), "registry": table(spark, base, "style_registry"), "files": table(spark, base, "reference_images"), "require_approved": True}
+    return {
+        "manifest": table(spark, base, "reference_manifest_template"), "registry": table(spark, base, "style_registry"),
+        "files": table(spark, base, "reference_images"), "require_approved": True
+    }
 
 
 @query(_JUDGED + "SELECT * FROM v")
@@ -338,13 +371,21 @@ def reference_lookup(spark: SparkSession, base: str) -> DataFrame:
     return R.lookup(wanted, table(spark, base, "reference_manifest_template"), ["style_id", "target_char"])
 
 
-@query("""WITH g AS (SELECT manifest_row_id, image_width AS w, image_height AS h, least(512.0::DOUBLE / image_width, 512.0::DOUBLE / image_height) AS s FROM manifest WHERE image_width > 0 AND image_height > 0),
-n AS (SELECT manifest_row_id, greatest(CAST(round_even(w * s, 0) AS INT), 1) AS nw, greatest(CAST(round_even(h * s, 0) AS INT), 1) AS nh FROM g)
-SELECT manifest_row_id, nw, nh, CAST(floor((512 - nw) / 2.0) AS INT) AS "left", CAST(floor((512 - nh) / 2.0) AS INT) AS top FROM n""")
+@query(
+    """WITH g AS (SELECT manifest_row_id, CASE WHEN image_width > 0 AND image_height > 0 THEN image_width END AS w, CASE WHEN image_width > 0 AND image_height > 0 THEN image_height END AS h FROM manifest),
+n AS (SELECT manifest_row_id, w, greatest(CAST(round_even(w * least(512.0::DOUBLE / w, 512.0::DOUBLE / h), 0) AS INT), 1) AS nw,
+  greatest(CAST(round_even(h * least(512.0::DOUBLE / w, 512.0::DOUBLE / h), 0) AS INT), 1) AS nh FROM g)
+SELECT manifest_row_id, w IS NULL AS bad_size, CASE WHEN w IS NULL THEN 0 ELSE nw END AS nw, CASE WHEN w IS NULL THEN 0 ELSE nh END AS nh,
+  CASE WHEN w IS NULL THEN 0 ELSE CAST(floor((512 - nw) / 2.0) AS INT) END AS "left", CASE WHEN w IS NULL THEN 0 ELSE CAST(floor((512 - nh) / 2.0) AS INT) END AS top FROM n"""
+)
 def letterbox_geometry(spark: SparkSession, base: str) -> DataFrame:
-    m = table(spark, base, "manifest").where("image_width > 0 AND image_height > 0")
-    nw, nh, left, top = B.letterbox_geometry(F.col("image_width"), F.col("image_height"), 512)
-    return m.select("manifest_row_id", nw.alias("nw"), nh.alias("nh"), left.alias("left"), top.alias("top"))
+    """Every manifest row; those without a size are marked and have zeros."""
+    good = F.coalesce((F.col("image_width") > 0) & (F.col("image_height") > 0), F.lit(False))
+    nw, nh, left, top = B.letterbox_geometry(F.when(good, F.col("image_width")), F.when(good, F.col("image_height")), 512)
+    cells = {"nw": nw, "nh": nh, "left": left, "top": top}
+    return table(spark, base, "manifest").select(
+        "manifest_row_id", (~good).alias("bad_size"), *[F.when(good, v).otherwise(0).alias(n) for n, v in cells.items()]
+    )
 
 
 @query("SELECT substr(sha256(text), 1, 12) AS content_name, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1")

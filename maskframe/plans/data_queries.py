@@ -26,7 +26,10 @@ def reference_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFra
 
     def refs(df: DataFrame, rel: int, name: str, field: str, k: Column, at: str) -> DataFrame:
         when = F.lit(0).cast("bigint") if rel == 3 else micros(at)
-        return df.select(F.lit(name).alias("table_name"), "row_id", F.lit(field).alias("field_name"), F.date_format(F.col(at), "yyyy-MM").alias("month"), F.lit(rel).alias("rel"), k.alias("key"), when.alias("at"))
+        return df.select(
+            F.lit(name).alias("table_name"), "row_id", F.lit(field).alias("field_name"),
+            F.date_format(F.col(at), "yyyy-MM").alias("month"), F.lit(rel).alias("rel"), k.alias("key"), when.alias("at")
+        )
 
     def parents(df: DataFrame, rel: int, k: Column, start: Column, end: Column) -> DataFrame:
         return df.select(F.lit(rel).alias("rel"), k.alias("key"), start.alias("start"), end.alias("end"))
@@ -76,10 +79,15 @@ def p4_reasons(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_valid(spark: SparkSession, base: str) -> DataFrame:
-    return C.valid_rows(C.classify(table(spark, base, "hardset_review_raw"))).select("raw_id", "file_name", "sample_id", "char_id", "sample_index", *C.FLAGS, "keep", "split")
+    return C.valid_rows(C.classify(table(spark, base, "hardset_review_raw"))).select(
+        "raw_id", "file_name", "sample_id", "char_id", "sample_index", *C.FLAGS, "keep", "split"
+    )
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "unused_parts": unused_parts, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_valid": p4_valid}
+QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report, "unused_parts": unused_parts, "p4_found": p4_found, "p4_reasons": p4_reasons,
+    "p4_valid": p4_valid
+}
 
 _STRIP = r"regexp_replace({c}, '^[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 _KEY = lambda c: "nullif(" + _STRIP.format(c=c) + ", '')"

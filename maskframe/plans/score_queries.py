@@ -39,7 +39,9 @@ def _cells(spark: SparkSession, base: str) -> DataFrame:
     return (
         table(spark, base, "part").select(
             (F.col("p_partkey") % 5).cast("int").alias("pair"), (F.floor(F.col("p_partkey") / 5) % 2).cast("int").alias("side"), F.col("p_size").alias("y"),
-            ((F.col("p_partkey") * 7) % WIDTH).cast("int").alias("x"), F.when(F.substring("p_brand", -1, 1) == "0", "keypoint").otherwise(letter).alias("channel"),
+            ((F.col("p_partkey") * 7) % WIDTH).cast("int").alias("x"), F.when(
+                F.substring("p_brand", -1, 1) == "0", "keypoint"
+            ).otherwise(letter).alias("channel"),
         ).distinct()
     )
 
@@ -134,7 +136,10 @@ FROM e JOIN lay USING (pair) JOIN best USING (pair) JOIN cand USING (idx) JOIN w
 def style_scores(spark: SparkSession, base: str) -> DataFrame:
     """Alignment over 63 scales and turns, then the whole evidence of each pair."""
     s = _scored(spark, base)
-    s = s.select(*[c for c in s.columns if c != "aligned" and not c.startswith("dice_")], S.match_band(F.col("score")).alias("band"), _worst(s)["channel"].alias("worst_channel"), _worst(s)["dice"].alias("worst_dice"))
+    s = s.select(
+        *[c for c in s.columns if c != "aligned" and not c.startswith("dice_")], S.match_band(F.col("score")).alias("band"),
+        _worst(s)["channel"].alias("worst_channel"), _worst(s)["dice"].alias("worst_dice")
+    )
     places = {c: 6 if c in ("score", "scale") else 9 for c in s.columns if c not in ("pair", "status", "turn", "dx", "dy", "band", "worst_channel")}
     return s.withColumns({c: F.round(c, k) for c, k in places.items()})
 
@@ -155,12 +160,18 @@ def _evidence(spark: SparkSession, base: str) -> DataFrame:
     """Evidence of the scored pairs with the dominant difference against the aligned reference."""
     s = _scored(spark, base)
     aligned = S.cube_pixels(s.select("pair", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "aligned"), ["pair"], "aligned")
-    local = M.dominant_difference(_two(spark, base)[0], aligned, ["pair"], "channel", S.DIRECTIONS, HEIGHT, WIDTH).select("pair", F.col("region").alias("local_region"), F.col("kind").alias("local_kind"))
+    local = M.dominant_difference(_two(spark, base)[0], aligned, ["pair"], "channel", S.DIRECTIONS, HEIGHT, WIDTH).select(
+        "pair", F.col("region").alias("local_region"), F.col("kind").alias("local_kind")
+    )
     return s.join(local, "pair", "left").withColumn("worst_dice", _worst(s)["dice"])
 
 
 def _finding_sql() -> str:
-    values = {"layout_center_offset": "sqrt(lay.dx / g * (lay.dx / g) + lay.dy / g * (lay.dy / g))", "layout_ink_scale": "abs(ln(greatest(ratio, 1e-6)))", "keypoint_relation": "1 - f1", "local_direction_structure": "1 - w.v"}
+    values = {
+        "layout_center_offset": "sqrt(lay.dx / g * (lay.dx / g) + lay.dy / g * (lay.dy / g))",
+        "layout_ink_scale": "abs(ln(greatest(ratio, 1e-6)))", "keypoint_relation": "1 - f1",
+        "local_direction_structure": "1 - w.v"
+    }
     vertical = "CASE WHEN lay.dy > 0 THEN '下' ELSE '上' END"
     side = f"CASE WHEN abs(lay.dx) >= abs(lay.dy) * 0.45::DOUBLE THEN CASE WHEN lay.dx > 0 THEN '右' ELSE '左' END || {vertical} ELSE {vertical} END"
     texts = {
@@ -185,7 +196,9 @@ def findings_topk(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def feedback_documents(spark: SparkSession, base: str) -> DataFrame:
     """The whole contract of each pair as JSON; the text of the documents has no SQL twin."""
-    e = _evidence(spark, base).withColumns({"course_id": F.lit("grid"), "course_name": F.lit("grid"), "target_char": F.lit("永"), "score": F.round("score", 6)})
+    e = _evidence(spark, base).withColumns({
+        "course_id": F.lit("grid"), "course_name": F.lit("grid"), "target_char": F.lit("永"), "score": F.round("score", 6)
+    })
     return R.feedback_documents(e, R.findings(e, "pair"), "pair")
 
 
@@ -205,7 +218,13 @@ def _radius_sql(r: int) -> str:
     near = lambda t: f"SELECT pair, y + dy, x + dx FROM {t}, range(-{r}, {r} + 1) v(dy), range(-{r}, {r} + 1) h(dx) WHERE channel = 'keypoint'"
     k = f"(SELECT (SELECT count_if((pair, y, x) IN ({near('b')})) FROM a WHERE channel = 'keypoint') AS ph, (SELECT count(*) FROM a WHERE channel = 'keypoint') AS p, (SELECT count_if((pair, y, x) IN ({near('a')})) FROM b WHERE channel = 'keypoint') AS th, (SELECT count(*) FROM b WHERE channel = 'keypoint') AS t)"
     q = f"(SELECT {_RATE.format(a='ph', b='p')} AS pr, {_RATE.format(a='th', b='t')} AS re FROM {k})"
-    return " UNION ALL ".join(f"SELECT '{m}' AS metric, 'keypoint' AS channel, {r} AS radius, {v} AS value FROM {q}" for m, v in (("keypoint_precision", "pr"), ("keypoint_recall", "re"), ("keypoint_tolerant_f1", "CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END")))
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, 'keypoint' AS channel, {r} AS radius, {v} AS value FROM {q}" for m,
+        v in (
+            ("keypoint_precision", "pr"), ("keypoint_recall", "re"),
+            ("keypoint_tolerant_f1", "CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END")
+        )
+    )
 
 
 _EVAL = f"""WITH {_PX}, ea AS ({_edge_sql('a')}), eb AS ({_edge_sql('b')}), {_tally('a', 'b', 't1')}, {_tally('ea', 'eb', 't2')},
@@ -242,23 +261,32 @@ def direction_weights(spark: SparkSession, base: str) -> DataFrame:
 LIMITS = E.thresholds({"keypoint": 0.45}, {"best_thresholds": {"vec1": 0.1, "vec2": 0.7}})
 
 
-@query("SELECT vec_id, i FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) JOIN (VALUES " + ", ".join(f"({i}, {LIMITS[c]!r}::FLOAT)" for i, c in enumerate(S.CHANNELS)) + ") t(c, least_p) ON c = i % 6 WHERE v >= least_p")
+@query("SELECT vec_id, i FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) JOIN (VALUES " + ", ".join(
+    f"({i}, {LIMITS[c]!r}::FLOAT)" for i, c in enumerate(S.CHANNELS)
+) + ") t(c, least_p) ON c = i % 6 WHERE v >= least_p")
 def threshold_pixels(spark: SparkSession, base: str) -> DataFrame:
     """Thresholds of the channels, defaults overlaid by configured and calibrated ones, compared in 32-bit floats."""
     names = F.array(*map(F.lit, S.CHANNELS))
-    e = table(spark, base, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p")).withColumn("channel", F.get(names, F.col("i") % 6))
+    e = table(spark, base, "embeddings").select(
+        "vec_id", F.posexplode("embedding").alias("i", "p")
+    ).withColumn("channel", F.get(names, F.col("i") % 6))
     return E.above_threshold(e, LIMITS).select("vec_id", "i")
 
 
 @query(
     "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(abs(v) * 1000) AS INT) % 256) AS px FROM embeddings) SELECT vec_id, k, "
-    + ", ".join(f"round((px[3 * k + {i + 1}] / 255.0::DOUBLE - {N.MEAN[i]}::DOUBLE) / {N.DEVIATION[i]}::DOUBLE, 9) AS {c}" for i, c in enumerate("rgb"))
+    + ", ".join(
+        f"round((px[3 * k + {i + 1}] / 255.0::DOUBLE - {N.MEAN[i]}::DOUBLE) / {N.DEVIATION[i]}::DOUBLE, 9) AS {c}" for i,
+        c in enumerate("rgb")
+    )
     + " FROM (SELECT vec_id, px, unnest(range(len(px) // 3)) AS k FROM e)"
 )
 def normalize_rgb(spark: SparkSession, base: str) -> DataFrame:
     """Three colour planes from bytes in row order, over 255, by mean and deviation."""
     e = table(spark, base, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 1000).cast("int") % 256).alias("px"))
-    planes = e.select("vec_id", F.arrays_zip(*[c.alias(n) for c, n in zip(N.normalize_rgb(F.col("px")), "rgb")]).alias("z")).select("vec_id", F.posexplode("z").alias("k", "c"))
+    planes = e.select(
+        "vec_id", F.arrays_zip(*[c.alias(n) for c, n in zip(N.normalize_rgb(F.col("px")), "rgb")]).alias("z")
+    ).select("vec_id", F.posexplode("z").alias("k", "c"))
     return planes.select("vec_id", F.col("k").cast("bigint").alias("k"), *[F.round(f"c.{n}", 9).alias(n) for n in "rgb"])
 
 
@@ -267,15 +295,22 @@ _SPLITS = "s AS (SELECT sample_id, max(lower(trim(split))) AS split FROM hardset
 
 @query(f"WITH {_SPLITS} SELECT manifest_row_id, m.sample_id, s.split FROM manifest m JOIN s ON s.sample_id = m.sample_id WHERE split IN ('val', 'test') AND lower(trim(has_all_masks)) IN ('1', 'true', 'yes', 'y') AND coalesce(errors, '') = ''")
 def eligible_samples(spark: SparkSession, base: str) -> DataFrame:
-    splits = table(spark, base, "hardset_review").where("sample_id IS NOT NULL AND trim(split) <> ''").select("sample_id", F.lower(F.trim("split")).alias("split"))
+    splits = table(spark, base, "hardset_review").where("sample_id IS NOT NULL AND trim(split) <> ''").select(
+        "sample_id", F.lower(F.trim("split")).alias("split")
+    )
     return E.eligible(table(spark, base, "manifest"), splits).select("manifest_row_id", "sample_id", "split")
 
 
 def _packs(spark: SparkSession, base: str) -> DataFrame:
     """A course for each registered style."""
     s = F.col("style_id")
-    fixed = {"manifest": F.lit("reference_manifest_template"), "cache_index": F.concat(s, F.lit("/index.json")), "source_dataset": F.col("reference_work_id"), "source_license": F.lit("none"), "scoring_label": F.lit("参考结构匹配度")}
-    r = table(spark, base, "style_registry").select(F.concat(s, F.lit("_course")).alias("course_id"), "display_name", "style_id", "status", "enabled", "reference_work_id")
+    fixed = {
+        "manifest": F.lit("reference_manifest_template"), "cache_index": F.concat(s, F.lit("/index.json")),
+        "source_dataset": F.col("reference_work_id"), "source_license": F.lit("none"), "scoring_label": F.lit("参考结构匹配度")
+    }
+    r = table(spark, base, "style_registry").select(
+        F.concat(s, F.lit("_course")).alias("course_id"), "display_name", "style_id", "status", "enabled", "reference_work_id"
+    )
     return r.withColumns(fixed).select(*K.FIELDS)
 
 
@@ -288,7 +323,10 @@ def catalog(spark: SparkSession, base: str) -> DataFrame:
     """Courses with their characters; the nested list is rendered as text."""
     c = K.catalog(_packs(spark, base), table(spark, base, "reference_manifest_template"))
     listed = F.array_join(F.transform("characters", lambda x: F.concat(x["target_char"], F.lit(":"), F.coalesce(x["reference_id"], F.lit("")))), ",")
-    return c.select("course_id", "enabled", "supported_character_count", F.size("characters").cast("bigint").alias("listed"), listed.alias("characters"))
+    return c.select(
+        "course_id", "enabled", "supported_character_count", F.size("characters").cast("bigint").alias("listed"),
+        listed.alias("characters")
+    )
 
 
 @query(
@@ -307,7 +345,9 @@ k AS (SELECT *, CASE WHEN known IS NULL THEN 'unknown_course' WHEN NOT enabled T
 SELECT course_id, target_char, status, CASE WHEN status = 'found' THEN id END AS reference_id FROM k"""
 )
 def course_lookup(spark: SparkSession, base: str) -> DataFrame:
-    wanted = table(spark, base, "reference_cache").where("style_id IS NOT NULL").select(F.concat("style_id", F.lit("_course")).alias("course_id"), "target_char").distinct()
+    wanted = table(spark, base, "reference_cache").where("style_id IS NOT NULL").select(
+        F.concat("style_id", F.lit("_course")).alias("course_id"), "target_char"
+    ).distinct()
     return K.find_course(wanted, _packs(spark, base), table(spark, base, "reference_manifest_template"))
 
 

@@ -52,32 +52,47 @@ def file_facts(spark: SparkSession, root: str) -> DataFrame:
 
     names = [STACKED, *MASKS.values(), *IMAGE_NAMES]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    return files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(run, "path string, shape string, width int, height int, error string")
+    return files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(
+        run, "path string, shape string, width int, height int, error string"
+    )
 
 
 def audit(spark: SparkSession, root: str, data_version: str = "old_onestroke") -> DataFrame:
     """[P1] The manifest: ``COLUMNS`` as text, a row for each sample directory; blank where there is nothing."""
     parts = F.split("path", "/")
-    f = file_facts(spark, root).select("*", F.element_at(parts, -3).alias("char_id"), F.element_at(parts, -2).alias("sample"), F.element_at(parts, -1).alias("name"))
+    f = file_facts(spark, root).select(
+        "*", F.element_at(parts, -3).alias("char_id"), F.element_at(parts, -2).alias("sample"),
+        F.element_at(parts, -1).alias("name")
+    )
     rank = F.array_position(F.array(*map(F.lit, IMAGE_NAMES)), F.col("name"))
     what = F.struct("path", "shape", "width", "height", "error")
     arrays = {"stacked_mask": STACKED, **MASKS}
-    g = f.groupBy("char_id", "sample").agg(F.min_by(what, F.when(rank > 0, rank)).alias("_image"), *[F.max(F.when(F.col("name") == n, what)).alias(f"_{c}") for c, n in arrays.items()])
+    g = f.groupBy("char_id", "sample").agg(
+        F.min_by(what, F.when(rank > 0, rank)).alias("_image"),
+        *[F.max(F.when(F.col("name") == n, what)).alias(f"_{c}") for c, n in arrays.items()]
+    )
     d = sample_dirs(spark, root).join(g, ["char_id", "sample"], "left")
 
     def failing(name: str, missing: str, prefix: str = "") -> Column:
-        return F.when(F.col(f"_{name}").isNull(), F.lit(missing)).when(F.col(f"_{name}.error").isNotNull(), F.concat(F.lit(prefix), F.col(f"_{name}.error")))
+        return F.when(F.col(f"_{name}").isNull(), F.lit(missing)).when(
+            F.col(f"_{name}.error").isNotNull(), F.concat(F.lit(prefix), F.col(f"_{name}.error"))
+        )
 
     masks = [failing(c, f"{c}:missing", f"{c}:") for c in CHANNELS]
     shapes = F.array_distinct(F.array_compact(F.array(*[F.col(f"_{c}.shape") for c in CHANNELS])))
-    errors = F.array_compact(F.array(failing("image", "missing_image"), failing("stacked_mask", "stacked_mask:missing", "stacked_mask:"), *masks, F.when(F.size(shapes) > 1, "mask_shape_mismatch")))
+    errors = F.array_compact(F.array(
+        failing("image", "missing_image"), failing("stacked_mask", "stacked_mask:missing", "stacked_mask:"), *masks,
+        F.when(F.size(shapes) > 1, "mask_shape_mismatch")
+    ))
     index = whole_number(F.col("sample")).cast("string")
     sample_id = F.concat_ws("/", "char_id", "sample")
     cells = {
         "schema_version": F.lit("1"), "data_version": F.lit(data_version), "sample_id": sample_id, "char_id": F.col("char_id"), "sample_index": index, "sample_dir": F.col("sample_dir"),
         "image_path": F.col("_image.path"), "image_width": F.col("_image.width"), "image_height": F.col("_image.height"), "stacked_mask_path": F.col("_stacked_mask.path"), "stacked_mask_shape": F.col("_stacked_mask.shape"),
         **{f"{c}_path": F.col(f"_{c}.path") for c in CHANNELS}, **{f"{c}_shape": F.col(f"_{c}.shape") for c in CHANNELS},
-        "has_all_masks": F.when(F.size(F.array_compact(F.array(*masks))) == 0, "true").otherwise("false"), "split_group_key": F.coalesce(index, sample_id), "errors": F.array_join(errors, "|"),
+        "has_all_masks": F.when(
+            F.size(F.array_compact(F.array(*masks))) == 0, "true"
+        ).otherwise("false"), "split_group_key": F.coalesce(index, sample_id), "errors": F.array_join(errors, "|"),
     }
     return d.select(*[F.coalesce(cells.get(c, F.lit("")).cast("string"), F.lit("")).alias(c) for c in COLUMNS])
 

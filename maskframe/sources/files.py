@@ -58,7 +58,10 @@ def scan_samples(spark: SparkSession, root: str) -> DataFrame:
     parts = F.split("path", "/")
     f = f.select("path", F.element_at(parts, -3).alias("char_id"), F.element_at(parts, -2).alias("sample"), F.element_at(parts, -1).alias("name"))
     rank = F.array_position(F.array(*[F.lit(n) for n in IMAGE_NAMES]), F.col("name"))
-    return f.groupBy("char_id", "sample").agg(F.min_by(F.when(rank > 0, F.col("path")), F.when(rank > 0, rank)).alias("image_path"), F.array_sort(F.collect_list("name")).alias("files"))
+    return f.groupBy("char_id", "sample").agg(
+        F.min_by(F.when(rank > 0, F.col("path")), F.when(rank > 0, rank)).alias("image_path"),
+        F.array_sort(F.collect_list("name")).alias("files")
+    )
 
 
 def image_size(content: bytes) -> tuple[int, int] | None:
@@ -109,7 +112,44 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, "image", *(wh or (None, None))))
             yield pd.DataFrame(rows, columns=["path", "kind", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, "path string, kind string, width int, height int")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(
+        run, "path string, kind string, width int, height int"
+    )
+
+
+#: Limits of an uploaded image and the codes of refusals (fixed values).
+MOST_SIDE, BAD_IMAGE, TOO_LARGE = 8192, "40001", "41301"
+
+
+def check_uploads(files: DataFrame, most_bytes: int) -> DataFrame:
+    """[P14] ``path``, ``error_code``, ``message``, ``suffix`` of uploaded files (``path``, ``content``): empty, too large, no PNG or JPEG, or of a wrong size.
+
+    Files in order have no code. Judged by the header; null content is empty.
+    """
+
+    def judge(raw: bytes | None) -> tuple:
+        if not raw:
+            return BAD_IMAGE, "the image is empty", None
+        if len(raw) > most_bytes:
+            return TOO_LARGE, "the image exceeds the size limit", None
+        wh = image_size(bytes(raw))
+        if wh is None:
+            return BAD_IMAGE, "no PNG or JPEG image", None
+        if not all(1 <= v <= MOST_SIDE for v in wh):
+            return BAD_IMAGE, "the image dimensions are out of range", None
+        return None, None, ".png" if raw[:1] == b"\x89" else ".jpg"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *judge(c)) for p, c in zip(b["path"], b["content"])], columns=["path", "error_code", "message", "suffix"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, error_code string, message string, suffix string")
+
+
+def stream_files(spark: SparkSession, path: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
+    """[S12] Files dropped into a folder as a stream of ``path``, ``modificationTime``, ``length``, ``content``."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = ".png", depth: int = 3) -> DataFrame:
@@ -145,4 +185,6 @@ def new_content(rows: DataFrame, existing: DataFrame, name: str, digest: str) ->
     old = existing.select(F.col(name).alias("_n"), F.col(digest).alias("_d"))
     j = rows.dropDuplicates([name, digest]).join(old, F.col(name) == F.col("_n"), "left")
     clash = F.col("_n").isNotNull() & (F.col(digest) != F.col("_d"))
-    return j.where(F.when(clash, F.raise_error(F.concat(F.lit("other content under "), F.col(name))).cast("boolean")).otherwise(F.col("_n").isNull())).select(*rows.columns)
+    return j.where(F.when(
+        clash, F.raise_error(F.concat(F.lit("other content under "), F.col(name))).cast("boolean")
+    ).otherwise(F.col("_n").isNull())).select(*rows.columns)

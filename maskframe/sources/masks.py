@@ -48,7 +48,10 @@ def load_masks(manifest: DataFrame, files: DataFrame, row_id: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "h", "w", "mask"])
 
     masks = files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(decode, "path string, h int, w int, mask binary")
-    want = manifest.select(row_id, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.trim(f"{c}_path").alias("path")) for i, c in enumerate(CHANNELS)])).alias("x")).select(row_id, "x.i", local_path(F.col("x.path")).alias("path"))
+    want = manifest.select(
+        row_id,
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.trim(f"{c}_path").alias("path")) for i, c in enumerate(CHANNELS)])).alias("x")
+    ).select(row_id, "x.i", local_path(F.col("x.path")).alias("path"))
     # A manifest may name a row more than once; six masks of each are enough.
     found = want.distinct().join(masks, "path").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("i", "h", "w", "mask"))).alias("m"))
     kind = manifest.schema[row_id].dataType.simpleString()
@@ -62,7 +65,9 @@ def load_masks(manifest: DataFrame, files: DataFrame, row_id: str) -> DataFrame:
                     rows.append((key, h, w, np.stack([np.frombuffer(x["mask"], np.uint8).reshape(h, w) for x in m], axis=-1).tobytes()))
             yield pd.DataFrame(rows, columns=["_k", "height", "width", "cube"])
 
-    cubes = found.select(F.col(row_id).alias("_k"), "m").mapInPandas(stack, f"_k {kind}, height int, width int, cube binary").withColumnRenamed("_k", row_id)
+    cubes = found.select(F.col(row_id).alias("_k"), "m").mapInPandas(
+        stack, f"_k {kind}, height int, width int, cube binary"
+    ).withColumnRenamed("_k", row_id)
     return manifest.select(row_id).distinct().join(cubes, row_id, "left")
 
 
@@ -84,7 +89,9 @@ def load_caches(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "status", "height", "width", "cube"]).astype({"height": "Int32", "width": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path)
-    return files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(run, "path string, status string, height int, width int, cube binary")
+    return files.select(local_path(F.col("path")).alias("path"), "content").mapInPandas(
+        run, "path string, status string, height int, width int, cube binary"
+    )
 
 
 def write_mask_cache(cubes: DataFrame, path: str, checkpoint: str = "") -> None:
@@ -114,8 +121,12 @@ def _resized(rows: DataFrame, by: list[str], column: str, make: Callable[[pd.Ser
                 out.append((*row[: len(by)], *(got or (None, None, None))))
             yield pd.DataFrame(out, columns=[*b.columns[: len(by)], "height", "width", column]).astype({"height": "Int32", "width": "Int32"})
 
-    cols = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] + [F.col(column).alias("_c"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(["height", "width", *extra])]]
-    return rows.select(*cols).mapInPandas(run, f"{kinds}, height int, width int, {column} binary").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(by)})
+    cols = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] + [
+        F.col(column).alias("_c"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(["height", "width", *extra])]
+    ]
+    return rows.select(*cols).mapInPandas(
+        run, f"{kinds}, height int, width int, {column} binary"
+    ).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(by)})
 
 
 def letterbox_cubes(cubes: DataFrame, by: list[str], size: int, cube: str = "cube") -> DataFrame:
@@ -143,7 +154,9 @@ def letterbox_images(images: DataFrame, by: list[str], size: int, image: str = "
 
 
 def _bilinear(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    fy, fx = np.clip((np.arange(h) + 0.5) * a.shape[0] / h - 0.5, 0, a.shape[0] - 1), np.clip((np.arange(w) + 0.5) * a.shape[1] / w - 0.5, 0, a.shape[1] - 1)
+    fy, fx = np.clip(
+        (np.arange(h) + 0.5) * a.shape[0] / h - 0.5, 0, a.shape[0] - 1
+    ), np.clip((np.arange(w) + 0.5) * a.shape[1] / w - 0.5, 0, a.shape[1] - 1)
     y, x = fy.astype(int), fx.astype(int)
     y1, x1 = np.minimum(y + 1, a.shape[0] - 1), np.minimum(x + 1, a.shape[1] - 1)
     wy, wx = (fy - y)[:, None], fx - x
@@ -156,7 +169,9 @@ def restore_probabilities(squares: DataFrame, by: list[str], probabilities: str
 
     def make(raw: bytes, h: int, w: int, oh: int, ow: int) -> tuple[int, int, bytes]:
         p = np.frombuffer(raw, np.float32).reshape(int(h), int(w), len(CHANNELS))
-        return int(oh), int(ow), np.stack([unletterbox(p[..., i], int(oh), int(ow)) for i in range(p.shape[-1])], axis=-1).astype(np.float32).tobytes()
+        return int(oh), int(ow), np.stack(
+            [unletterbox(p[..., i], int(oh), int(ow)) for i in range(p.shape[-1])], axis=-1
+        ).astype(np.float32).tobytes()
 
     return _resized(squares, by, probabilities, make, ["original_height", "original_width"])
 

@@ -34,7 +34,10 @@ def test_global_row_number(spark):
 def test_merge_reviews(spark):
     base = spark.createDataFrame([("1/2", "1", "2"), ("3/4", "3", "4"), ("5/6", "5", "6")], "sample_id string, char_id string, sample_index string")
     reviews = spark.createDataFrame(
-        [(1, "1/2", "1", "2", "yes", "a"), (2, "1/2", "1", "2", "", "b"), (3, "Mar-04", "3", "4", "no", "a"), (4, "5/6", "5", "6", "", ""), (5, "9/9", "9", "9", "yes", "a")],
+        [
+            (1, "1/2", "1", "2", "yes", "a"), (2, "1/2", "1", "2", "", "b"), (3, "Mar-04", "3", "4", "no", "a"),
+            (4, "5/6", "5", "6", "", ""), (5, "9/9", "9", "9", "yes", "a")
+        ],
         "review_id long, sample_id string, char_id string, sample_index string, keep string, reviewer string",
     )
     got = {r.sample_id: (r.review_id, r.keep) for r in C.merge_reviews(base, reviews, ["keep"], ["keep", "reviewer"], strict=False).collect()}
@@ -52,6 +55,8 @@ def test_lookup(spark):
     want = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "style_id string, target_char string")
     got = {(r.style_id, r.target_char): (r.status, r.reference_id) for r in R.lookup(want, refs, ["style_id", "target_char"]).collect()}
     assert got == {("a", "x"): ("found", "r1"), ("a", "y"): ("ambiguous", None), ("b", "x"): ("missing", None)}
+    ids = R.lookup(spark.createDataFrame([("r1",), ("r9",)], "reference_id string"), refs.unionByName(refs.where("reference_id = 'r2'")), ["reference_id"])
+    assert {(r.reference_id, r.status) for r in ids.collect()} == {("r1", "found"), ("r9", "missing")}
 
 
 def test_csv_sources(spark, tmp_path):
@@ -88,3 +93,47 @@ def test_content_addressed_rows(spark):
     assert [r.name for r in S.new_content(new, old, "name", "digest").collect()] == ["n2"]
     with pytest.raises(Exception, match="other content"):
         S.new_content(new, spark.createDataFrame([("n1", "zz")], "name string, digest string"), "name", "digest").collect()
+
+
+def cursor(sizes, limit):
+    """The same picks with plain lists."""
+    names, buckets, cursor, out = [g for g, _ in sizes], {g: list(range(1, n + 1)) for g, n in sizes}, 0, []
+    while len(out) < limit and names:
+        g = names[cursor % len(names)]
+        out.append((g, buckets[g].pop(0)))
+        names = [x for x in names if buckets[x]]
+        cursor += 1
+    return out
+
+
+def test_template_skips_like_a_cursor(spark):
+    rng = np.random.default_rng(3)
+    for groups, limit in ((4, 50), (30, 10), (25, 12)):
+        sizes = [(f"g{i:02}", int(rng.integers(1, 4))) for i in range(groups)]
+        df = spark.createDataFrame(
+            [(g, str(k), f"{g}/{k}", "x") for g, n in sizes for k in range(1, n + 1)],
+            "c string, i string, id string, place string"
+        )
+        got = C.round_robin_template(df, "c", "i", "id", limit).orderBy("place").collect()
+        assert [(r.c, int(r.i)) for r in got] == cursor(sizes, limit)
+    assert C.round_robin_template(df.limit(0), "c", "i", "id", 5).count() == 0
+
+
+def test_uploads_and_file_stream(spark, tmp_path):
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    rows = [("a", png(5, 5)), ("b", b""), ("c", None), ("d", b"x" * 200), ("e", b"no image"), ("f", png(9000, 5)), ("g", png(0, 5))]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    assert {r.path: (r.error_code, r.suffix) for r in S.check_uploads(df, 100).collect()} == {
+        "a": (None, ".png"), "b": ("40001", None), "c": ("40001", None), "d": ("41301", None), "e": ("40001", None),
+        "f": ("40001", None), "g": ("40001", None)
+    }
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.png").write_bytes(png(i + 1, 2))
+    (tmp_path / "in" / "note.txt").write_text("x")
+    seen = []
+    q = S.stream_files(spark, str(tmp_path / "in"), "*.png", 2).writeStream.foreachBatch(lambda b, _: seen.append([r.path[-5:] for r in S.check_uploads(b, 100).collect()])).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(p for b in seen for p in b) == ["0.png", "1.png", "2.png"] and len(seen) == 2

@@ -46,7 +46,9 @@ def test_reasons(spark):
 def test_valid_rows_are_typed_and_failing_ones_keep_their_text(spark):
     df = classify(spark, ['"1/2", 07 ,YES,1,"say ""hi"", twice"', "x"])
     v = C.valid_rows(df).collect()
-    assert [(r.sample_id, r.char_id, r.keep, r.difficulty_crossing, r.notes, r.difficulty_style) for r in v] == [("1/2", 7, True, 1, 'say "hi", twice', None)]
+    assert [(
+        r.sample_id, r.char_id, r.keep, r.difficulty_crossing, r.notes, r.difficulty_style
+    ) for r in v] == [("1/2", 7, True, 1, 'say "hi", twice', None)]
     assert [(r.reason, r.corrupt_text) for r in C.failing_rows(df).collect()] == [(C.BAD_COUNT, "x")]
     assert "_names" in df.columns  # a clashing column is kept
 
@@ -58,13 +60,21 @@ def test_very_long_and_many_quotes(spark):
 
 
 def test_files_with_other_headers_none_and_empty(spark):
-    rows = [(1, "a", 1, "keep,sample_id"), (2, "a", 2, "no,3/4"), (3, "a", 3, "3/4,no"), (4, "b", 7, "1"), (5, "c", 1, "notes"), (6, "c", 2, "any"), (7, "a", 2, "no,3/4"), (8, "c", None, "n")]
-    got = {r.raw_id: r.reason for r in C.classify(spark.createDataFrame(rows, "raw_id long, file_name string, line_no int, record_text string")).collect()}
+    rows = [
+        (1, "a", 1, "keep,sample_id"), (2, "a", 2, "no,3/4"), (3, "a", 3, "3/4,no"), (4, "b", 7, "1"), (5, "c", 1, "notes"),
+        (6, "c", 2, "any"), (7, "a", 2, "no,3/4"), (8, "c", None, "n")
+    ]
+    got = {r.raw_id: r.reason for r in C.classify(spark.createDataFrame(
+        rows, "raw_id long, file_name string, line_no int, record_text string"
+    )).collect()}
     assert got == {2: None, 3: "invalid_sample_id", 4: C.NO_HEADER, 6: None, 7: None, 8: None}
     assert C.classify(spark.createDataFrame([], "raw_id long, file_name string, line_no int, record_text string")).count() == 0
 
 
-@pytest.mark.parametrize("raw, want", [(" a\\\\b/./c.png　", "a/b/c.png"), ("./a//b", "a/b"), ("././a/.", "a"), (".a/b..", ".a/b.."), ("a/./././b", "a/b"), ("/a/b/", "a/b")])
+@pytest.mark.parametrize(
+    "raw, want",
+    [(" a\\\\b/./c.png　", "a/b/c.png"), ("./a//b", "a/b"), ("././a/.", "a"), (".a/b..", ".a/b.."), ("a/./././b", "a/b"), ("/a/b/", "a/b")]
+)
 def test_relative_path(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "p string").select(relative_path(F.col("p"))).first()[0] == want
 
@@ -77,7 +87,10 @@ def test_whole_number(spark):
 
 def test_more_separators_than_the_reader_takes(spark):
     many = "," * 30_000
-    cases = [(f"1/2,1,yes,1,{many}", C.BAD_COUNT), (f'1/2,1,yes,1,"{many}', C.BAD_QUOTING), (f'1/2,1,yes,1,"{many}"', None), ("1/2,1,yes,1,fine", None), (f"1/2,1,yes,1,{many}\r", C.BAD_COUNT)]
+    cases = [
+        (f"1/2,1,yes,1,{many}", C.BAD_COUNT), (f'1/2,1,yes,1,"{many}', C.BAD_QUOTING), (f'1/2,1,yes,1,"{many}"', None),
+        ("1/2,1,yes,1,fine", None), (f"1/2,1,yes,1,{many}\r", C.BAD_COUNT)
+    ]
     df = classify(spark, [c for c, _ in cases])
     got = {r.raw_id: (r.reason, r.corrupt_text) for r in df.collect()}
     assert [got[i + 1] for i in range(len(cases))] == [(why, text if why else None) for text, why in cases]
@@ -89,8 +102,16 @@ def test_more_separators_than_the_reader_takes(spark):
 
 def test_no_sign_in_the_text_is_special(spark):
     cases = [
-        ("1/2,1,yes,1,a\x01b", None, "a\x01b"), ("1/2,1,\x02,1,fine", "invalid_keep", None), ("1/2,1,yes,1,\x02", None, "\x02"), ("\x001/2,1,yes,1,x", "invalid_sample_id", None),
-        ('1/2,1,yes,1,"a\x01,""b"""', None, 'a\x01,"b"'), ('1/2,1,yes,1,"a\x01', C.BAD_QUOTING, None), ("1/2,1,yes,1,a\nb", None, "a\nb"), ("1/2,1\x01,yes", C.BAD_COUNT, None), ("1/2,1,yes,1,a\\", None, "a\\"), ("#1/2,1,yes,1,", "invalid_sample_id", None),
+        ("1/2,1,yes,1,a\x01b", None, "a\x01b"), ("1/2,1,\x02,1,fine", "invalid_keep", None), ("1/2,1,yes,1,\x02", None, "\x02"), (
+            "\x001/2,1,yes,1,x", "invalid_sample_id", None
+        ),
+        (
+            '1/2,1,yes,1,"a\x01,""b"""', None, 'a\x01,"b"'
+        ), (
+            '1/2,1,yes,1,"a\x01', C.BAD_QUOTING, None
+        ), ("1/2,1,yes,1,a\nb", None, "a\nb"), ("1/2,1\x01,yes", C.BAD_COUNT, None), ("1/2,1,yes,1,a\\", None, "a\\"), (
+            "#1/2,1,yes,1,", "invalid_sample_id", None
+        ),
     ]
     df = classify(spark, [c for c, _, _ in cases])
     got = {r.raw_id: (r.reason, r.fields.notes if r.reason is None else None) for r in df.collect()}
@@ -104,6 +125,11 @@ def test_the_reader_marks_wrong_shapes(spark):
 
 
 def test_narrow_and_wide_headers_together(spark):
-    rows = [(1, "a", 1, "keep"), (2, "a", 2, ""), (3, "a", 3, "yes"), (4, "a", 4, "yes,no"), (5, "a", 5, '"y""s"'), (6, "b", 1, HEAD), (7, "b", 2, "1/2,1,yes,1,"), (8, "b", 3, "1/2,1,yes,1")]
-    got = {r.raw_id: r.reason for r in C.classify(spark.createDataFrame(rows, "raw_id long, file_name string, line_no int, record_text string")).collect()}
+    rows = [
+        (1, "a", 1, "keep"), (2, "a", 2, ""), (3, "a", 3, "yes"), (4, "a", 4, "yes,no"), (5, "a", 5, '"y""s"'), (6, "b", 1, HEAD),
+        (7, "b", 2, "1/2,1,yes,1,"), (8, "b", 3, "1/2,1,yes,1")
+    ]
+    got = {r.raw_id: r.reason for r in C.classify(spark.createDataFrame(
+        rows, "raw_id long, file_name string, line_no int, record_text string"
+    )).collect()}
     assert got == {2: None, 3: None, 4: C.BAD_COUNT, 5: "invalid_keep", 7: None, 8: C.BAD_COUNT}

@@ -66,8 +66,12 @@ def test_nothing_to_evaluate(spark):
 
 def test_thresholds(spark):
     at = E.thresholds({"keypoint": 0.45}, {"best_thresholds": {"vec1": 0.7, "other": 1}})
-    assert at == {"vec1": 0.7, "vec2": 0.5, "vec3": 0.5, "vec4": 0.5, "vec5": 0.5, "keypoint": 0.45} and E.thresholds(None, {"vec2": 0.2})["vec2"] == 0.2
-    df = spark.createDataFrame([("vec1", 0.7), ("vec1", 0.69), ("vec2", 0.5), ("x", 1.0), ("vec3", None)], "channel string, p double").withColumn("p", F.col("p").cast("float"))
+    assert at == {
+        "vec1": 0.7, "vec2": 0.5, "vec3": 0.5, "vec4": 0.5, "vec5": 0.5, "keypoint": 0.45
+    } and E.thresholds(None, {"vec2": 0.2})["vec2"] == 0.2
+    df = spark.createDataFrame(
+        [("vec1", 0.7), ("vec1", 0.69), ("vec2", 0.5), ("x", 1.0), ("vec3", None)], "channel string, p double"
+    ).withColumn("p", F.col("p").cast("float"))
     assert [r.channel for r in E.above_threshold(df, at).collect()] == ["vec1", "vec2"]  # 0.7 as a float reaches 0.7 as a float
 
 
@@ -85,7 +89,10 @@ def test_hard_scores_and_weights(spark):
 
 
 def test_eligible(spark):
-    m = spark.createDataFrame([("a", "true", ""), ("b", "1", None), ("c", "true", "x"), ("d", "yes", ""), ("e", "false", "")], "sample_id string, has_all_masks string, errors string")
+    m = spark.createDataFrame(
+        [("a", "true", ""), ("b", "1", None), ("c", "true", "x"), ("d", "yes", ""), ("e", "false", "")],
+        "sample_id string, has_all_masks string, errors string"
+    )
     s = spark.createDataFrame([("a", "test"), ("b", "val"), ("c", "test"), ("d", "train"), ("e", "val")], "sample_id string, split string")
     assert sorted((r.sample_id, r.split) for r in E.eligible(m, s).collect()) == [("a", "test"), ("b", "val")]
 
@@ -121,8 +128,13 @@ def test_mask_caches(spark, tmp_path):
     np.savez_compressed(tmp_path / "order.npz", binary_masks=m, channels=np.asarray(S.CHANNELS[::-1]))
     (tmp_path / "bad.npz").write_bytes(b"no")
     got = {r.path.rsplit("/", 1)[1]: r for r in N.load_caches(spark, str(tmp_path)).collect()}
-    assert {k: r.status for k, r in got.items()} == {"good.npz": "ok", "order.npz": "bad_channels", "bad.npz": "unreadable"} and bytes(got["good.npz"].cube) == m.tobytes()
-    cubes = spark.createDataFrame([("r1", "s", "永", 5, 6, bytearray(m.tobytes()))], "reference_id string, style_id string, target_char string, height int, width int, cube binary")
+    assert {k: r.status for k, r in got.items()} == {
+        "good.npz": "ok", "order.npz": "bad_channels", "bad.npz": "unreadable"
+    } and bytes(got["good.npz"].cube) == m.tobytes()
+    cubes = spark.createDataFrame(
+        [("r1", "s", "永", 5, 6, bytearray(m.tobytes()))],
+        "reference_id string, style_id string, target_char string, height int, width int, cube binary"
+    )
     N.write_mask_cache(cubes, str(tmp_path / "cache"), "abc")
     assert N.read_mask_cache(spark, str(tmp_path / "cache"), "abc").where("style_id = 's'").count() == 1 and N.read_mask_cache(spark, str(tmp_path / "cache"), "x").count() == 0
 
@@ -133,7 +145,10 @@ def test_resizing(spark):
     got = {r.k: r for r in N.letterbox_cubes(df, ["k"], 120).collect()}
     box = np.frombuffer(got[1].cube, np.uint8).reshape(120, 120, 6)
     assert not box[:20].any() and (box[20:100:2, ::2] == m).all() and got[2].cube is None
-    probs = spark.createDataFrame([(1, 120, 120, 40, 60, bytearray(box.astype(np.float32).tobytes()))], "k int, height int, width int, original_height int, original_width int, probabilities binary")
+    probs = spark.createDataFrame(
+        [(1, 120, 120, 40, 60, bytearray(box.astype(np.float32).tobytes()))],
+        "k int, height int, width int, original_height int, original_width int, probabilities binary"
+    )
     back = N.restore_probabilities(probs, ["k"])
     cubes = N.threshold_cubes(back, ["k"], dict.fromkeys(S.CHANNELS, 0.5)).first()
     assert (cubes.height, cubes.width) == (40, 60) and (np.frombuffer(cubes.probabilities, np.uint8).reshape(40, 60, 6) == m).mean() > 0.9

@@ -57,7 +57,9 @@ def test_keypoint_one_pixel_off(spark):
 
 def test_confusion_values_and_empty_conventions(spark):
     rows = [("a", True, True)] * 4 + [("b", True, False)] + [("a", False, False)] * 12 + [("c", False, False)]
-    s = {r.ch: r for r in T.scores(T.confusion(spark.createDataFrame(rows, "ch string, p boolean, t boolean"), ["ch"], F.col("p"), F.col("t"))).collect()}
+    s = {r.ch: r for r in T.scores(T.confusion(
+        spark.createDataFrame(rows, "ch string, p boolean, t boolean"), ["ch"], F.col("p"), F.col("t")
+    )).collect()}
     assert (s["a"].tp, s["a"].fp, s["b"].fp, s["a"].dice, s["b"].dice, s["c"].dice) == (4, 0, 1, 1.0, 0.0, 0.0)
     o = spark.createDataFrame([(0, 0, 0)], "shared long, only_a long, only_b long")
     assert M.pair_scores(o).first().dice == 1.0

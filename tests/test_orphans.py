@@ -49,7 +49,10 @@ def test_heavy_key_beside_light_ones(spark):
 
 def test_nulls_bounds_and_touching_runs(spark):
     lives = [("a", 0, 5), ("a", 5, 10), ("a", 0, 5), (None, 0, 9), ("b", None, 9), ("c", 3, 3), ("d", 100, None)]
-    refs = [(1, "a", 0), (2, "a", 9), (3, "a", 10), (4, "a", -1), (5, None, 0), (6, "b", 1), (7, "c", 3), (8, "d", None), (9, "a", None), (10, "d", 10**15)]
+    refs = [
+        (1, "a", 0), (2, "a", 9), (3, "a", 10), (4, "a", -1), (5, None, 0), (6, "b", 1), (7, "c", 3), (8, "d", None),
+        (9, "a", None), (10, "d", 10**15)
+    ]
     assert [x[0] for x in run(spark, refs, lives)] == [3, 4, 6, 7, 9]
     p = spark.createDataFrame([(k, s, e) for k, s, e in lives], "k string, start long, end long")
     runs = {(r.k, r.run_start, r.run_end) for r in O.compress_runs(p, ["k"], block=1000).collect()}
@@ -68,7 +71,10 @@ def test_integers(spark):
 
 
 def test_report(spark):
-    refs = spark.createDataFrame([("t", "f", "2024-01"), ("t", "f", "2024-01"), ("t", "f", None), ("t", "g", "2024-02")], "table_name string, field_name string, m string")
+    refs = spark.createDataFrame(
+        [("t", "f", "2024-01"), ("t", "f", "2024-01"), ("t", "f", None), ("t", "g", "2024-02")],
+        "table_name string, field_name string, m string"
+    )
     found = refs.where("m = '2024-01'").limit(1).unionByName(refs.where("m IS NULL"))
     got = {(r.field_name, r.period): (r.refs, r.orphans, r.orphan_share) for r in O.orphan_report(refs, found, F.col("m")).collect()}
     assert got == {("f", "2024-01"): (2, 1, 0.5), ("f", None): (1, 1, 1.0), ("g", "2024-02"): (1, 0, 0.0)}

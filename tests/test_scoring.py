@@ -16,7 +16,10 @@ def cube(x0, y0, directions=5, size=64):
 
 
 def pairs(spark, *rows):
-    data = [(k, 64, 64, bytearray(u.tobytes()) if u is not None else None, bytearray(r.tobytes()) if r is not None else None, "clash") for k, u, r in rows]
+    data = [
+        (k, 64, 64, bytearray(u.tobytes()) if u is not None else None, bytearray(r.tobytes()) if r is not None else None, "clash") for k,
+        u, r in rows
+    ]
     return spark.createDataFrame(data, "k int, height int, width int, user binary, reference binary, status string")
 
 
@@ -44,7 +47,10 @@ def test_one_transform_for_all_channels():
 
 def test_pairs_and_states(spark):
     none = np.zeros((64, 64, 6), np.uint8)
-    df = pairs(spark, (1, cube(30, 24), cube(10, 8)), (2, cube(16, 16), cube(16, 16)), (3, none, cube(3, 3)), (4, None, cube(3, 3)), (5, cube(3, 3, size=32), cube(3, 3)), (2, cube(16, 16), cube(16, 16)))
+    df = pairs(
+        spark, (1, cube(30, 24), cube(10, 8)), (2, cube(16, 16), cube(16, 16)), (3, none, cube(3, 3)), (4, None, cube(3, 3)),
+        (5, cube(3, 3, size=32), cube(3, 3)), (2, cube(16, 16), cube(16, 16))
+    )
     got = {r.k: r for r in S.score_pairs(df, ["k"], "user", "reference").collect()}
     assert [got[k].status for k in (1, 2, 3, 4, 5)] == ["ok", "ok", "empty_mask", "bad_shape", "bad_shape"]
     assert got[2].score == 100.0 and got[3].score is None and got[1].dx == 20
@@ -102,7 +108,9 @@ def test_dominant_difference_order(spark):
     u[0:3, 0:3, 5] = 1  # keypoints do not count
     v, w = e.copy(), e.copy()
     v[0, 0, 0], w[1, 1, 0] = 1, 1  # a cell with as many missing as extra
-    got = {x.k: x for x in M.dominant_difference(long(spark, {1: u, 2: v}), long(spark, {1: r, 2: w, 3: e}), ["k"], "channel", S.DIRECTIONS, 9, 9).collect()}
+    got = {x.k: x for x in M.dominant_difference(
+        long(spark, {1: u, 2: v}), long(spark, {1: r, 2: w, 3: e}), ["k"], "channel", S.DIRECTIONS, 9, 9
+    ).collect()}
     assert (got[1].channel, got[1].row, got[1].col, got[1].kind, got[1].region, got[1].pixels) == ("vec2", 2, 2, M.EXTRA, "下部右侧", 1)
     assert (got[2].channel, got[2].kind, got[2].region) == ("vec1", M.MISSING, "上部左侧") and 3 not in got
 
@@ -110,9 +118,13 @@ def test_dominant_difference_order(spark):
 def feedback(spark, user, reference):
     s = S.score_pairs(pairs(spark, (1, user, reference)), ["k"], "user", "reference")
     aligned = S.cube_pixels(s.select("k", F.lit(64).alias("height"), F.lit(64).alias("width"), "aligned"), ["k"], "aligned")
-    local = M.dominant_difference(long(spark, {1: user}), aligned, ["k"], "channel", S.DIRECTIONS, 64, 64).select("k", F.col("region").alias("local_region"), F.col("kind").alias("local_kind"))
+    local = M.dominant_difference(long(spark, {1: user}), aligned, ["k"], "channel", S.DIRECTIONS, 64, 64).select(
+        "k", F.col("region").alias("local_region"), F.col("kind").alias("local_kind")
+    )
     worst = S.worst_direction([(c, F.col(f"dice_{c}")) for c in S.DIRECTIONS])
-    e = s.join(local, "k", "left").withColumns({"worst_dice": worst["dice"], "course_id": F.lit("c"), "course_name": F.lit("n"), "target_char": F.lit("亮")})
+    e = s.join(local, "k", "left").withColumns({
+        "worst_dice": worst["dice"], "course_id": F.lit("c"), "course_name": F.lit("n"), "target_char": F.lit("亮")
+    })
     return e, json.loads(R.feedback_documents(e, R.findings(e, "k"), "k").first().feedback)
 
 
@@ -127,14 +139,29 @@ def test_feedback_of_a_different_and_of_the_same_mask(spark):
 
 def test_findings_order_and_limits(spark):
     rows = [(1, 0.0, 0.0, 1.0, 1.0, 1.0), (2, 0.09, 0.0, 2.0, 0.0, 0.0), (3, 0.0, -0.03, 1.0, 0.8, 1.0), (4, None, None, None, None, None)]
-    e = spark.createDataFrame([(*r, None, None) for r in rows], "k int, offset_x double, offset_y double, area_ratio double, keypoint_f1 double, worst_dice double, local_region string, local_kind string")
+    e = spark.createDataFrame(
+        [(*r, None, None) for r in rows],
+        "k int, offset_x double, offset_y double, area_ratio double, keypoint_f1 double, worst_dice double, local_region string, local_kind string"
+    )
     got = [(r.k, r["rank"], r.finding_id, r.severity) for r in R.findings(e, "k").orderBy("k", "rank").collect()]
-    assert got == [(2, 1, "keypoint_relation", "high"), (2, 2, "local_direction_structure", "high"), (2, 3, "layout_ink_scale", "high"), (3, 1, "keypoint_relation", "low"), (3, 2, "layout_center_offset", "low")]
+    assert got == [
+        (2, 1, "keypoint_relation", "high"), (2, 2, "local_direction_structure", "high"), (2, 3, "layout_ink_scale", "high"),
+        (3, 1, "keypoint_relation", "low"), (3, 2, "layout_center_offset", "low")
+    ]
     with pytest.raises(ValueError, match="positive"):
         R.findings(e, "k", 0)
 
 
 def test_bands_and_worst_direction(spark):
-    df = spark.createDataFrame([(95.0, 0.5, 0.4, 0.4), (70.0, None, None, None), (10.0, 1.0, None, 0.9), (None, 1.0, 1.0, 1.0)], "s double, a double, b double, c double")
-    got = df.select(S.match_band(F.col("s")).alias("band"), S.worst_direction([("vec1", F.col("a")), ("vec2", F.col("b")), ("vec3", F.col("c"))]).alias("w")).collect()
-    assert [(r.band, r.w.channel, r.w.dice) for r in got] == [("high_reference_match", "vec2", 0.4), ("moderate_reference_match", "vec1", 1.0), ("low_reference_match", "vec3", 0.9), (None, "vec1", 1.0)]
+    df = spark.createDataFrame(
+        [(95.0, 0.5, 0.4, 0.4), (70.0, None, None, None), (10.0, 1.0, None, 0.9), (None, 1.0, 1.0, 1.0)],
+        "s double, a double, b double, c double"
+    )
+    got = df.select(
+        S.match_band(F.col("s")).alias("band"),
+        S.worst_direction([("vec1", F.col("a")), ("vec2", F.col("b")), ("vec3", F.col("c"))]).alias("w")
+    ).collect()
+    assert [(r.band, r.w.channel, r.w.dice) for r in got] == [
+        ("high_reference_match", "vec2", 0.4), ("moderate_reference_match", "vec1", 1.0), ("low_reference_match", "vec3", 0.9),
+        (None, "vec1", 1.0)
+    ]

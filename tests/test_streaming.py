@@ -46,7 +46,9 @@ def test_complete_mode_keeps_rows_behind_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet")
     seen = {}
     q = windowed_confusion(stream, "ts", ["event_type"], F.col("value") > 50, F.col("user_id") % 2 == 0).writeStream.outputMode("complete")
-    q = q.foreachBatch(lambda df, i: seen.update({i: counts(df)})).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q = q.foreachBatch(lambda df, i: seen.update({i: counts(df)})).option(
+        "checkpointLocation", f"{tmp_path}/state"
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(seen) >= 3 and seen[max(seen)] == by_hand(parts)
 
