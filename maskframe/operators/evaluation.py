@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.operators.corpus import usable
-from maskframe.operators.masks import boundary, tolerant_counts
+from maskframe.operators.masks import boundary
 from maskframe.operators.metrics import ratio
 from maskframe.operators.scoring import CHANNELS, DIRECTIONS
 
@@ -87,18 +87,37 @@ def evaluate(
         F.max(F.when(F.col(channel) == KEYPOINT, F.col("dice"))).alias("keypoint_f1")
     )
     out = out.unionByName(macro.select(F.explode(F.array(*[row(m, none, F.col(m)) for m in macro.columns])).alias("m")).select("m.*"))
-    points = lambda d: d.where(F.col(channel) == KEYPOINT).select(*by, "y", "x")
-    for r in sorted(set(radii or [])):
-        c = tolerant_counts(points(pred), points(target), by, r, height, width)
-        c = c.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("pred", "target", "pred_hit", "target_hit")])
-        p, q = ratio(F.col("pred_hit"), F.col("pred")), ratio(F.col("target_hit"), F.col("target"))
-        values = {"keypoint_precision": p, "keypoint_recall": q, "keypoint_tolerant_f1": ratio(2 * p * q, p + q)}
-        rows = [
-            F.struct(F.lit(m).alias("metric"), F.lit(KEYPOINT).alias("channel"), F.lit(r).alias("radius"), v.alias("value")) for m,
-            v in values.items()
+    if not radii:
+        return out
+    points = lambda d: d.where(F.col(channel) == KEYPOINT).select(*by, "y", "x").distinct()
+    p, t, sizes = points(pred), points(target), sorted(set(radii))
+    one = p.agg(F.count("*").alias("_p"))
+    for part in (t.agg(F.count("*").alias("_t")), _within(p, t, by, sizes, "_ph"), _within(t, p, by, sizes, "_th")):
+        one = one.crossJoin(part)  # one row each
+    rows = []
+    for r in sizes:
+        q, w = ratio(F.col(f"_ph{r}"), F.col("_p")), ratio(F.col(f"_th{r}"), F.col("_t"))
+        values = {"keypoint_precision": q, "keypoint_recall": w, "keypoint_tolerant_f1": ratio(2 * q * w, q + w)}
+        rows += [
+            F.struct(F.lit(m).alias("metric"), F.lit(KEYPOINT).alias("channel"), F.lit(r).alias("radius"), v.alias("value"))
+            for m, v in values.items()
         ]
-        out = out.unionByName(c.select(F.explode(F.array(*rows)).alias("m")).select("m.*"))
-    return out
+    return out.unionByName(one.select(F.explode(F.array(*rows)).alias("m")).select("m.*"))
+
+
+def _within(a: DataFrame, b: DataFrame, by: list[str], radii: list[int], name: str) -> DataFrame:
+    """[J10, A7] One row: pixels of ``a`` that have one of ``b`` within each radius, by their distance to the nearest one up to the largest radius."""
+    if radii[0] < 0:
+        raise ValueError("radius must be non-negative")
+    d = F.sequence(F.lit(-radii[-1]), F.lit(radii[-1]))
+    near = a.select(*by, F.col("y").alias("_y"), F.col("x").alias("_x"), F.explode(d).alias("_dy"))
+    near = near.select(*by, "_y", "_x", "_dy", F.explode(d).alias("_dx"))
+    near = near.select(
+        *by, "_y", "_x", (F.col("_y") + F.col("_dy")).alias("y"), (F.col("_x") + F.col("_dx")).alias("x"),
+        F.greatest(F.abs("_dy"), F.abs("_dx")).alias("_d")
+    )
+    least = near.join(b, [*by, "y", "x"]).groupBy(*by, "_y", "_x").agg(F.min("_d").alias("_d"))
+    return least.agg(*[F.count_if(F.col("_d") <= r).alias(f"{name}{r}") for r in radii])
 
 
 #: Notes beside a score (fixed values).
