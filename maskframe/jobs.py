@@ -1,6 +1,6 @@
 """File-to-file runs of the corpus operators: ``python -m maskframe.jobs NAME ...`` on a running or local session.
 
-``audit``, ``split``, ``template``, ``merge``, ``validate``, ``catalog`` and ``import`` each read and write the project's
+``audit``, ``split``, ``template``, ``merge``, ``validate`` and ``catalog`` each read and write the project's
 files; tables are part files in a folder, except where one file is asked for.
 """
 

@@ -17,29 +17,42 @@ FIELDS = [
 SCHEMA = ", ".join(f"{f} {'boolean' if f == 'enabled' else 'string'}" for f in FIELDS)
 
 
+#: Messages of a refused configuration (fixed values).
+BAD_VERSION = "course pack schema_version must be 1"
+NO_LIST = "course pack config field courses must be a list"
+NO_MAPPING = "each course definition must be a mapping"
+NO_FIELDS = "course definition missing fields: {}"
+TWICE = "duplicate course_id: {}"
+EMPTY = "course pack config contains no courses"
+
+
 class CourseError(ValueError):
     """A course configuration or its references break a rule."""
 
 
-def courses(spark: SparkSession, config: Mapping) -> DataFrame:
-    """[R2] The configured courses, checked: schema version 1, a list of mappings with all fields, no id twice, not empty."""
+def _refusal(config: Mapping) -> str | None:
+    """The first message that holds for ``config``."""
     if int(config.get("schema_version", 0)) != 1:
-        raise CourseError("course pack schema_version must be 1")
+        return BAD_VERSION
     items = config.get("courses")
     if not isinstance(items, list):
-        raise CourseError("course pack config field courses must be a list")
-    seen: set[str] = set()
-    for item in items:
-        if not isinstance(item, Mapping):
-            raise CourseError("each course definition must be a mapping")
-        if lacking := sorted(set(FIELDS) - set(item)):
-            raise CourseError(f"course definition missing fields: {lacking}")
-        if str(item["course_id"]) in seen:
-            raise CourseError(f"duplicate course_id: {item['course_id']}")
-        seen.add(str(item["course_id"]))
-    if not seen:
-        raise CourseError("course pack config contains no courses")
-    return spark.createDataFrame([tuple(bool(i[f]) if f == "enabled" else str(i[f]) for f in FIELDS) for i in items], SCHEMA)
+        return NO_LIST
+    ids = [str(i["course_id"]) if isinstance(i, Mapping) and "course_id" in i else None for i in items]
+    for k, item in enumerate(items):
+        lacking = sorted(set(FIELDS).difference(item)) if isinstance(item, Mapping) else None
+        if lacking is None or lacking:
+            return NO_MAPPING if lacking is None else NO_FIELDS.format(lacking)
+        if ids[k] in ids[:k]:
+            return TWICE.format(ids[k])
+    return None if items else EMPTY
+
+
+def courses(spark: SparkSession, config: Mapping) -> DataFrame:
+    """[R2] The configured courses, checked: schema version 1, a list of mappings with all fields, no id twice, not empty."""
+    if (why := _refusal(config)) is not None:
+        raise CourseError(why)
+    rows = [tuple(bool(i[f]) if f == "enabled" else str(i[f]) for f in FIELDS) for i in config["courses"]]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def course_references(packs: DataFrame, references: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def file_facts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def audit(spark: SparkSession, root: str, data_version: str = "old_onestroke") -> DataFrame:
+def audit(spark: SparkSession, root: str, data_version: str = "v1") -> DataFrame:
     """[P1] The manifest: ``COLUMNS`` as text, a row for each sample directory; blank where there is nothing."""
     parts = F.split("path", "/")
     f = file_facts(spark, root).select(
